@@ -159,16 +159,22 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     return Model(languages, buckets, prior, matrix)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs``, then lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs``, then the language and its score; columns of these names give way."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             langs, scores = sent.value.score(batch.column(text).to_pylist())
-            yield append(batch, {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+            yield append(batch, {lang: pa.array(langs, pa.string()), score: pa.array(scores, pa.float64())})
 
-    return docs.mapInArrow(run, with_columns(docs.schema, lang_pred=T.StringType(), score=T.DoubleType()))
+    return docs.mapInArrow(run, with_columns(docs.schema, **{lang: T.StringType(), score: T.DoubleType()}))
+
+
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of ``least`` or more."""
+    found = predict(docs, model, text, "__lang", "__score")
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -115,6 +115,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.select(*kept, "__words.n_words", "word_chars", "n_symbols", F.col("__lines.n").alias("n_lines"), F.col("__lines.dup").alias("n_dup_lines"), "__words.n_repeat_words", "__words.n_stop_words")
 
 
+def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None = None) -> DataFrame:
+    """The rows of ``docs`` that keep all rules."""
+    found = judge(measure(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(text).alias("text"))), rules or RULES)
+    return found.where("kept").select("__row.*")
+
+
 def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds base_failed, failed (names of the rules that a text breaks) and kept."""
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, embeddings, langid, leaks, packing, pii, quality, simhash
+from . import bpe, chat, embeddings, langid, leaks, licenses, packing, pii, quality, simhash
 from .common import table
 
 
@@ -47,6 +47,11 @@ def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return packing.pack(table(spark, sf_dir, "documents"), own, capacity=1024, end=0)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -57,5 +62,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> Data
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.codec(ranks or public.path("byte_bpe_50k.tiktoken"), public.PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_chat_rotation, op4_pii, op5_secrets, op6_simhash, op7_packing, op9_embeddings, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_chat_rotation, op4_pii, op5_secrets, op6_simhash, op7_packing, op8_licenses, op9_embeddings, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
