@@ -40,7 +40,7 @@ SHINGLE = 3
 SEED = 42
 SHINGLES_AT_ONCE = 1 << 16
 #: Points that a shard is planned for, and the bound of the sample that plans it.
-SHARD_POINTS, SAMPLE = 12_000, 4_096
+SHARD_POINTS, SAMPLE = 50_000, 4_096
 LEAF = 256
 
 
