@@ -36,8 +36,13 @@ def truncate_utf8(text: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else t.encode()[:n].decode("utf-8", "ignore") for t, n in zip(text, most, strict=True)])
 
 
+def _short(x: Column) -> Column:
+    """Four significant digits, without zeros at the end."""
+    return F.regexp_replace(F.regexp_replace(F.format_string("%.4g", x), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
 def humanize_percentage(x: Column) -> Column:
-    return F.concat(F.regexp_replace(F.format_string("%.4g", x * 100), r"(\.[0-9]*?)0+$", "$1"), F.lit("%"))
+    return F.concat(_short(x * 100), F.lit("%"))
 
 
 def humanize_duration(seconds: Column) -> Column:
@@ -45,7 +50,7 @@ def humanize_duration(seconds: Column) -> Column:
     s = F.floor(seconds)
     unit = lambda n, m, name: F.when(s >= n, F.concat((F.floor(s / n) % m if m else F.floor(s / n)).cast("string"), F.lit(name)))
     long = F.concat_ws(" ", unit(86_400, None, "d"), unit(3_600, 24, "h"), unit(60, 60, "m"), F.concat((s % 60).cast("string"), F.lit("s")))
-    return F.when(seconds >= 60, long).otherwise(F.concat(F.format_string("%.4g", seconds), F.lit("s")))
+    return F.when(seconds >= 60, long).otherwise(F.concat(_short(seconds), F.lit("s")))
 
 
 #: Errors of the domain by what an HTTP client is told.

@@ -65,7 +65,7 @@ def first_of_each(df: DataFrame, by: list[str], order: list, most, name: str = "
 def claim(jobs: DataFrame, tenants: DataFrame, job_types: DataFrame, pools: DataFrame, now: int, limit: int) -> DataFrame:
     """An independent claim of up to ``limit`` jobs for each pool and priority.
 
-    Two limits, as the reference has them: more candidates than asked for are
+    Two limits: more candidates than asked for are
     taken in due order, then each tenant's allowance cuts, then the limit. A
     capped tenant's surplus can therefore hide others' jobs.
     """
@@ -114,7 +114,7 @@ def retry_decision(end: Column, retryable: Column, attempts: Column, lost: Colum
     if rnd is not None:
         delay = F.floor(delay * rnd).cast("long")
     if retry_after_ms is not None:
-        delay = F.coalesce(F.least(retry_after_ms, F.lit(policy["max_delay_ms"])), delay)
+        delay = F.when((end == "FAILED") & (retry_after_ms > 0), F.least(retry_after_ms, F.lit(policy["max_delay_ms"]))).otherwise(delay)
     run_at = now + delay * 1000
     budget_end = started_at + policy["max_retry_duration_ms"] * 1000
     last = F.least(budget_end, deadline)  # least ignores nulls
