@@ -22,7 +22,7 @@ class Limits:
 
 def next_fixed_rate(anchor: Column, every: Column, after: Column) -> Column:
     """The first fire strictly after a time."""
-    return F.when(after < anchor, anchor).otherwise(anchor + (F.floor((after - anchor) / every) + 1) * every)
+    return F.when(after < anchor, anchor).otherwise(anchor + (_div(after - anchor, every) + 1) * every)
 
 
 def _div(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from quillon.sources.views import oracle, view
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
-MODULES = ("dispatching", "listing", "scheduling", "admitting", "observing", "streams")
+MODULES = ("dispatching", "listing", "scheduling", "admitting", "observing", "operating", "streams")
 
 
 class Tables:
