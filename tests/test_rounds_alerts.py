@@ -136,3 +136,30 @@ def test_one_holder_gets_a_lease(spark):
     asks = spark.createDataFrame([("a", "p", 1), ("a", "q", 0), ("b", "p", 0), ("c", "p", 0)], "name string, holder string, arrived int")
     got = {(r["name"], r["holder"]): (r["granted"], r["epoch"]) for r in changes.acquire(leases, asks, T0, S).collect()}
     assert got == {("a", "q"): (True, 4), ("a", "p"): (False, None), ("b", "p"): (False, None), ("c", "p"): (True, 1)}
+
+
+# -- the load gate -----------------------------------------------------------------------------
+
+
+def test_gate(spark):
+    from quillon.operators import gate
+
+    kind = "name string, labels map<string,string>, value double"
+    snap = lambda k: [
+        ("jobs_submitted_total", {"tenant": "a"}, 600.0 * k), ("jobs_submitted_total", {"tenant": "b"}, 395.0 * k), ("dispatch_latency_seconds_count", {"node": "x"}, 990.0 * k),
+        *(("dispatch_latency_seconds_bucket", {"le": le}, n * k) for le, n in (("0.5", 900.0), ("1", 985.0), ("+Inf", 990.0))),
+        *(("queue_wait_seconds_bucket", {"le": le}, n * k) for le, n in (("0.1", 50.0), ("0.5", 90.0), ("1", 99.0), ("+Inf", 100.0))),
+        ("jobs_completed_total", {"state": "SUCCEEDED", "type": "t"}, 900.0 * k), ("process_cpu_seconds_total", {"node": "api"}, 0.398 * k), ("db_transaction_duration_seconds_count", {"operation": "claim"}, 50.0 * k),
+    ]
+    before, after = (spark.createDataFrame(snap(k), kind) for k in (1, 2))
+    out = gate.report(before, after, 10.0, 100.0)
+    got = {(r["kind"], r["name"]): (r["value"], r["passed"]) for r in out.collect()}
+    assert got[("check", "accepted rate")] == (pytest.approx(0.995), True)
+    assert got[("check", "dispatch latency")] == (pytest.approx(985 / 990), True)
+    assert got[("check", "dispatch keeps up")] == (pytest.approx(990 / 995), True)
+    assert got[("queue wait", "p50")][0] == pytest.approx(0.1) and got[("queue wait", "p99")][0] == pytest.approx(1.0)
+    assert got[("completed", "SUCCEEDED")][0] == 900 and got[("transactions a second", "claim")][0] == 5
+    assert got[("CPU ms a job", "api")][0] == pytest.approx(0.4) and got[("vCPUs", "api")][0] == pytest.approx(0.04)
+    assert gate.passed(out)
+    cron = gate.report(before, after, 10.0, 0.0, schedules=10, boundaries=2)
+    assert not gate.passed(cron) and {r["name"] for r in cron.where("kind = 'check'").collect()} == {"every fire promoted", "scheduling lag", "dispatch latency", "dispatch keeps up"}
