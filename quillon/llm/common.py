@@ -60,6 +60,12 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of a few megabytes for Python, so that a worker's memory follows its longest texts, not its row count."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def with_columns(schema: T.StructType, **new: T.DataType) -> T.StructType:
     """``schema`` with new fields at its end; a field of the same name gives way to the new one."""
     kept = [f for f in schema.fields if f.name not in new]

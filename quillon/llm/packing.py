@@ -26,20 +26,20 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from functools import cached_property
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import groups_by_size, materialize
+from .common import groups_by_size, materialize, small_batches
 from .pretokens import splitter
 
 #: Rows of one length that are ranked in one part.
 RANKED_TOGETHER = 1_000
 #: Pre-tokens whose ids a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Gaps below it are padded: cutting a document for them would leave crumbs.
 LEAST_GAP = 16
 MAX_TOKENIZER_BYTES = 64 << 20
@@ -49,7 +49,7 @@ FULL = 1 << 61
 
 @dataclass
 class Tokenizer:
-    """Ids of texts by a ``tokenizers`` file whose pre-tokens are those of ``pattern``."""
+    """Ids of texts by a byte-level ``tokenizers`` file whose pre-tokens are those of ``pattern``; a special token's name in a text is ordinary text."""
 
     definition: str
     pattern: str
@@ -61,40 +61,35 @@ class Tokenizer:
             raise ValueError(f"{path} is larger than {MAX_TOKENIZER_BYTES} bytes")
         return cls(data, pattern)
 
-    def __getstate__(self):
-        return {"definition": self.definition, "pattern": self.pattern}
-
-    @cached_property
-    def library(self):
-        import tokenizers
-
-        found = tokenizers.Tokenizer.from_str(self.definition)
-        found.encode_special_tokens = True  # a special token's name in a text is ordinary text
-        return found
-
-    @cached_property
-    def memory(self) -> list[dict[str, bytes]]:
-        return [{}, {}]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian unsigned 32-bit ids. The library never merges across pre-tokens, so each distinct one is encoded once."""
+        """Packed little-endian unsigned 32-bit ids. The library's model never merges across pre-tokens, so it is asked once for each distinct one."""
         split = [splitter(self.pattern)(t) for t in texts]
+        model, letters, memory = _loaded(self.definition)
         pieces = set().union(*split)
-        young, old = self.memory
+        young, old = memory
         if len(young) + len(pieces) > REMEMBERED:
-            young, old = self.memory[:] = {}, young
-        unknown = []
+            young, old = memory[:] = {}, young
         for p in pieces.difference(young):
             if (known := old.get(p)) is None:
-                unknown.append(p)
-            else:
-                young[p] = known
-        for p, found in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            young[p] = np.array(found.ids, "<u4").tobytes()
+                known = np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+            young[p] = known
         get = young.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
+@lru_cache(maxsize=1)
+def _loaded(definition: str):
+    """Once in each worker: the library's model, the letter that its vocabulary has for each byte, and the ids of pre-tokens seen lately.
+
+    A byte-level vocabulary writes printable bytes as themselves and the others as the letters from U+0100 on.
+    """
+    import tokenizers
+
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return tokenizers.Tokenizer.from_str(definition).model, {b: 256 + i for i, b in enumerate(others)}, [{}, {}]
+
+
 def stretches(docs: DataFrame, tokenizer: Tokenizer, capacity: int, end: int, key: str, text: str) -> DataFrame:
     """A row for each document: its ids counted, the CRC-32 of every stretch of ``capacity`` ids, the last one shorter, and that one's ids."""
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer)
@@ -330,6 +325,7 @@ def cut(rows: DataFrame, gaps: list[tuple[int, int, int, int]], key: str) -> Dat
 def pack(docs: DataFrame, tokenizer: Tokenizer, capacity: int = 1024, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = materialize(stretches(docs, tokenizer, capacity, end, key, text), "stretches")
     rest = (F.col("doc_tokens") % capacity).cast("int")
     histogram = {r["rest"]: r["n"] for r in rows.groupBy(rest.alias("rest")).agg(F.count("*").alias("n")).where("rest > 0").collect()}  # below capacity rows
