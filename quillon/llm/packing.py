@@ -24,6 +24,7 @@ documents of their own, null ids included. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,7 +40,7 @@ from .pretokens import splitter
 #: Rows of one length that are ranked in one part.
 RANKED_TOGETHER = 1_000
 #: Pre-tokens whose ids a worker remembers in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Gaps below it are padded: cutting a document for them would leave crumbs.
 LEAST_GAP = 16
 MAX_TOKENIZER_BYTES = 64 << 20
@@ -71,7 +72,8 @@ class Tokenizer:
             young, old = memory[:] = {}, young
         for p in pieces.difference(young):
             if (known := old.get(p)) is None:
-                known = np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+                written = p.replace(" ", letters[32]) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters)
+                known = struct.pack(f"<{len(found)}I", *found) if (found := [t.id for t in model.tokenize(written)]) else b""
             young[p] = known
         get = young.__getitem__
         return [b"".join(map(get, s)) for s in split]
@@ -87,7 +89,7 @@ def _loaded(definition: str):
 
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
-    return tokenizers.Tokenizer.from_str(definition).model, {b: 256 + i for i, b in enumerate(others)}, [{}, {}]
+    return tokenizers.Tokenizer.from_str(definition).model, {b: chr(256 + i) for i, b in enumerate(others)}, [{}, {}]
 
 
 def stretches(docs: DataFrame, tokenizer: Tokenizer, capacity: int, end: int, key: str, text: str) -> DataFrame:
