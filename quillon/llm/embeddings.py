@@ -144,7 +144,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
     classes = whole.where("good").groupBy("label", "x").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
-    sizes = classes.groupBy(F.size("x").alias("dims"), "label").agg(F.count("*").alias("n")).groupBy("dims").agg(F.max("n").alias("most"), F.sum("n").alias("all")).limit(256).collect()
+    sizes = classes.groupBy(F.size("x").alias("dims"), "label").agg(F.count("*").alias("n")).groupBy("dims").agg(F.max("n").alias("most"), F.sum("n").alias("all")).collect()  # a row for each length that vectors have
     trees = {}
     for row in sizes:  # a tree for each block of each length of vectors
         depth = max(0, int(np.ceil(np.log2(max(1, row["most"]) / LEAF_POINTS))))

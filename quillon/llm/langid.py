@@ -31,6 +31,7 @@ from .common import CHARS_AT_ONCE, append, groups_by_size, hash_part, with_colum
 UNKNOWN = "und"
 #: Bound of the matrix that is broadcast: 64 MB of 4-byte numbers.
 MAX_CELLS = 16 << 20
+MAX_LANGUAGES = 4_096
 ORDERS = 3
 SPACE, BREAK = 32, 0
 
@@ -124,7 +125,10 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     """Learn from the rows where ``learn`` holds and ``lang`` and ``text`` are not null."""
     spark = docs.sparkSession
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_CELLS >> 8).collect()}
+    found = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: the matrix would not fit {MAX_CELLS} cells")
+    counts = {r["lang"]: r["n"] for r in found}
     languages = sorted(counts)
     if not languages:
         return Model([], buckets, np.zeros(1), np.zeros((buckets + 1, 1), np.float32))

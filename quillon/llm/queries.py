@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, embeddings, langid, leaks, licenses, packing, pii, quality, simhash
 from .common import table
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +64,3 @@ def op10_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> Data
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_chat_rotation, op4_pii, op5_secrets, op6_simhash, op7_packing, op8_licenses, op9_embeddings, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
