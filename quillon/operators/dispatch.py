@@ -59,7 +59,7 @@ def allowances(jobs: DataFrame, tenants: DataFrame) -> DataFrame:
 def first_of_each(df: DataFrame, by: list[str], order: list, most, name: str = "rank") -> DataFrame:
     """Rows ranked within a group, up to a rank. Spark keeps only ``most`` rows of a group in each task before it shuffles, so a hot group stays small."""
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return ranked.where(F.col(name) <= most)
+    return ranked.where(F.col(name) <= most).withColumn(name, F.col(name).cast("long"))
 
 
 def claim(jobs: DataFrame, tenants: DataFrame, job_types: DataFrame, pools: DataFrame, now: int, limit: int) -> DataFrame:
@@ -194,7 +194,7 @@ def interleave(df: DataFrame, by: list[str], order: list) -> DataFrame:
     weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))[F.col("priority")]
     nth = F.row_number().over(Window.partitionBy(*by, "priority").orderBy(*order))
     placed = df.withColumn("nth", nth).withColumn("place", (F.col("nth") - 0.5) / weight)
-    return placed.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("place", F.desc("priority"), *order)))
+    return placed.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy("place", F.desc("priority"), *order)).cast("long"))
 
 
 def pick(credits: dict[int, int], there: list[int]) -> int:

@@ -104,7 +104,7 @@ def overlap_decisions(runs: DataFrame, schedules: DataFrame, now: int) -> DataFr
     policies = schedules.select(F.col("id").alias("schedule_id"), "overlap")
     due = due.join(policies, "schedule_id")
     w = Window.partitionBy("schedule_id").orderBy("fire_time", "id")
-    due = due.withColumn("rn", F.row_number().over(w)).withColumn("cnt", F.count("*").over(Window.partitionBy("schedule_id")))
+    due = due.withColumn("rn", F.row_number().over(w).cast("long")).withColumn("cnt", F.count("*").over(Window.partitionBy("schedule_id")))
     due = due.withColumn("active", F.first(F.col("earlier_active") > 0).over(w)).withColumn("waiting", F.first(F.col("earlier_waiting") > 0).over(w))
     k = F.col("rn") + F.col("active").cast("int")
     decision = (

@@ -19,9 +19,9 @@ def _buckets(t: Tables) -> DataFrame:
     return metrics.histogram(t.metrics, ["outcome"], "seconds", BOUNDS)
 
 
-@query("WITH " + BUCKETS.replace("v(le)", "v(le0)").replace("le,", "CAST(le0 AS DOUBLE) AS le,").replace("seconds <= le)", "seconds <= le0)") + " SELECT outcome, le, n FROM buckets WHERE le < 1000", "metrics")
+@query("WITH " + BUCKETS.replace("v(le)", "v(le0)").replace("le,", "CAST(le0 AS DOUBLE) AS le,").replace("seconds <= le)", "seconds <= le0)") + " SELECT outcome, CASE WHEN le > 1000 THEN '+Inf' ELSE CAST(le AS VARCHAR) END AS le, n FROM buckets", "metrics")
 def latency_histogram(t: Tables) -> DataFrame:
-    return _buckets(t).where(F.col("le") < 1000)
+    return _buckets(t).withColumn("le", F.when(F.col("le") > 1000, "+Inf").otherwise(F.col("le").cast("string")))
 
 
 @query(
@@ -30,14 +30,14 @@ def latency_histogram(t: Tables) -> DataFrame:
     + """, b AS (SELECT *, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(n) OVER w, 0) AS before, max(n) OVER (PARTITION BY outcome) AS total FROM buckets WINDOW w AS (PARTITION BY outcome ORDER BY le)),
     qs AS (SELECT unnest([0.5, 0.9, 0.99]) AS p),
     hit AS (SELECT outcome, p, le, low, n, before, total, row_number() OVER (PARTITION BY outcome, p ORDER BY le) AS r FROM b, qs WHERE n >= total * p)
-    SELECT outcome, p, round(CASE WHEN le > 1000 THEN low ELSE low + (le - low) * (total * p - before) / (n - before) END, 9) AS q FROM hit WHERE r = 1""",
+    SELECT outcome, CAST(p AS DOUBLE) AS p, round(CASE WHEN le > 1000 THEN low ELSE low + (le - low) * (total * p - before) / (n - before) END, 9) AS q FROM hit WHERE r = 1""",
     "metrics",
 )
 def latency_quantiles(t: Tables) -> DataFrame:
     b = _buckets(t)
     out = None
     for p in (0.5, 0.9, 0.99):
-        one = metrics.quantile(b, ["outcome"], p).select("outcome", F.lit(p).cast("decimal(3,2)").alias("p"), F.round("q", 9).alias("q"))
+        one = metrics.quantile(b, ["outcome"], p).select("outcome", F.lit(p).alias("p"), F.round("q", 9).alias("q"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -76,7 +76,7 @@ def rate_by_group(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH a AS (SELECT tenant_id, count(*) AS x FROM metrics WHERE ts < {START + 10 * DAY} GROUP BY ALL), b AS (SELECT tenant_id, count(*) AS y FROM metrics WHERE outcome = 'click' AND ts >= {START + 10 * DAY} AND tenant_id % 4 <> 3 GROUP BY ALL)
+    f"""WITH a AS (SELECT tenant_id, count(*) AS x FROM metrics WHERE ts < {START + 10 * DAY} GROUP BY ALL), b AS (SELECT tenant_id, count(*) AS y FROM metrics WHERE outcome = 'click' AND ts >= {START + 10 * DAY} GROUP BY ALL HAVING max(seconds) > 4.8)
     SELECT '/' AS op, tenant_id, round(x / y, 12) AS value FROM a JOIN b USING (tenant_id) UNION ALL SELECT '>', tenant_id, CAST(x AS DOUBLE) FROM a JOIN b USING (tenant_id) WHERE x > y
     UNION ALL SELECT 'and', tenant_id, CAST(x AS DOUBLE) FROM a SEMI JOIN b USING (tenant_id) UNION ALL SELECT 'unless', tenant_id, CAST(x AS DOUBLE) FROM a ANTI JOIN b USING (tenant_id)""",
     "metrics",
@@ -84,7 +84,8 @@ def rate_by_group(t: Tables) -> DataFrame:
 def vector_matching(t: Tables) -> DataFrame:
     count = lambda df: df.groupBy("tenant_id").agg(F.count("*").cast("double").alias("value"))
     a = count(t.metrics.where(F.col("ts") < START + 10 * DAY))
-    b = count(t.metrics.where((F.col("outcome") == "click") & (F.col("ts") >= START + 10 * DAY) & (F.col("tenant_id") % 4 != 3)))
+    late = t.metrics.where((F.col("outcome") == "click") & (F.col("ts") >= START + 10 * DAY))
+    b = late.groupBy("tenant_id").agg(F.count("*").cast("double").alias("value"), F.max("seconds").alias("top")).where("top > 4.8").drop("top")
     out = None
     for op in ("/", ">", "and", "unless"):
         one = metrics.vector(a, b, ["tenant_id"], op).select(F.lit(op).alias("op"), "tenant_id", F.round("value", 12).alias("value"))

@@ -49,13 +49,13 @@ def schedule_actions(t: Tables) -> DataFrame:
 
 @query(
     """WITH l AS (SELECT DISTINCT schedule_id, fire_time FROM all_jobs WHERE schedule_id IS NOT NULL)
-    SELECT l.schedule_id, l.fire_time, CASE WHEN (l.schedule_id, l.fire_time + 1) NOT IN (SELECT schedule_id, fire_time FROM l) THEN l.fire_time + 1 ELSE l.fire_time + 2 END AS free FROM l WHERE schedule_id % 5 = 0""",
+    SELECT l.schedule_id, l.fire_time, CASE WHEN (l.schedule_id, l.fire_time + 1) NOT IN (SELECT schedule_id, fire_time FROM l) THEN l.fire_time + 1 ELSE l.fire_time + 2 END AS free FROM l""",
     "all_jobs",
 )
 def trigger_fire_times(t: Tables) -> DataFrame:
     """A trigger at the very time of a fire takes the next free microsecond."""
     ledger = t.all_jobs.where("schedule_id is not null").select("schedule_id", "fire_time").distinct()
-    return changes.free_fire_time(ledger.where("schedule_id % 5 = 0"), ledger)
+    return changes.free_fire_time(ledger, ledger)
 
 
 @query(
@@ -120,11 +120,11 @@ def patch_quotas(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT id, '{"id":' || id || ',"state":"' || state || '"' || CASE WHEN team IS NOT NULL THEN ',"team":"' || team || '"' ELSE '' END || CASE WHEN start_deadline IS NOT NULL THEN ',"start_deadline":' || start_deadline ELSE '' END || '}' AS body FROM jobs WHERE id < 3000""",
+    """SELECT id, '{"id":' || id || ',"state":"' || state || '"' || CASE WHEN team IS NOT NULL THEN ',"team":"' || team || '"' ELSE '' END || CASE WHEN start_deadline IS NOT NULL THEN ',"start_deadline":' || start_deadline ELSE '' END || '}' AS body FROM jobs""",
     "jobs",
 )
 def job_responses(t: Tables) -> DataFrame:
-    return t.jobs.where("id < 3000").select("id", changes.response(F.col("id"), F.col("state"), F.col("team"), F.col("start_deadline")).alias("body"))
+    return t.jobs.select("id", changes.response(F.col("id"), F.col("state"), F.col("team"), F.col("start_deadline")).alias("body"))
 
 
 @query(
@@ -136,10 +136,10 @@ def usable_credentials(t: Tables) -> DataFrame:
     return k.select("id", admission.usable(NOW).alias("usable"))
 
 
-@query("SELECT id, left(body, 2) AS short, octet_length(encode(left(body, 2))) AS bytes FROM submissions WHERE id % 50 = 0", "submissions")
+@query("SELECT id, left(body, 2) AS short, octet_length(encode(left(body, 2))) AS bytes FROM submissions", "submissions")
 def truncated_text(t: Tables) -> DataFrame:
-    s = t.submissions.where("id % 50 = 0").select("id", text.truncate_utf8(F.col("body"), F.lit(2)).alias("short"))
-    return s.withColumn("bytes", F.octet_length("short"))
+    s = t.submissions.select("id", text.truncate_utf8(F.col("body"), F.lit(2)).alias("short"))
+    return s.withColumn("bytes", F.octet_length("short").cast("long"))
 
 
 @query(
