@@ -81,13 +81,12 @@ def _covered(hashes: Column) -> Column:
     return _let(_let(pairs, among), cover)
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and the measured counts n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+
 
-    Columns of ``docs`` with these names give way.
-    """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    bare = F.translate(whole, SPACES, "")
+def measures(text: Column) -> Column:
+    """The counts of a text as one struct, each computed once."""
+    whole = F.coalesce(text, F.lit(""))
 
     def counts(words: Column) -> Column:
         n = F.size(words)
@@ -100,34 +99,45 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
         own = F.when(n > WINDOW, _let(_let(F.transform(words, lambda w: F.xxhash64(w)), windows), repeated)).otherwise(F.lit(0).cast("long"))
         stops = F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS)))
-        return F.struct(n.cast("long").alias("n_words"), own.alias("n_repeat_words"), stops.cast("long").alias("n_stop_words"))
+        return F.struct(n.alias("n"), own.alias("repeated"), stops.alias("stops"))
 
-    lines = _let(F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]")), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-    new = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    found = docs.select(
-        *kept,
-        _let(_words(whole), counts).alias("__words"),
-        lines.alias("__lines"),
-        F.char_length(bare).cast("long").alias("word_chars"),
-        (F.char_length(whole) - F.char_length(F.translate(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-    )
-    return found.select(*kept, "__words.n_words", "word_chars", "n_symbols", F.col("__lines.n").alias("n_lines"), F.col("__lines.dup").alias("n_dup_lines"), "__words.n_repeat_words", "__words.n_stop_words")
+    lines = _let(F.filter(F.split(whole, "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]")), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+    word_chars = F.char_length(F.translate(whole, SPACES, ""))
+    symbols = F.char_length(whole) - F.char_length(F.translate(whole, SYMBOLS, ""))
+    parts = F.struct(_let(_words(whole), counts).alias("words"), lines.alias("lines"), word_chars.alias("chars"), symbols.alias("symbols"))
 
+    def named(p: Column) -> Column:
+        values = (p["words"]["n"], p["chars"], p["symbols"], p["lines"]["n"], p["lines"]["dup"], p["words"]["repeated"], p["words"]["stops"])
+        return F.struct(*(v.cast("long").alias(n) for n, v in zip(MEASURES, values, strict=True)))
 
-def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] | None = None) -> DataFrame:
-    """The rows of ``docs`` that keep all rules."""
-    found = judge(measure(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(text).alias("text"))), rules or RULES)
-    return found.where("kept").select("__row.*")
+    return _let(parts, named)
 
 
-def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds base_failed, failed (names of the rules that a text breaks) and kept."""
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """struct(base_failed, failed, kept) of a struct of counts: the base rule, the names of the rules that are broken, and whether none is."""
+    base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
     broken = []
     for rule in rules:
-        ratio = F.coalesce(F.expr("try_divide({}, {})".format(*rule.ratio.split(" / ")) if " / " in rule.ratio else rule.ratio), F.lit(0)).cast("double")
+        over, _, under = rule.ratio.partition(" / ")
+        ratio = F.coalesce(F.try_divide(m[over], m[under]) if under else m[over], F.lit(0)).cast("double")
         outside = [ratio < rule.low] if rule.low is not None else []
         outside += [ratio > rule.high] if rule.high is not None else []
         broken.append(F.when(outside[0] if len(outside) == 1 else outside[0] | outside[1], F.lit(rule.name)))
-    return measured.withColumn("base_failed", base).withColumn("failed", F.array_compact(F.array(*broken))).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    return _let(F.filter(F.array(*broken), lambda x: x.isNotNull()), lambda failed: F.struct(base.alias("base_failed"), failed.alias("failed"), (~base & (F.size(failed) == 0)).alias("kept")))
+
+
+def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` and MEASURES. Columns of ``docs`` with these names give way."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
+    return docs.select(*kept, measures(F.col(text)).alias("__m")).select(*kept, "__m.*")
+
+
+def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Adds base_failed, failed and kept to what ``measure`` gives."""
+    found = measured.withColumn("__v", verdict(F.struct(*MEASURES), rules))
+    return found.withColumns({c: F.col(f"__v.{c}") for c in ("base_failed", "failed", "kept")}).drop("__v")
+
+
+def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that keep all rules: one filter, in which each count is computed once."""
+    return docs.where(_let(measures(F.col(text)), lambda m: verdict(m, rules))["kept"])
