@@ -133,14 +133,19 @@ def fires(crons: DataFrame, until: str = "until") -> DataFrame:
     pad = timedelta(days=400) // timedelta(microseconds=1)
     zones = spark.createDataFrame(transitions(span["zones"], span["a"] - pad, span["b"] + pad), "zone string, changes array<struct<at: long, before: long, after: long>>")
     rows = crons.withColumn("m", masks("expr")).where("m.error is null").join(F.broadcast(zones), "zone")
+    # The hours, minutes and seconds of an expression are unfolded once, not at each day or hour.
+    rows = rows.select("id", "after", F.col(until).alias("until"), "m", "changes", _bits(F.col("m.hour"), 0, 23).alias("hours"), _bits(F.col("m.minute"), 0, 59).alias("minutes"), _bits(F.col("m.second"), 0, 59).alias("seconds"))
     day = F.floor(F.col("after") / DAY) - 1
-    days = rows.select("id", "after", F.col(until).alias("until"), "m", "changes", F.explode(F.sequence(day, F.floor(F.col(until) / DAY) + 1)).alias("day"))
+    days = rows.select("*", F.explode(F.sequence(day, F.floor(F.col("until") / DAY) + 1)).alias("day"))
     date = F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int"))
     bit = lambda field, value: F.getbit(F.col(f"m.{field}"), value) == 1
     dom, dow = bit("dom", F.dayofmonth(date)), bit("dow", F.dayofweek(date) - 1)
     days = days.where(bit("month", F.month(date)) & F.when(F.col("m.any_dom") | F.col("m.any_dow"), dom & dow).otherwise(dom | dow))
-    clock = days.select("id", "after", "until", "changes", (F.col("day") * DAY).alias("base"), F.explode(_bits(F.col("m.hour"), 0, 23)).alias("h"), "m")
-    clock = clock.select("id", "after", "until", "changes", (F.col("base") + F.col("h") * 3_600 * SECOND).alias("base"), F.explode(_bits(F.col("m.minute"), 0, 59)).alias("min"), "m")
-    clock = clock.select("id", "after", "until", "changes", (F.col("base") + F.col("min") * 60 * SECOND).alias("base"), F.explode(_bits(F.col("m.second"), 0, 59)).alias("s"))
+    clock = days.select("id", "after", "until", "changes", "minutes", "seconds", "day", F.explode("hours").alias("h"))
+    clock = clock.withColumn("base", F.col("day") * DAY + F.col("h") * 3_600 * SECOND)
+    near = 16 * 3_600 * SECOND  # no zone is further from UTC
+    clock = clock.where((F.col("base") > F.col("after") - near) & (F.col("base") <= F.col("until") + near))
+    clock = clock.select("id", "after", "until", "changes", "seconds", "base", F.explode("minutes").alias("min"))
+    clock = clock.select("id", "after", "until", "changes", (F.col("base") + F.col("min") * 60 * SECOND).alias("base"), F.explode("seconds").alias("s"))
     at = resolve(F.col("base") + F.col("s") * SECOND, F.col("changes"))
     return clock.select("id", "after", "until", at.alias("fire_time")).where("fire_time > after and fire_time <= until").select("id", "fire_time").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SECOND = 1_000_000
@@ -55,22 +56,40 @@ def violations(name: Column, labels: Column, dedupe_key: Column, correlation_id:
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def _in_order(rows: DataFrame, key: list[str], fold, schema: str) -> DataFrame:
+    """A fold over each key's rows by (ts, id): rows stream through a task in that order, only the state of the key at hand is held. fold(key) gives a function of a row that returns what the row becomes."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        at, step = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                k = tuple(getattr(row, c) for c in key)
+                if k != at:
+                    at, step = k, fold(k)
+                out.append(k + step(row))
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "ts", "id").mapInPandas(run, schema)
+
+
 def first_use(requests: DataFrame, ttl: int = DAY) -> DataFrame:
-    """Idempotency: within a tenant and key, the request that claims it (the first, or the first after a claim's end) and what the others are to it.
-
-    Claims follow each other in time, so a key's requests are folded in order; a
-    key is used a few times, and what is folded are (ts, id, hash) only.
-    """
-    keyed = requests.where("idempotency_key is not null")
-    step = F.expr(
-        f"""aggregate(rows, named_struct('until', CAST(-1 AS BIGINT), 'owner', CAST(NULL AS BIGINT), 'hash', CAST(NULL AS STRING), 'out', CAST(array() AS array<struct<id: bigint, owner: bigint, outcome: string>>)),
-        (s, r) -> CASE WHEN r.ts >= s.until
-            THEN named_struct('until', r.ts + {ttl}, 'owner', r.id, 'hash', r.hash, 'out', concat(s.out, array(named_struct('id', r.id, 'owner', r.id, 'outcome', 'created'))))
-            ELSE named_struct('until', s.until, 'owner', s.owner, 'hash', s.hash, 'out', concat(s.out, array(named_struct('id', r.id, 'owner', s.owner, 'outcome', CASE WHEN r.hash = s.hash THEN 'replayed' ELSE 'key_reused' END)))) END,
-        s -> s.out)"""
-    )
-    groups = keyed.groupBy("tenant_id", "idempotency_key").agg(F.sort_array(F.collect_list(F.struct("ts", "id", F.sha2(F.col("body"), 256).alias("hash")))).alias("rows"))
-    return groups.select("tenant_id", "idempotency_key", F.inline(step))
+    """Idempotency: within a tenant and key, the request that claims it (the first, or the first after a claim's end) and what the others are to it."""
+    keyed = requests.where("idempotency_key is not null").select("tenant_id", "idempotency_key", "ts", "id", F.sha2(F.col("body"), 256).alias("hash"))
+
+    def fold(key):
+        claim = [-1, None, None]  # until, owner, hash
+
+        def step(r):
+            if r.ts >= claim[0]:
+                claim[:] = r.ts + ttl, r.id, r.hash
+                return r.id, r.id, "created"
+            return r.id, claim[1], "replayed" if r.hash == claim[2] else "key_reused"
+
+        return step
+
+    return _in_order(keyed, ["tenant_id", "idempotency_key"], fold, "tenant_id int, idempotency_key string, id long, owner long, outcome string")
 
 
 def deduplicate(created: DataFrame, active: DataFrame) -> DataFrame:
@@ -104,25 +123,23 @@ def shed(priority: Column, age_ms: Column, target_ms: Column, fresh: Column, sat
 
 
 def token_bucket(requests: DataFrame, by: str, rate: str, burst: float = 2.0) -> DataFrame:
-    """Requests (by, ts, id, rate) through a bucket of burst * rate tokens that refills by rate a second: id, allowed, wait (seconds until a token).
-
-    The bucket is a fold over a caller's requests in order; they are split into
-    stretches first: after a pause long enough to fill the bucket its state is known,
-    so each stretch is folded alone and no task holds all requests of a caller.
-    """
-    w = Window.partitionBy(by).orderBy("ts", "id")
-    gap = (F.col("ts") - F.lag("ts").over(w)) / SECOND
-    fresh = (F.lag("ts").over(w).isNull() | (gap >= burst)).cast("int")  # burst * rate tokens at rate a second take burst seconds
-    split = requests.withColumn("stretch", F.sum(fresh).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = split.groupBy(by, "stretch", rate).agg(F.sort_array(F.collect_list(F.struct("ts", "id"))).alias("rows"))
-    fold = F.expr(
-        f"""aggregate(rows, named_struct('tokens', {burst}D * {rate}, 'ts', rows[0].ts, 'out', CAST(array() AS array<struct<id: bigint, allowed: boolean, wait: double>>)),
-        (s, r) -> named_struct(
-            'tokens', least({burst}D * {rate}, s.tokens + (r.ts - s.ts) / {SECOND}D * {rate}) - CASE WHEN least({burst}D * {rate}, s.tokens + (r.ts - s.ts) / {SECOND}D * {rate}) >= 1 THEN 1D ELSE 0D END,
-            'ts', r.ts,
-            'out', concat(s.out, array(named_struct('id', r.id,
-                'allowed', least({burst}D * {rate}, s.tokens + (r.ts - s.ts) / {SECOND}D * {rate}) >= 1,
-                'wait', greatest(0D, (1D - least({burst}D * {rate}, s.tokens + (r.ts - s.ts) / {SECOND}D * {rate})) / {rate}))))),
-        s -> s.out)"""
-    )
-    return rows.select(by, F.inline(fold))
+    """Requests (by, ts, id, rate) through a bucket of burst * rate tokens that refills by rate a second: id, allowed, wait (seconds until a token)."""
+
+    def fold(key):
+        tokens, last = None, None
+
+        def step(r):
+            nonlocal tokens, last
+            full = burst * r.rate
+            tokens = full if tokens is None else min(full, tokens + (r.ts - last) / SECOND * r.rate)
+            last = r.ts
+            if tokens >= 1:
+                tokens -= 1
+                return int(r.id), True, 0.0
+            return int(r.id), False, (1 - tokens) / r.rate
+
+        return step
+
+    rows = requests.select(by, "ts", "id", F.col(rate).cast("double").alias("rate"))
+    kind = rows.schema[by].dataType.simpleString()
+    return _in_order(rows, [by], fold, f"{by} {kind}, id long, allowed boolean, wait double")
