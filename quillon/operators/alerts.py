@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import metrics
 
@@ -27,10 +27,18 @@ class Rule:
 
 
 class Samples:
-    """Samples at evaluation times."""
+    """Samples, and the times since, since + step, ... until at which rules are evaluated."""
 
-    def __init__(self, samples: DataFrame, times: DataFrame):
-        self.samples, self.times = samples, times
+    def __init__(self, samples: DataFrame, since: int, until: int, step: int):
+        self.samples, self.since, self.until, self.step = samples, since, until, step
+
+    def _seen(self, s: DataFrame, span: int) -> DataFrame:
+        """A row for each evaluation that sees a sample, ts <= at <= ts + span: the times follow from the sample, so nothing is joined."""
+        behind = lambda x: (x - F.pmod(x - self.since, F.lit(self.step))).cast("long")  # noqa: E731  the evaluation at or before x
+        first = F.greatest(F.lit(self.since), behind(F.col("ts") + (self.step - 1)))
+        last = F.least(behind(F.lit(self.until)), behind(F.col("ts") + span))
+        s = s.withColumn("first", first).withColumn("last_at", last).where("first <= last_at")
+        return s.withColumn("at", F.explode(F.sequence("first", "last_at", F.lit(self.step).cast("long")))).drop("first", "last_at")
 
     def _of(self, name: str, by: tuple[str, ...], where: Column | None) -> DataFrame:
         s = self.samples.where(F.col("name") == name)
@@ -42,14 +50,14 @@ class Samples:
     def instant(self, name: str, by: tuple[str, ...], agg: str = "sum", where: Column | None = None, of=None) -> DataFrame:
         """agg by labels over the latest samples: at, by..., value."""
         s = self._of(name, by, where)
-        near = s.join(F.broadcast(self.times), (F.col("ts") <= F.col("at")) & (F.col("ts") > F.col("at") - STALE))
+        near = self._seen(s, STALE - 1)
         last = near.groupBy("at", "series", *by).agg(F.max_by("value", "ts").alias("value"))
         return last.groupBy("at", *by).agg(getattr(F, agg)(of(F.col("value")) if of else F.col("value")).alias("value"))
 
     def grown(self, name: str, by: tuple[str, ...], span: int, where: Column | None = None, rate: bool = False) -> DataFrame:
         """Sum by labels of what counters gained over the span before each time."""
         s = self._of(name, by, where)
-        near = s.join(F.broadcast(self.times), (F.col("ts") <= F.col("at")) & (F.col("ts") >= F.col("at") - span))
+        near = self._seen(s, span)
         last = F.lag("value").over(Window.partitionBy("at", "series", *by).orderBy("ts"))
         near = near.withColumn("last", last)
         gain = F.when(F.col("last").isNull(), 0.0).when(F.col("value") >= F.col("last"), F.col("value") - F.col("last")).otherwise(F.col("value"))
@@ -110,12 +118,11 @@ RULES = (
 )
 
 
-def evaluate(spark: SparkSession, samples: DataFrame, since: int, until: int, step: int, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Alerts: alert, at, labels, value, firing (else pending), for every evaluation in since..until. The times are the product of the arguments, so broadcasting them is bounded by the caller."""
-    times = spark.range(since, until + 1, step).select(F.col("id").alias("at"))
+def evaluate(samples: DataFrame, since: int, until: int, step: int, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Alerts: alert, at, labels, value, firing (else pending), for every evaluation in since..until."""
     out = None
     for rule in rules:
-        held = rule.build(Samples(samples, times))
+        held = rule.build(Samples(samples, since, until, step))
         # Evaluations without a gap: time minus place in the sequence is the same.
         key = list(rule.by)
         nth = F.row_number().over(Window.partitionBy(*(key or [F.lit(0)])).orderBy("at"))

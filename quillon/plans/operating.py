@@ -193,4 +193,4 @@ def alert_rules(t: Tables) -> DataFrame:
     target = m.select(F.lit("pool_backlog_target_seconds").alias("name"), F.create_map(F.lit("pool"), F.col("outcome")).alias("labels"), "ts", F.lit(250.0).alias("value"))
     free = m.select(F.lit("worker_slots").alias("name"), F.create_map(F.lit("pool"), F.col("outcome"), F.lit("state"), F.lit("free")).alias("labels"), "ts", F.col("seconds").alias("value"))
     ready = m.select(F.lit("jobs_ready").alias("name"), F.create_map(F.lit("pool"), F.col("outcome")).alias("labels"), "ts", F.lit(3.0).alias("value"))
-    return alerts.evaluate(t.spark, age.unionByName(target).unionByName(free).unionByName(ready), START, START + DAY, 10 * MINUTE)
+    return alerts.evaluate(age.unionByName(target).unionByName(free).unionByName(ready), START, START + DAY, 10 * MINUTE)

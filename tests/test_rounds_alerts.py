@@ -19,7 +19,7 @@ def series(name, labels, step, values):
 
 
 def firing(spark, rows, step, at, alert):
-    out = alerts.evaluate(spark, spark.createDataFrame(rows, SAMPLE), T0, T0 + at, step, tuple(r for r in alerts.RULES if r.name == alert))
+    out = alerts.evaluate(spark.createDataFrame(rows, SAMPLE), T0, T0 + at, step, tuple(r for r in alerts.RULES if r.name == alert))
     return {tuple(sorted(r["labels"].items())): r["value"] for r in out.where((F.col("at") == T0 + at) & F.col("firing")).collect()}
 
 
