@@ -149,3 +149,46 @@ def fires(crons: DataFrame, until: str = "until") -> DataFrame:
     clock = clock.select("id", "after", "until", "changes", (F.col("base") + F.col("min") * 60 * SECOND).alias("base"), F.explode("seconds").alias("s"))
     at = resolve(F.col("base") + F.col("s") * SECOND, F.col("changes"))
     return clock.select("id", "after", "until", at.alias("fire_time")).where("fire_time > after and fire_time <= until").select("id", "fire_time").distinct()
+
+
+def next_fire(fields: dict, zone: ZoneInfo, after: int) -> int | None:
+    """The first fire strictly after an instant, by stepping through the calendar: the rule in its plainest form, for a preview of a few fires."""
+    epoch = datetime(1970, 1, 1)
+    wall = epoch + timedelta(seconds=after // SECOND) + datetime.fromtimestamp(after // SECOND, timezone.utc).astimezone(zone).utcoffset()
+    wall += timedelta(seconds=1)
+    has = lambda name, value: fields[name] >> value & 1
+    limit = wall.replace(year=wall.year + 10, day=min(wall.day, 28))
+    while wall < limit:
+        dom, dow = has("dom", wall.day), has("dow", wall.isoweekday() % 7)
+        day = dom and dow if fields["any_dom"] or fields["any_dow"] else dom or dow
+        if not has("month", wall.month) or not day:
+            wall = wall.replace(hour=0, minute=0, second=0) + timedelta(days=1)
+        elif not has("hour", wall.hour):
+            wall = wall.replace(minute=0, second=0) + timedelta(hours=1)
+        elif not has("minute", wall.minute):
+            wall = wall.replace(second=0) + timedelta(minutes=1)
+        elif not has("second", wall.second):
+            wall += timedelta(seconds=1)
+        else:
+            early, late = wall.replace(tzinfo=zone, fold=0), wall.replace(tzinfo=zone, fold=1)
+            at = (early - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+            if early.utcoffset() < late.utcoffset():  # a gap: the change lies between the two readings
+                low, high = sorted((at, (late - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)))
+                at = transitions([zone.key], low - 2 * DAY, high + 2 * DAY)[0][1][1][0]
+            if at > after:
+                return at
+            wall += timedelta(seconds=1)
+    return None
+
+
+@F.udtf(returnType="fire_time: long")
+class NextFires:
+    """The next ``most`` fires of an expression in a zone after an instant: a table function, for LATERAL joins with a few schedules."""
+
+    def eval(self, expr: str, zone: str, after: int, most: int):
+        fields, place = parse(expr), ZoneInfo(zone)
+        for _ in range(most):
+            after = next_fire(fields, place, after)
+            if after is None:
+                return
+            yield (after,)

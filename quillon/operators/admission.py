@@ -143,3 +143,9 @@ def token_bucket(requests: DataFrame, by: str, rate: str, burst: float = 2.0) ->
     rows = requests.select(by, "ts", "id", F.col(rate).cast("double").alias("rate"))
     kind = rows.schema[by].dataType.simpleString()
     return _in_order(rows, [by], fold, f"{by} {kind}, id long, allowed boolean, wait double")
+
+
+def new_jobs(accepted: DataFrame, now: int) -> DataFrame:
+    """Accepted submissions (id, run_at, ...) as jobs: due ones are ready at once, the others scheduled."""
+    due = F.col("run_at") <= now
+    return accepted.withColumn("state", F.when(due, "READY").otherwise("SCHEDULED")).withColumn("ready_at", F.when(due, F.lit(now)).cast("long")).withColumn("attempt_count", F.lit(0)).withColumn("created_at", F.lit(now))

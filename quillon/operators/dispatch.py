@@ -100,22 +100,31 @@ def release(jobs: DataFrame, refs: DataFrame) -> DataFrame:
 # -- the end of an attempt ----------------------------------------------------
 
 
-def backoff_ms(attempt: Column, policy: dict = RETRY) -> Column:
-    """Delay before the attempt after ``attempt``, without jitter: fixed, or growing until the cap."""
-    if policy["strategy"] == "fixed":
-        return F.lit(policy["initial_delay_ms"]).cast("long")
-    grown = F.lit(float(policy["initial_delay_ms"])) * F.pow(F.lit(float(policy["multiplier"])), F.least(attempt - 1, F.lit(64)))
-    return F.least(grown, F.lit(float(policy["max_delay_ms"]))).cast("long")
+def delays_us(policy: dict = RETRY) -> list[int]:
+    """Delays after the 1st, 2nd, ... attempt in microseconds, up to the first that the cap holds. Each step cuts to whole nanoseconds, as a multiplier need not be whole."""
+    cap = policy["max_delay_ms"] * 1_000_000
+    d = policy["initial_delay_ms"] * 1_000_000
+    out = [min(d, cap)]
+    while policy["strategy"] == "exponential" and policy["multiplier"] > 1 and d < cap and len(out) < 10_000:
+        d = int(float(d) * policy["multiplier"])
+        out.append(min(d, cap))
+    return [x // 1_000 for x in out]
+
+
+def backoff_us(attempt: Column, policy: dict = RETRY) -> Column:
+    """Delay before the attempt after ``attempt``, without jitter."""
+    known = delays_us(policy)
+    return F.element_at(F.array(*(F.lit(x).cast("long") for x in known)), F.least(F.greatest(attempt, F.lit(1)), F.lit(len(known))).cast("int"))
 
 
 def retry_decision(end: Column, retryable: Column, attempts: Column, lost: Column, at_most_once: Column, cancelled: Column, started_at: Column, deadline: Column, now: Column, rnd: Column | None = None, retry_after_ms: Column | None = None, policy: dict = RETRY) -> Column:
     """What follows an ended attempt, as struct(next, reason, run_at); the first rule that holds decides."""
-    delay = backoff_ms(attempts, policy)
+    delay = backoff_us(attempts, policy)
     if rnd is not None:
         delay = F.floor(delay * rnd).cast("long")
     if retry_after_ms is not None:
-        delay = F.when((end == "FAILED") & (retry_after_ms > 0), F.least(retry_after_ms, F.lit(policy["max_delay_ms"]))).otherwise(delay)
-    run_at = now + delay * 1000
+        delay = F.when((end == "FAILED") & (retry_after_ms > 0), F.least(retry_after_ms, F.lit(policy["max_delay_ms"])) * 1000).otherwise(delay)
+    run_at = now + delay
     budget_end = started_at + policy["max_retry_duration_ms"] * 1000
     last = F.least(budget_end, deadline)  # least ignores nulls
     to = lambda state, reason=None, at=None: F.struct(F.lit(state).alias("next"), F.lit(reason).cast("string").alias("reason"), (at if at is not None else F.lit(None)).cast("long").alias("run_at"))
@@ -134,6 +143,25 @@ def retry_decision(end: Column, retryable: Column, attempts: Column, lost: Colum
     )
 
 
+#: Limits of a retry policy; durations in milliseconds.
+POLICY_LIMITS = {"max_attempts": 50, "min_delay_ms": 1_000, "max_delay_ms": 86_400_000, "max_retry_duration_ms": 604_800_000, "max_multiplier": 10.0}
+
+
+def policy_violations(p: Column, limits: dict = POLICY_LIMITS) -> Column:
+    """Every way in which a policy, a struct with the fields of RETRY and jitter, breaks the limits."""
+    found = F.array(
+        F.when(~p["strategy"].isin("fixed", "exponential"), "strategy"),
+        F.when((p["strategy"] == "exponential") & ~p["multiplier"].between(1.0, limits["max_multiplier"]), "multiplier"),
+        F.when(~p["jitter"].isin("none", "full"), "jitter"),
+        F.when(p["initial_delay_ms"] < limits["min_delay_ms"], "initial_delay_ms"),
+        F.when((p["max_delay_ms"] < p["initial_delay_ms"]) | (p["max_delay_ms"] > limits["max_delay_ms"]), "max_delay_ms"),
+        F.when(~p["max_attempts"].between(1, limits["max_attempts"]), "max_attempts"),
+        F.when((p["max_retry_duration_ms"] <= 0) | (p["max_retry_duration_ms"] > limits["max_retry_duration_ms"]), "max_retry_duration_ms"),
+        F.when((p["max_lost_attempts"] < 1) | (p["max_lost_attempts"] > p["max_attempts"]), "max_lost_attempts"),
+    )
+    return F.filter(found, lambda x: x.isNotNull())
+
+
 def complete(jobs: DataFrame, reports: DataFrame, attempts: DataFrame, now: int) -> DataFrame:
     """reports (job_id, attempt, outcome, retryable), one a job. A report of the current attempt decides; one that repeats a recorded outcome is a replay; any other is stale."""
     current = jobs.where("state = 'RUNNING'")

@@ -136,3 +136,21 @@ def move(rows: DataFrame, where: Column, **overrides: Column) -> tuple[DataFrame
     """(what stays, what moves with the overrides applied); a condition that is null does not move a row."""
     gone = F.coalesce(where, F.lit(False))
     return rows.where(~gone), rows.where(gone).withColumns(overrides)
+
+
+def lookup(rows: DataFrame, **keys) -> DataFrame:
+    """Rows of the given keys; equality reaches the scan as a pushed filter."""
+    cond = F.lit(True)
+    for name, value in keys.items():
+        cond &= F.col(name) == value
+    return rows.where(cond)
+
+
+def zipped(spark, schema: str, *columns: list) -> DataFrame:
+    """Parallel arrays, such as a request's parameters, as a relation."""
+    return spark.createDataFrame(list(zip(*columns, strict=True)), schema)
+
+
+def in_scope(rows: DataFrame, pool: str) -> DataFrame:
+    """Rows that a credential of a pool may see; an empty pool means all."""
+    return rows.where(F.col("pool") == pool) if pool else rows

@@ -91,3 +91,8 @@ def checks(measured: DataFrame) -> DataFrame:
 def minute_boundaries(since: Column, until: Column) -> Column:
     """Whole minutes in (since, until]."""
     return (F.floor(until / (60 * SECOND)) - F.floor(since / (60 * SECOND))).cast("long")
+
+
+def clock_offset(db_now: Column, start: Column, rtt: Column) -> Column:
+    """How far a database's clock is ahead, its answer taken at the middle of the round trip; microseconds."""
+    return db_now - (start + (rtt / 2).cast("long"))
