@@ -67,7 +67,7 @@ def _reports(t: Tables) -> DataFrame:
 
 def decide_sql(end: str, retryable: str, attempts: str, lost: str) -> str:
     """The retry rules as CASE expressions over a running job's columns: next, reason, run_at."""
-    delay = f"least(10000.0 * pow(2.0, {attempts} - 1), 3600000.0)"
+    delay = f"least(10000.0 * pow(2.0, greatest({attempts}, 1) - 1), 3600000.0)"
     run_at = f"{NOW} + CAST({delay} AS BIGINT) * 1000"
     last = "least(attempt_started_at + 86400000000, coalesce(deadline, attempt_started_at + 86400000000))"
     rules = [
