@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Characters that one numpy pass of an operator holds at once.
-CHARS_AT_ONCE = 1_500_000
+CHARS_AT_ONCE = 1_000_000
 
 _written: list[tuple[object, str]] = []
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import CHARS_AT_ONCE, append, groups_by_size, hash_part, with_columns
+from .common import CHARS_AT_ONCE, append, groups_by_size, hash_part, small_batches, with_columns
 
 UNKNOWN = "und"
 #: Bound of the matrix that is broadcast: 64 MB of 4-byte numbers.
@@ -124,6 +124,7 @@ class Model:
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 2_000, buckets: int = 1 << 15, alpha: float = 0.5) -> Model:
     """Learn from the rows where ``learn`` holds and ``lang`` and ``text`` are not null."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     found = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
@@ -165,6 +166,7 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of ``docs``, then the language and its score; columns of these names give way."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

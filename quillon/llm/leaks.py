@@ -29,7 +29,7 @@ from urllib.parse import unquote_to_bytes
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .common import append, with_columns
+from .common import append, small_batches, with_columns
 
 #: The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -144,6 +144,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``secrets``, the spans."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -155,6 +156,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: counts of the base kinds, the digest of their spans, and all spans."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .common import append, with_columns
+from .common import append, small_batches, with_columns
 
 #: The base patterns.
 LOCAL = "A-Za-z0-9._%+-"
@@ -154,6 +154,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``pii``, the spans with their scores."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -166,6 +167,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
     """The columns of ``docs`` with spans replaced in the text, and ``chars``, where there is such a column, counted anew."""
     schema = docs.schema
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -184,6 +186,7 @@ def redact(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataF
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: counts of the base kinds, the digest of their spans, and all spans."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from xxhash import xxh64_intdigest
 
-from .common import append, hash_part, materialize, with_columns
+from .common import append, hash_part, materialize, small_batches, with_columns
 from .components import components
 
 RADIUS = 3
@@ -63,6 +63,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """All columns of ``docs`` and the fingerprint as a signed 64-bit number."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
