@@ -27,13 +27,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import hash_part, materialize
 from .components import components
 from .simhash import Forest
 
-BLOCK = 8
+BLOCK = 16
 #: Members that a leaf is planned for, the bound of the sample, and the size from which leaves are tiled.
 LEAF_POINTS, SAMPLE, TILE = 3_000, 4_096, 6_000
 SLACK = 1e-9
@@ -91,9 +91,9 @@ def deal(points: np.ndarray, tree: Cut, radius: float):
         work.append((node.high, members[m > node.at], np.concatenate([visitors[v + radius > node.at], members[(m <= node.at) & (m + radius > node.at)]])))
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    """Rows of packed 8-byte numbers as unit vectors."""
-    x = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _unit(column: pa.Array, kind: str) -> np.ndarray:
+    """Rows of packed numbers as unit vectors in double precision."""
+    x = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # the squares of very large or small ones would not be numbers
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -138,7 +138,11 @@ def join_leaf(x: np.ndarray, weight: np.ndarray, asks: np.ndarray, own: np.ndarr
 def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """A row for each vector: the key, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    whole = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"))
+    whole = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("x"))
+    single = vectors.schema[vector].dataType.elementType == T.FloatType()
+    if not single:
+        whole = whole.withColumn("x", F.col("x").cast("array<double>"))
+    kind = "<f4" if single else "<f8"  # vectors move in the precision that they came in
     good = F.col("label").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     whole = whole.withColumn("good", F.coalesce(good, F.lit(False)))
     classes = whole.where("good").groupBy("label", "x").agg(F.min("id").alias("least"), F.count("*").alias("n"))
@@ -152,7 +156,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
         if depth:
             parts = 1_000_000
             drawn = classes.where((F.size("x") == row["dims"]) & (hash_part("class", F.lit("cuts"), parts=parts) < max(1, parts * SAMPLE // row["all"]))).select("x").limit(2 * SAMPLE).collect()
-        unit = _unit(pa.array([np.array(r["x"]).tobytes() for r in drawn])) @ rotation(row["dims"]) if drawn else np.zeros((0, row["dims"]))
+        unit = _unit(pa.array([np.array(r["x"], kind).tobytes() for r in drawn]), kind) @ rotation(row["dims"]) if drawn else np.zeros((0, row["dims"]))
         trees[row["dims"]] = [cuts(unit[:, b], depth) for b in blocks(row["dims"])]
     sent = spark.sparkContext.broadcast(trees)
 
@@ -164,12 +168,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
     def route(batches):
         for batch in batches:
             raw = packed(batch)
-            lengths = np.array([len(r) // 8 for r in raw])
+            lengths = np.array([len(r) // int(kind[-1]) for r in raw])
             for dims in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == dims)
                 rows = batch.take(pa.array(at))
                 data = pa.array([raw[i] for i in at], pa.binary())
-                rotated = _unit(data) @ rotation(dims)
+                rotated = _unit(data, kind) @ rotation(dims)
                 for k, (b, tree) in enumerate(zip(blocks(dims), sent.value[dims], strict=True)):
                     radius = np.sqrt((2 - 2 * least) * (b.stop - b.start) / dims + SLACK)
                     for leaf, some, own in deal(rotated[:, b], tree, radius):
@@ -180,7 +184,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
                         )
 
     label_type = classes.schema["label"].dataType.simpleString()
-    dealt = materialize(classes.select("label", "x", "class", "n").mapInArrow(route, f"label {label_type}, dims int, block int, leaf int, own boolean, class long, n long, x binary"), "leaves")
+    dealt = classes.select("label", "x", "class", "n").mapInArrow(route, f"label {label_type}, dims int, block int, leaf int, own boolean, class long, n long, x binary")
     place = ["label", "dims", "block", "leaf"]
     # A leaf of t tiles: member tile i asks and is owned in (i, i), asks in (i, j > i), is owned in (j < i, i); visitors ask once in each tile.
     tiles = dealt.where("own").groupBy(*place).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
@@ -191,7 +195,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
     split = split.select(*place, "class", "n", "x", F.explode(pairs).alias("t")).select(*place, "t.*", "class", "n", "x")
 
     def join(group: pa.Table) -> pa.Table:
-        x, n, ids = _unit(group.column("x")), group.column("n").to_numpy(), group.column("class").to_numpy()
+        x, n, ids = _unit(group.column("x"), kind), group.column("n").to_numpy(), group.column("class").to_numpy()
         total, root = join_leaf(x, n, group.column("asks").to_numpy(), group.column("owned").to_numpy(), group.column("block")[0].as_py(), least)
         some = np.flatnonzero((total > 0) | (root != np.arange(len(ids))))
         return pa.table({"class": ids[some], "links": total[some], "root": ids[root[some]]})
