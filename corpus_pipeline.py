@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillon.llm import langid, packing, pii, quality, simhash
-from quillon.llm.common import materialize, table
+from quillon.llm.common import materialize, release, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; returns the last one's pieces."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        release(last)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -56,8 +56,20 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     if not _written:
         atexit.register(_forget)
     jvm = spark.sparkContext._jvm
-    _written.append((jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()))
-    return spark.read.schema(df.schema).parquet(path)
+    folder = (jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration())
+    _written.append(folder)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.quillon_folder = folder
+    return found
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, which no plan may read any more; other frames are left alone."""
+    folder = getattr(df, "quillon_folder", None)
+    if folder in _written:
+        _written.remove(folder)
+        path, conf = folder
+        path.getFileSystem(conf).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 MAX_ROUNDS = 60
 
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))
         new = both.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b")
         own = least.where("a <> least").select("a", F.col("least").alias("b"))
-        edges = materialize(new.unionByName(own).distinct(), "links")
+        last, edges = edges, materialize(new.unionByName(own).distinct(), "links")
+        release(last)
         after = _state(edges)
         if after == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
