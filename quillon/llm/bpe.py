@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 from xxhash import xxh64_intdigest
 
-from .common import append, groups_by_size, with_columns
+from .common import append, groups_by_size, small_batches, with_columns
 from .pretokens import splitter
 
 #: Bound of what is broadcast: a vocabulary file above it is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pre-tokens that a worker remembers in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -177,6 +177,7 @@ def _batches(batch: pa.RecordBatch, column: str):
 
 def encode(docs: DataFrame, model: Codec, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of ``docs`` and ``ids``, binary: little-endian unsigned 32-bit ids of the whole text."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -190,6 +191,7 @@ def encode(docs: DataFrame, model: Codec, text: str = "text", ids: str = "ids")
 
 def decode(rows: DataFrame, model: Codec, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns of ``rows`` and ``out``, the bytes that the ids stand for (null ids: none)."""
+    small_batches(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -206,6 +208,7 @@ DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def round_trip(docs: DataFrame, model: Codec, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode, then decode the ids; of both only digests leave the worker, so that no ids are moved."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     key_field = docs.schema[key]
 
