@@ -28,7 +28,8 @@ def _drain(t: Tables, out: DataFrame, mode: str = "append") -> DataFrame:
 
 def _events(t: Tables) -> DataFrame:
     batch = t.spark.read.parquet(f"{t.sf_dir}/events.parquet")
-    return t.spark.readStream.schema(batch.schema).parquet(f"{t.sf_dir}/events.parquet*")
+    stream = t.spark.readStream.schema(batch.schema).parquet(f"{t.sf_dir}/events.parquet*")
+    return stream.withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))"))  # whatever the session's zone
 
 
 @query(
@@ -51,7 +52,7 @@ def stream_rollup(t: Tables) -> DataFrame:
 )
 def stream_token_bucket(t: Tables) -> DataFrame:
     """A bucket of two requests a day for each tenant; the state is kept across triggers."""
-    e = _events(t).select((F.col("user_id") % 25).cast("int").alias("tenant_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("id"), (F.lit(1.0) / 43200.0).alias("rate"))
+    e = _events(t).select((F.col("user_id") % 25).cast("int").alias("tenant_id"), F.unix_micros("ts").alias("ts"), F.col("event_id").alias("id"), (F.lit(1.0) / 43200.0).alias("rate"))
     done = _drain(t, streams.token_bucket(e, burst=86400.0))
     return done.groupBy("tenant_id").agg(F.count("*").alias("asked"), F.count_if("allowed").alias("allowed"))
 

@@ -8,16 +8,19 @@ DAY = 86_400_000_000
 PARTITION = "finished_day"
 
 
+def _day(at: str):
+    """The UTC day of an instant, whatever the session's zone."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(at) / DAY).cast("int")), "yyyyMMdd")
+
+
 def write(rows: DataFrame, path: str, at: str = "finished_at") -> None:
     """Appends rows to the partition of the UTC day on which they ended; rows without an end go to the default one."""
-    day = F.date_format(F.timestamp_micros(at), "yyyyMMdd")
-    rows.withColumn(PARTITION, day).write.mode("append").partitionBy(PARTITION).parquet(path)
+    rows.withColumn(PARTITION, _day(at)).write.mode("append").partitionBy(PARTITION).parquet(path)
 
 
 def rewrite_days(rows: DataFrame, path: str, at: str = "finished_at") -> None:
     """Replaces the days that occur in ``rows``, no others."""
-    day = F.date_format(F.timestamp_micros(at), "yyyyMMdd")
-    rows.withColumn(PARTITION, day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(path)
+    rows.withColumn(PARTITION, _day(at)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PARTITION).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
