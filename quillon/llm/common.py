@@ -91,9 +91,9 @@ def append(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays + list(new.values()), names=names + list(new))
 
 
-def hash_part(*cols: Column | str, parts: int = 1_000_000) -> Column:
+def hash_part(*cols: Column | str, parts: int = 1 << 40) -> Column:
     """A number below ``parts`` that depends on the columns only: the same rows are drawn at every run."""
-    return F.pmod(F.xxhash64(*cols), F.lit(parts))
+    return F.pmod(F.xxhash64(*cols), F.lit(parts).cast("long"))
 
 
 def groups_by_size(sizes, most: int = CHARS_AT_ONCE):

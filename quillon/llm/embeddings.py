@@ -34,8 +34,10 @@ from .components import components
 from .simhash import Forest
 
 BLOCK = 16
-#: Members that a leaf is planned for, the bound of the sample, and the size from which leaves are tiled.
-LEAF_POINTS, SAMPLE, TILE = 3_000, 4_096, 6_000
+#: Members that a leaf is planned for, and the size from which leaves are tiled.
+LEAF_POINTS, TILE = 3_000, 6_000
+#: The sample that plans the leaves, 32 vectors for each, and its bounds.
+SAMPLE, MAX_SAMPLE = 4_096, 65_536
 SLACK = 1e-9
 
 
@@ -154,8 +156,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, key: str = "vec_id"
         depth = max(0, int(np.ceil(np.log2(max(1, row["most"]) / LEAF_POINTS))))
         drawn = []
         if depth:
-            parts = 1_000_000
-            drawn = classes.where((F.size("x") == row["dims"]) & (hash_part("class", F.lit("cuts"), parts=parts) < max(1, parts * SAMPLE // row["all"]))).select("x").limit(2 * SAMPLE).collect()
+            parts, wanted = 1 << 40, min(MAX_SAMPLE, max(SAMPLE, 32 << depth))
+            drawn = classes.where((F.size("x") == row["dims"]) & (hash_part("class", F.lit("cuts"), parts=parts) < max(1, parts * wanted // row["all"]))).select("x").limit(2 * wanted).collect()
         unit = _unit(pa.array([np.array(r["x"], kind).tobytes() for r in drawn]), kind) @ rotation(row["dims"]) if drawn else np.zeros((0, row["dims"]))
         trees[row["dims"]] = [cuts(unit[:, b], depth) for b in blocks(row["dims"])]
     sent = spark.sparkContext.broadcast(trees)

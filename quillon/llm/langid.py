@@ -135,7 +135,7 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
         return Model([], buckets, np.zeros(1), np.zeros((buckets + 1, 1), np.float32))
     while buckets * len(languages) > MAX_CELLS:
         buckets //= 2
-    parts = 1_000_000
+    parts = 1 << 40
     taken = F.create_map(*(F.lit(x) for k in languages for x in (k, -(-parts * rows_per_language // max(counts[k], rows_per_language)))))
     number = F.create_map(*(F.lit(x) for i, k in enumerate(languages) for x in (k, i)))
     drawn = rows.where(hash_part(F.col(key), F.lit("language"), parts=parts) < taken[F.col(lang)]).select(number[F.col(lang)].alias("lang"), F.col(text).alias("text"))

@@ -181,7 +181,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Trains with a bounded draw of the corpus' paragraphs as unknown ones."""
     rows = docs.where(F.col(text).isNotNull())
     n = rows.count()
-    parts = 1_000_000
+    parts = 1 << 40
     drawn = rows.where(hash_part(F.col(key), F.lit("licences"), parts=parts) < max(1, parts * NEGATIVES // max(1, n)))
     # The first line with a word, cut for the driver's sake: negatives are examples, not results.
     lines = drawn.select(F.substring(F.regexp_extract(text, r"[^\n]*\w[^\n]*", 0), 1, 400).alias("line")).limit(2 * NEGATIVES).collect()

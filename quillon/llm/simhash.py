@@ -39,8 +39,8 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 SHINGLES_AT_ONCE = 1 << 16
-#: Points that a shard is planned for, and the bound of the sample that plans it.
-SHARD_POINTS, SAMPLE = 50_000, 4_096
+#: Points that a shard is planned for; the sample that plans the shards, 32 points for each, and its bounds.
+SHARD_POINTS, SAMPLE, MAX_SAMPLE = 50_000, 4_096, 262_144
 LEAF = 256
 
 
@@ -196,8 +196,8 @@ def links(points: DataFrame) -> DataFrame:
     shards = -(-n // SHARD_POINTS)
     sample = []
     if shards > 1:  # a bounded, repeatable sample
-        parts = 1_000_000
-        sample = [r["fp"] for r in points.where(hash_part("fp", F.lit("tree"), parts=parts) < max(1, parts * SAMPLE // n)).limit(2 * SAMPLE).collect()]
+        parts, wanted = 1 << 40, min(MAX_SAMPLE, max(SAMPLE, 32 * shards))
+        sample = [r["fp"] for r in points.where(hash_part("fp", F.lit("tree"), parts=parts) < max(1, parts * wanted // n)).limit(2 * wanted).collect()]
     tree = spark.sparkContext.broadcast(shard_tree(np.array(sample, np.int64).view(np.uint64), shards))
 
     def route(batches):
