@@ -9,7 +9,8 @@ participant's; they are rendered as such in every perspective and never trained
 
 Positions are prefix sums. Turns are summed in chunks of ``CHUNK`` turn numbers
 before the chunks are, so no task holds all turns of a long conversation, and
-no dialogue is ever gathered into one value.
+no dialogue is ever gathered into one value. Texts are left out of all but the
+first and the last shuffle.
 
 Null text counts as empty; a null role is the participant ``unknown``. Turns
 are ordered by turn (nulls first), then role, then text; repeated rows are turns
@@ -45,7 +46,8 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
 
     inside = Window.partitionBy("conv", "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("position", F.count("*").over(inside))
-    rows = materialize(rows, "turns")
+    whole = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "turns")
+    rows = whole.drop("text", "turn")  # texts stay behind until all positions are known
 
     # A row for each chunk, and for each speaker of a chunk.
     chunks = rows.groupBy("conv", "chunk").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
@@ -67,6 +69,7 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
 
     label = F.when(F.col("is_system"), "system").when(F.col("own"), "assistant").otherwise("user")
     head = F.when(F.col("is_system"), F.lit(SYSTEM)).when(F.col("own"), F.lit(ASSISTANT)).otherwise(_user(F.col("role")))
+    seen = seen.join(whole.select("row", "text"), "row")
     start = F.col("chunk_start") + F.col("before") - F.col("chunk_less") - F.col("my_less")
     end = start + F.col("size") - F.when(F.col("own"), F.col("less")).otherwise(0)
     return seen.select(
