@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.operators import dispatch, handlers
+from quillon.sources import scratch
 from quillon.streaming import streams
 
 from .observing import START
 from .registry import Tables, query
 
 
-def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
-
-
 def _drain(t: Tables, out: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that its source has, into a table of files, and reads that."""
-    where = _folder(t.spark)
+    where = scratch.folder(t.spark, "stream")
     out.writeStream.outputMode(mode).format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(out.schema).parquet(f"{where}/out")
 
