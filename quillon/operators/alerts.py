@@ -125,7 +125,7 @@ def evaluate(samples: DataFrame, since: int, until: int, step: int, rules: tuple
         held = rule.build(Samples(samples, since, until, step))
         # Evaluations without a gap: time minus place in the sequence is the same.
         key = list(rule.by)
-        nth = F.row_number().over(Window.partitionBy(*(key or [F.lit(0)])).orderBy("at"))
+        nth = F.row_number().over(Window.partitionBy(*(key or [F.lit(0)])).orderBy("at")).cast("long")
         held = held.withColumn("island", F.col("at") - nth * step)
         since_ = F.min("at").over(Window.partitionBy(*key, "island"))
         labels = F.map_from_arrays(F.array(*(F.lit(k) for k in key)), F.array(*(F.col(k) for k in key))) if key else F.create_map().cast("map<string,string>")

@@ -73,6 +73,11 @@ def test_other_rules(spark):
     assert set(firing(spark, rows, MIN, 10 * MIN, "DeadLetterSpike")) == {(("type", "t"),)}
 
 
+def test_alert_over_many_hours(spark):
+    rows = series("pools_unowned", {"instance": "a"}, 10 * MIN, [1] * 40)
+    assert firing(spark, rows, 10 * MIN, 380 * MIN, "NoPoolOwner") == {(): 1.0}
+
+
 # -- rounds ------------------------------------------------------------------------------
 
 
