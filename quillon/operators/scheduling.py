@@ -30,31 +30,49 @@ def _div(a: Column, b: Column) -> Column:
     return ((a - a % b) / b).cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` over ``value`` computed once; a column that others refer to would be written out, and computed, in each of them."""
+    return F.transform(F.array(value), body)[0]
+
+
 def plan_fixed(schedules: DataFrame, now: int, limits: Limits = Limits()) -> DataFrame:
     """Adds first, n_fires, next, completed to schedules with kind, misfire, every, next_fire_at, end_at, max_runs, fire_count.
 
     Fires are first + i * every for i < n_fires. The cursor of a fixed rate is one of its fires.
     """
-    s = schedules
-    cursor, every = F.col("next_fire_at"), F.col("every")
+    cursor, every, end = F.col("next_fire_at"), F.col("every"), F.col("end_at")
     horizon = now + limits.lookahead
-    remaining = F.when(F.col("max_runs").isNotNull() & (F.col("max_runs") > 0), (F.col("max_runs") - F.col("fire_count")).cast("long")).otherwise(F.lit((1 << 62)))
-    missed = F.least(_div(F.greatest(F.lit(now) - cursor, F.lit(0)), every), F.lit(limits.max_scan - 1))
-    late = cursor < now - limits.misfire_threshold
-    keep = F.when(F.col("misfire") == "fire_all", F.greatest(F.lit(0), missed - (max(limits.max_misfires, 1) - 1))).otherwise(missed)
-    first = F.when(~late, cursor).when(F.col("misfire") == "skip", cursor + (_div(F.lit(now) - cursor, every) + 1) * every).otherwise(cursor + keep * every)
-    s = s.withColumn("remaining", remaining).withColumn("first", F.when(F.col("kind") == "fixed_delay", cursor).otherwise(first))
-    there = F.when(F.col("first") > horizon, F.lit(0).cast("long")).otherwise(F.least(F.lit(limits.max_fires), _div(F.greatest(F.lit(horizon) - F.col("first"), F.lit(0)), every) + 1))
-    s = s.withColumn("there", there).withColumn("after", F.col("first") + F.col("there") * every)
-    inside = F.when(F.col("end_at").isNull(), F.col("there")).when(F.col("first") > F.col("end_at"), F.lit(0)).otherwise(F.least("there", _div(F.greatest(F.col("end_at") - F.col("first"), F.lit(0)), every) + 1))
-    s = s.withColumn("kept", F.least(inside, "remaining"))
-    done = (F.col("kept") < F.col("there")) | F.coalesce(F.col("after") > F.col("end_at"), F.lit(False)) | (F.col("kept") >= F.col("remaining"))
-    over = (F.col("remaining") <= 0) | F.coalesce(cursor > F.col("end_at"), F.lit(False))
     delay = F.col("kind") == "fixed_delay"
-    n = F.when(cursor.isNull() | over | (cursor > horizon), 0).when(delay, 1).otherwise(F.col("kept")).cast("long")
-    completed = F.when(cursor.isNull(), False).when(over, True).when(cursor > horizon, False).when(delay, F.col("remaining") == 1).otherwise(done)
-    following = F.when(cursor.isNull() | over, None).when(cursor > horizon, cursor).when(delay | done, None).otherwise(F.col("after"))
-    return s.withColumn("n_fires", n).withColumn("next", following.cast("long")).withColumn("completed", completed).drop("remaining", "there", "after", "kept")
+
+    def start(_) -> Column:
+        missed = F.least(_div(F.greatest(F.lit(now) - cursor, F.lit(0)), every), F.lit(limits.max_scan - 1))
+        late = cursor < now - limits.misfire_threshold
+        after_now = cursor + (_div(F.lit(now) - cursor, every) + 1) * every
+        first = F.when(delay | ~late, cursor).when(F.col("misfire") == "skip", after_now).otherwise(cursor + F.when(F.col("misfire") == "fire_all", F.greatest(F.lit(0), missed - (max(limits.max_misfires, 1) - 1))).otherwise(missed) * every)
+        remaining = F.when(F.col("max_runs").isNotNull() & (F.col("max_runs") > 0), (F.col("max_runs") - F.col("fire_count")).cast("long")).otherwise(F.lit(1 << 62))
+        return F.struct(first.cast("long").alias("first"), remaining.alias("remaining"))
+
+    def count(p: Column) -> Column:
+        there = F.when(p["first"] > horizon, F.lit(0).cast("long")).otherwise(F.least(F.lit(limits.max_fires), _div(F.greatest(F.lit(horizon) - p["first"], F.lit(0)), every) + 1))
+        inside = F.when(end.isNull(), F.lit(1 << 62)).when(p["first"] > end, F.lit(0)).otherwise(_div(F.greatest(end - p["first"], F.lit(0)), every) + 1)
+        return F.struct(p["first"].alias("first"), p["remaining"].alias("remaining"), there.cast("long").alias("there"), inside.cast("long").alias("inside"))
+
+    def keep(p: Column) -> Column:
+        after = p["first"] + p["there"] * every
+        kept = F.least(p["there"], p["inside"], p["remaining"])
+        done = (kept < p["there"]) | F.coalesce(after > end, F.lit(False)) | (kept >= p["remaining"])
+        over = (p["remaining"] <= 0) | F.coalesce(cursor > end, F.lit(False))
+        return F.struct(p["first"].alias("first"), p["remaining"].alias("remaining"), kept.alias("kept"), after.alias("after"), done.alias("done"), over.alias("over"))
+
+    def result(p: Column) -> Column:
+        n = F.when(cursor.isNull() | p["over"] | (cursor > horizon), 0).when(delay, 1).otherwise(p["kept"]).cast("long")
+        completed = F.when(cursor.isNull(), False).when(p["over"], True).when(cursor > horizon, False).when(delay, p["remaining"] == 1).otherwise(p["done"])
+        following = F.when(cursor.isNull() | p["over"], None).when(cursor > horizon, cursor).when(delay | p["done"], None).otherwise(p["after"])
+        return F.struct(p["first"].alias("first"), n.alias("n_fires"), following.cast("long").alias("next"), completed.alias("completed"))
+
+    plan = _let(_let(_let(_let(F.lit(True), start), count), keep), result)
+    planned = schedules.withColumn("__plan", plan)
+    return planned.withColumns({c: F.col(f"__plan.{c}") for c in ("first", "n_fires", "next", "completed")}).drop("__plan")
 
 
 def fires(planned: DataFrame) -> DataFrame:
