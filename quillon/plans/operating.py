@@ -185,12 +185,18 @@ def dispatch_round(t: Tables) -> DataFrame:
     return rounds.dispatch_round(t.jobs, waiters, t.tenants, t.job_types, t.pools, NOW)
 
 
+#: Time between evaluations, as in the reference's deploy/prometheus/prometheus.yml.
+EVERY = 10 * SECOND
+
+
 @query()
 def alert_rules(t: Tables) -> DataFrame:
-    """All alert rules over series made from the events; held against goldens in the tests."""
-    m = t.metrics.where(F.col("ts") < START + 2 * DAY)
+    """All alert rules over series made from the events, from the first sample to the first evaluation that sees the last one; held against goldens in the tests."""
+    m = t.metrics
+    first, last = m.agg(F.coalesce(F.min("ts"), F.lit(START)), F.coalesce(F.max("ts"), F.lit(START))).first()
+    since, until = first // EVERY * EVERY, -(-last // EVERY) * EVERY
     age = m.select(F.lit("jobs_oldest_ready_age_seconds").alias("name"), F.create_map(F.lit("pool"), F.col("outcome")).alias("labels"), "ts", (F.col("seconds") * 100).alias("value"))
     target = m.select(F.lit("pool_backlog_target_seconds").alias("name"), F.create_map(F.lit("pool"), F.col("outcome")).alias("labels"), "ts", F.lit(250.0).alias("value"))
     free = m.select(F.lit("worker_slots").alias("name"), F.create_map(F.lit("pool"), F.col("outcome"), F.lit("state"), F.lit("free")).alias("labels"), "ts", F.col("seconds").alias("value"))
     ready = m.select(F.lit("jobs_ready").alias("name"), F.create_map(F.lit("pool"), F.col("outcome")).alias("labels"), "ts", F.lit(3.0).alias("value"))
-    return alerts.evaluate(age.unionByName(target).unionByName(free).unionByName(ready), START, START + DAY, 10 * MINUTE)
+    return alerts.evaluate(age.unionByName(target).unionByName(free).unionByName(ready), since, until, EVERY)

@@ -78,6 +78,22 @@ def test_alert_over_many_hours(spark):
     assert firing(spark, rows, 10 * MIN, 380 * MIN, "NoPoolOwner") == {(): 1.0}
 
 
+def test_alert_rules_see_every_sample(spark, tmp_path):
+    """One series over target at three scrapes on the 20th day, off the minute, and a last sample that is off the evaluations' grid."""
+    from quillon.plans import registry
+    from quillon.plans.observing import START
+
+    late = START + 19 * 86_400 * S + 3 * S
+    rows = [(1, START + S, 1, "web", 1.0), *((2 + i, late + i * 4 * MIN, 1, "web", 400.0) for i in range(3)), (9, START + 29 * 86_400 * S + 7 * S, 1, "api", 400.0)]
+    events = spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double")
+    events.select("event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    out = registry.queries()["alert_rules"](spark, str(tmp_path)).where("alert = 'BacklogAge'").collect()
+    web = sorted((r["at"], r["firing"]) for r in out if r["labels"]["pool"] == "web")
+    first = late + 7 * S
+    assert web == [(first + i * 10 * S, i * 10 >= 600) for i in range((8 + 5) * 6)]
+    assert [r["at"] for r in out if r["labels"]["pool"] == "api"] == [START + 29 * 86_400 * S + 10 * S]
+
+
 # -- rounds ------------------------------------------------------------------------------
 
 
