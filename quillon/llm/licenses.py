@@ -8,9 +8,14 @@ with the family's templates confirms what it says.
 Training is a small job on the driver: pieces of the templates below, and for
 ``unknown`` at most ``NEGATIVES`` paragraphs of the corpus (documented bound),
 drawn by a hash of the key. Scoring uses DataFrame functions only: paragraphs
-(lines) with a term of ``GATE`` are cut into n-grams, which meet the broadcast
-weights (their number is bounded by the templates) in a join and are summed
-paragraph by paragraph. A paragraph without such a term is unknown by definition.
+(lines up to a blank one) with a term of ``GATE`` are cut into pieces: their lines
+and their sentences across line ends that have such a term, and in paragraphs of
+more than ``SHORT`` words all windows of ``WIDTHS`` words around one, so that a
+notice is found wherever it stands. Pieces are cut into n-grams, which meet the
+broadcast weights (their number is bounded by the templates) in a join and are
+summed piece by piece. Of the windows around a term counts the one with the most
+n-grams of its family, less those that the family lacks. A paragraph without a
+term of ``GATE`` is unknown by definition.
 
 Null or empty text: no paragraph, family ``unknown``. Repeated rows get equal
 results. Ties go to the first family by name. Texts are scanned whole.
@@ -22,13 +27,16 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import hash_part, materialize
 
 UNKNOWN = "unknown"
 NEGATIVES = 1_500
 LEAST_PROBABILITY, LEAST_SHARE = 0.6, 0.4
+#: Windows fit their notice more closely than lines do.
+LEAST_SHARE_OF_WINDOW = 0.6
+SHORT, WIDTHS = 9, (4, 6, 10, 16)
 
 #: Phrases and paragraphs of public licences by family.
 TEMPLATES = {
@@ -94,7 +102,9 @@ TEMPLATES = {
     ],
 }
 #: A paragraph is scored if it has one of these.
-GATE = r"(?i)licen[cs]|copyright|all rights reserved|public domain|redistribut|permission|warrant|creative commons|\bcc0\b|\bcc by\b|\bgpl\b|confidential"
+GATE = r"(?i)licen[cs]|copyright|all\s+rights\s+reserved|public\s+domain|redistribut|permission|warrant|creative\s+commons|\bcc0\b|\bcc\s+by\b|\bgpl\b|confidential"
+#: The words of GATE, around which windows lie.
+ANCHOR = "licen[cs]|copyright|^reserved$|^domain$|redistribut|permission|warrant|^commons$|^cc0$|^cc$|^gpl$|confidential"
 #: Talk of licences that grants nothing; trains the unknown class.
 DECOYS = [
     "He lost his driving license and had to ask for permission to leave the country.",
@@ -107,6 +117,8 @@ DECOYS = [
     "Redistribution of wealth was the subject of the lecture in the public library.",
 ]
 WORD = "[a-z0-9]+"
+#: Ends a paragraph.
+BLANK = r"\n[^\S\n]*(?=\n)"
 
 
 def _words(text: str) -> list[str]:
@@ -195,17 +207,44 @@ def _ngrams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs, threes))
 
 
-def paragraphs(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each gated paragraph: row (a number for the document's row), key, at (the line), family, probability, share, confirmed."""
-    spark = docs.sparkSession
+def _windows(words: Column) -> Column:
+    """All windows of WIDTHS words around the words of ANCHOR, as (anchor, words)."""
+    n = F.size(words)
+    anchors = F.filter(F.transform(words, lambda w, i: F.when(w.rlike(ANCHOR), i)), lambda i: i.isNotNull())
+    # Windows that hold an anchor, by their first word: within W - 1 before it, and within the text.
+    around = lambda p, w: F.transform(F.sequence(F.greatest(F.lit(0), p - (w - 1)), F.least(p, n - w)), lambda a: F.struct(p.alias("anchor"), F.slice(words, a + 1, F.lit(w)).alias("words")))
+    found = F.flatten(F.transform(anchors, lambda p: F.concat(*(F.when(n >= w, around(p, w)).otherwise(F.array()) for w in WIDTHS))))
+    return F.when(n > SHORT, found).otherwise(F.array())
+
+
+def _pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """What is scored of each gated paragraph: row, key, at (the paragraph), piece (its number), anchor (of a window), sentence (else), line (whether it is but a line of it), words."""
     gated = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(GATE))
-    lines = gated.select("row", "key", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(GATE))
-    lines = materialize(lines.select("row", "key", "at", F.regexp_extract_all(F.lower("line"), F.lit(f"({WORD})"), 1).alias("words")), "paragraphs")
+    found = gated.select("row", "key", F.posexplode(F.split("text", BLANK)).alias("at", "paragraph")).where(F.col("paragraph").rlike(GATE))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), 1)
+    # A sentence as a whole, then its lines: those of a list without full stops are notices of their own.
+    joined = lambda x: F.regexp_replace(x, r"\s*\n\s*", " ")
+    sentences = F.filter(F.split("paragraph", r"(?<=[.!?])\s+"), lambda x: joined(x).rlike(GATE))
+    lines = lambda x: F.when(x.contains("\n"), F.filter(F.split(x, "\n"), lambda y: y.rlike(GATE))).otherwise(F.array().cast("array<string>"))
+    whole = F.transform(sentences, lambda x: F.struct(words(joined(x)).alias("words"), F.transform(lines(x), words).alias("lines")))
+    found = materialize(found.select("row", "key", "at", whole.alias("whole"), words(F.col("paragraph")).alias("words")), "paragraphs")
+    none = F.lit(None).cast("int")
+    piece = lambda w, anchor, sentence, line: F.struct(anchor.cast("int").alias("anchor"), sentence.cast("int").alias("sentence"), F.lit(line).alias("line"), w.alias("words"))
+    of_sentences = F.flatten(F.transform("whole", lambda s, i: F.concat(F.array(piece(s["words"], none, i, False)), F.transform(s["lines"], lambda w: piece(w, none, i, True)))))
+    of_windows = F.transform(_windows(F.col("words")), lambda x: piece(x["words"], x["anchor"], none, False))
+    pieces = found.select("row", "key", "at", F.posexplode(F.concat(of_sentences, of_windows)).alias("piece", "p"))
+    return pieces.select("row", "key", "at", "piece", "p.anchor", "p.sentence", "p.line", "p.words")
+
+
+def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each line and sentence, and for the best window around each term, of gated paragraphs: as ``paragraphs``, and anchor."""
+    spark = docs.sparkSession
     k = len(model.families)
     table = spark.createDataFrame([(g, [float(v) for v in model.weights[i]], [int(v) for v in model.member[i]]) for i, g in enumerate(model.grams)], "gram string, w array<double>, m array<int>")
-    grams = lines.select("row", "key", "at", F.posexplode(_ngrams(F.col("words"))).alias("nth", "gram"))
+    at = ["row", "key", "at", "piece", "anchor", "sentence", "line"]
+    grams = _pieces(docs, key, text).select(*at, F.posexplode(_ngrams(F.col("words"))).alias("nth", "gram"))
     hits = grams.join(F.broadcast(table), "gram", "left")
-    sums = hits.groupBy("row", "key", "at").agg(
+    sums = hits.groupBy(*at).agg(
         F.count("*").alias("grams"),
         F.count("w").alias("hits"),
         *(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"w{i}") for i in range(k)),
@@ -213,23 +252,40 @@ def paragraphs(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "
     )
     scale = F.sqrt(F.greatest(F.lit(1), F.col("hits")))
     logits = F.array(*(F.col(f"w{i}") / scale + float(model.bias[i]) for i in range(k)))
-    scored = sums.select("row", "key", "at", logits.alias("z"), F.array(*(F.col(f"m{i}") / F.col("grams") for i in range(k))).alias("shares"))
-    scored = scored.withColumn("top", F.array_max("z")).withColumn("which", (F.array_position("z", F.col("top")) - 1).cast("int"))
-    scored = scored.withColumn("mass", F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v)))
+    out = sums.select(*at, "grams", logits.alias("z"), F.array(*(F.col(f"m{i}") for i in range(k))).alias("own"))
+    out = out.withColumn("top", F.array_max("z")).withColumn("which", (F.array_position("z", F.col("top")) - 1).cast("int"))
+    out = out.withColumn("mass", F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v)))
     names = F.array(*(F.lit(f) for f in model.families))
-    scored = scored.select("row", F.col("key").alias(key), "at", names[F.col("which")].alias("predicted"), (F.exp("top") / F.col("mass")).alias("probability"), F.col("shares")[F.col("which")].alias("share"))
-    sure = (F.col("predicted") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY) & (F.col("share") >= LEAST_SHARE)
-    return scored.withColumn("confirmed", sure).withColumn("family", F.when(sure, F.col("predicted")).otherwise(UNKNOWN))
+    own = F.col("own")[F.col("which")]
+    out = out.select(*at, names[F.col("which")].alias("predicted"), (F.exp("top") / F.col("mass")).alias("probability"), "grams", (own / F.col("grams")).alias("share"), (2 * own - F.col("grams")).alias("excess"))
+    least = F.when(F.col("anchor").isNull(), LEAST_SHARE).otherwise(LEAST_SHARE_OF_WINDOW)
+    # A word alone, such as the end of a wrapped line, names no licence.
+    sure = (F.col("predicted") != UNKNOWN) & (F.col("grams") > 1) & (F.col("probability") >= LEAST_PROBABILITY) & (F.col("share") >= least)
+    out = out.withColumn("confirmed", sure).withColumn("family", F.when(sure, F.col("predicted")).otherwise(UNKNOWN))
+    # All sentences count, and their lines unless the sentence is a notice that fits better; of an anchor's windows the best.
+    fits = F.max(F.when(~F.col("line") & F.col("confirmed"), F.col("excess"))).over(Window.partitionBy("row", "at", "anchor", "sentence"))
+    out = out.withColumn("fits", fits).where(~F.col("line") | F.col("fits").isNull() | (F.col("excess") > F.col("fits")))
+    what = F.struct("predicted", "probability", "share", "confirmed", "family")
+    alone = F.when(F.col("anchor").isNull(), F.col("piece"))
+    best = out.groupBy("row", "key", "at", "anchor", alone.alias("alone")).agg(F.max_by(what, F.struct("excess", "probability", -F.col("piece"))).alias("best"))
+    return best.select("row", F.col("key").alias(key), "at", "anchor", "best.*")
+
+
+def paragraphs(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each gated paragraph: row (a number for the document's row), key, at (the paragraph), and of its surest piece predicted, probability, share, confirmed, family."""
+    what = ("predicted", "probability", "share", "confirmed", "family")
+    best = F.max_by(F.struct(*what), F.struct("confirmed", "probability", "predicted")).alias("best")
+    return scored(docs, model, key, text).groupBy("row", key, "at").agg(best).select("row", key, "at", "best.*")
 
 
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: key, license (families that its paragraphs confirm, by name, comma-joined, else unknown), probability of the surest one, n_paragraphs that were scored."""
-    gate = F.coalesce(F.col(text).rlike(GATE), F.lit(False))
-    found = paragraphs(docs, model, key, text)
+    gate = F.coalesce(F.col(text).rlike(GATE) & F.exists(F.split(text, BLANK), lambda p: p.rlike(GATE)), F.lit(False))
+    found = scored(docs, model, key, text)
     some = found.groupBy("row", key).agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("license"),  # at most as many as there are families
         F.max(F.when(F.col("confirmed"), F.col("probability"))).alias("probability"),
-        F.count("*").alias("n_paragraphs"),
+        F.countDistinct("at").alias("n_paragraphs"),
     )
     some = some.select(key, F.when(F.col("license") == "", UNKNOWN).otherwise(F.col("license")).alias("license"), F.round(F.coalesce("probability", F.lit(0.0)), 6).alias("probability"), "n_paragraphs")
     none = docs.where(~gate).select(key, F.lit(UNKNOWN).alias("license"), F.lit(0.0).alias("probability"), F.lit(0).cast("long").alias("n_paragraphs"))

@@ -491,6 +491,19 @@ def test_licenses(spark, sf, docs, empty):
     assert whole.count() == table(spark, sf, "documents").count()
 
 
+def test_licenses_in_long_and_wrapped_paragraphs(spark):
+    prose = "the old town lay by the river and many people came there in summer to see the boats go down to the sea "
+    notice = "This work is licensed under a Creative Commons Attribution 4.0 International License"
+    cases = [(" ".join((prose * 4).split()[:n]) + " " + notice, "cc-by") for n in (15, 20, 60)]
+    cases += [(prose + "released under the GPL " + prose * 20, "gpl"), (prose + "all rights reserved " + prose, "proprietary")]
+    cases += [("Licensed under the\nMozilla Public\nLicense, version 2.0.", "mpl"), ("All rights\nreserved.", "proprietary"), ("Released under the MIT\nLicense.", "mit")]
+    cases += [("Released under the MIT License.\nLicensed under the Apache License, Version 2.0.", "apache,mit"), (prose + "she lost her driving license on the road " + prose, "unknown")]
+    cases += [(prose * 3, "unknown"), ("all rights\n\nreserved", "unknown")]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(d, licenses.train([])).collect()}
+    assert [got[i] for i in range(len(cases))] == [f for _, f in cases]
+
+
 def test_licenses_native_equals_numpy(spark):
     model = licenses.train([])
     lines = ["Licensed under the Apache License, Version 2.0.", "a license to the public domain of all rights", "Released under the MIT License and the GPL"]
