@@ -9,20 +9,21 @@ encoded run in the text.
 
 Spans count code points, ends exclusive. Found inside a layer, a span's kind
 tells the way, e.g. ``base64/assign``. Null text counts as empty: no spans.
-Repeated rows get equal results. Texts are searched whole. Compressed data
-is unpacked by at most ``MAX_UNPACKED`` bytes a layer and ``MAX_DEPTH`` layers
-deep, so that a bomb cannot fill a worker; these are limits of decoding, not of
-the text.
+Repeated rows get equal results. Texts are searched whole, and so are layers,
+whatever their depth and size: compressed data (all gzip members) is unpacked in a
+stream and searched in windows that end at a space, so what a worker holds is a
+window and the longest run without a space.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
-from collections import deque
+from collections import Counter
 from dataclasses import dataclass
 from urllib.parse import unquote_to_bytes
 
@@ -42,7 +43,8 @@ KINDS = ("assign", "access", "hex")
 PERCENT = re.compile(r"(?:[A-Za-z0-9._~+/=&?:-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+/=&?:-]*")
 ESCAPED = re.compile(r"(?:[\x21-\x5b\x5d-\x7e]*\\u[0-9A-Fa-f]{4})+[\x21-\x5b\x5d-\x7e]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-MAX_DEPTH, MAX_UNPACKED = 12, 8 << 20
+#: Bytes that are unpacked at once, and characters that stay from a window to the next: more than a base match needs before its value.
+CHUNK, OVERLAP = 1 << 20, 64
 
 
 @dataclass(frozen=True)
@@ -79,14 +81,104 @@ def _readable(data: bytes) -> str | None:
     return text if text and plain >= 0.95 * len(text) else None
 
 
-def _unpacked(data: bytes) -> bytes | None:
-    """zlib or gzip data, else nothing."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
+def _is_packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0)
+
+
+def _inflated(chunks):
+    """zlib or gzip data in chunks, all members; ends where the data does, or is broken."""
+    chunks = iter(chunks)
+    inflater, rest = zlib.decompressobj(47), b""
+    while True:
+        if not rest and not (rest := next(chunks, b"")):
+            return
+        try:
+            out = inflater.decompress(rest, CHUNK)
+        except zlib.error:
+            return
+        if out:
+            yield out
+        rest = inflater.unconsumed_tail
+        if not inflater.eof:
+            while not rest and out:  # what the inflater still holds
+                try:
+                    out = inflater.decompress(b"", CHUNK)
+                except zlib.error:
+                    return
+                if out:
+                    yield out
+            if not inflater.eof:
+                continue
+        rest = inflater.unused_data
+        while len(rest.lstrip(b"\0")) < 3 and (more := next(chunks, b"")):
+            rest += more
+        rest = rest.lstrip(b"\0")
+        if not _is_packed(rest):
+            return
+        inflater = zlib.decompressobj(47)
+
+
+def _level(data: bytes, n: int):
+    """The chunks of data that is unpacked n times."""
+    chunks = iter((data,))
+    for _ in range(n):
+        chunks = _inflated(chunks)
+    return chunks
+
+
+def _unpacked(data: bytes):
+    """(n, text windows) of data that is packed n times; nothing if it is not packed, holds no text, or holds itself."""
+    n, seen, head = 0, set(), data[:3]
+    while _is_packed(head):
+        mark = hashlib.blake2b(digest_size=12)
+        for chunk in _level(data, n):
+            mark.update(chunk)
+        if mark.digest() in seen:
+            return None
+        seen.add(mark.digest())
+        head = b""
+        for chunk in _level(data, n + 1):
+            head += chunk[:3]
+            if len(head) > 2:
+                break
+        if not head:
+            break
+        n += 1
+    if not n or not _is_text(_level(data, n)):
         return None
+    return n, _windows(_level(data, n))
+
+
+def _is_text(chunks) -> bool:
+    """As _readable, of a stream; a character that the end cuts off does not count."""
+    decoder, plain, total = codecs.getincrementaldecoder("utf-8")(), 0, 0
     try:
-        return zlib.decompressobj(47).decompress(data, MAX_UNPACKED)
-    except zlib.error:
-        return None
+        for chunk in chunks:
+            text = decoder.decode(chunk)
+            total += len(text)
+            plain += len(text) if text.isprintable() else sum(n for c, n in Counter(text).items() if c.isprintable() or c in "\t\n\r")
+    except UnicodeDecodeError:
+        return False
+    return total > 0 and plain >= 0.95 * total
+
+
+def _windows(chunks):
+    """Texts of a stream that together hold each base match and each encoded run as a whole: they end behind a space, the next begins OVERLAP before. Spaces in a row, of which base patterns allow any number, are one."""
+    decoder, parts = codecs.getincrementaldecoder("utf-8")(), []
+    for chunk in chunks:
+        text = decoder.decode(chunk)
+        if parts and parts[-1].endswith(" "):
+            text = text.lstrip(" ")
+        text = re.sub("\x20{2,}", " ", text)
+        cut = text.rfind(" ") + 1
+        if not cut:
+            parts += [text] * bool(text)
+            continue
+        window = "".join(parts) + text[:cut]
+        yield window
+        parts = [window[-OVERLAP:], text[cut:]] if text[cut:] else [window[-OVERLAP:]]
+    if parts:
+        yield "".join(parts)
 
 
 def _opened(text: str):
@@ -107,31 +199,32 @@ def _opened(text: str):
             data = base64.b64decode(bare + "=" * (-len(bare) % 4))
         except (binascii.Error, ValueError):
             continue
-        way, unpacked = "base64", _unpacked(data)
-        while unpacked is not None:  # compressed data may hold compressed data
-            way, data = way + "/zip", unpacked
-            unpacked = _unpacked(data) if way.count("zip") < MAX_DEPTH else None
-        if inner := _readable(data):
-            yield way, m.start(), m.end(), inner
+        if unpacked := _unpacked(data):  # compressed data may hold compressed data
+            for inner in unpacked[1]:
+                yield "base64" + "/zip" * unpacked[0], m.start(), m.end(), inner
+        elif inner := _readable(data):
+            yield "base64", m.start(), m.end(), inner
 
 
 def scan(text: str | None) -> list[Span]:
     """Base spans and those found in layers, by start, then kind."""
     text = text or ""
     found = matches(text)
-    seen = {hash(text)}
-    work = deque([(text, "", None, 0)])
+    seen = set()
     inside = set()
+    work = [(_opened(text), "", None)]  # depth first, so that one window of each layer is held
     while work:
-        layer, way, place, depth = work.popleft()
-        for step, start, end, inner in _opened(layer):
-            start, end = place or (start, end)
-            if (mark := hashlib.blake2b(inner.encode("utf-8", "replace"), digest_size=12).digest() + f"{start}:{end}".encode()) in seen:
-                continue
-            seen.add(mark)
-            inside.update(Span(f"{way}{step}/{s.kind}", start, end) for s in matches(inner))
-            if depth < MAX_DEPTH:
-                work.append((inner, f"{way}{step}/", (start, end), depth + 1))
+        opened, way, place = work[-1]
+        if (run := next(opened, None)) is None:
+            work.pop()
+            continue
+        step, start, end, inner = run
+        start, end = place or (start, end)
+        if (mark := hashlib.blake2b(inner.encode("utf-8", "replace"), digest_size=12).digest() + f"{start}:{end}".encode()) in seen:
+            continue
+        seen.add(mark)
+        inside.update(Span(f"{way}{step}/{s.kind}", start, end) for s in matches(inner))
+        work.append((_opened(inner), f"{way}{step}/", (start, end)))
     return sorted([*found, *inside], key=_order) if inside else found
 
 

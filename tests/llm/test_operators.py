@@ -277,6 +277,22 @@ def test_secrets_stop_at_bombs():
     assert all(s.kind != "assign" for s in leaks.scan(bomb))
 
 
+def test_secrets_in_deep_and_large_layers():
+    secret, b64 = b"token = abcdef123456", lambda b: base64.b64encode(b).decode()
+    kinds = lambda t: {s.kind for s in leaks.scan(f"before {t} after") if "/" in s.kind}
+    for filler in (b"lorem ipsum ", "é ü ".encode(), b" "):
+        big = filler * ((9 << 20) // len(filler))
+        assert kinds(b64(zlib.compress(b"x" + big + secret))) == {"base64/zip/assign"}
+    assert kinds(b64(zlib.compress(secret + b" " + "é".encode() * (5 << 20)))) == {"base64/zip/assign"}
+    assert kinds(b64(gzip.compress(b"nothing ") + gzip.compress(b"here") + gzip.compress(secret))) == {"base64/zip/assign"}
+    assert kinds(b64(gzip.compress(b"to") + gzip.compress(b"ken = abcdef123456"))) == {"base64/zip/assign"}
+    deep, packed = secret, secret
+    for _ in range(16):
+        deep, packed = base64.b64encode(deep), zlib.compress(packed)
+    assert kinds(deep.decode()) == {"base64/" * 16 + "assign"}
+    assert kinds(b64(packed)) == {"base64" + "/zip" * 16 + "/assign"}
+
+
 # -- 6 SimHash ----------------------------------------------------------------------------------------------
 
 
