@@ -3,7 +3,9 @@
 Base patterns run over the text; then a worklist of layers: percent escapes,
 Unicode escapes, base64, and zlib or gzip data inside base64 are unwrapped,
 and each new layer is searched by the same patterns and unwrapped in turn until
-no layer is new. A layer that was seen before (by its hash) is not opened again,
+no layer is new. Escapes are unwrapped in place, so that what stands around
+them is part of the layer. Base64 is read from lines and over wrapped lines,
+as a whole or, where other characters are joined to it, from each alignment. A layer that was seen before (by its hash) is not opened again,
 so cycles end. What is found inside a layer is mapped to the span of the outermost
 encoded run in the text.
 
@@ -23,6 +25,7 @@ import codecs
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 from urllib.parse import unquote_to_bytes
@@ -40,9 +43,15 @@ HEX = re.compile(r"[0-9a-f][0-9a-f]{23,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex")
 #: Encoded runs.
-PERCENT = re.compile(r"(?:[A-Za-z0-9._~+/=&?:-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+/=&?:-]*")
-ESCAPED = re.compile(r"(?:[\x21-\x5b\x5d-\x7e]*\\u[0-9A-Fa-f]{4})+[\x21-\x5b\x5d-\x7e]*")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: An escaped percent sign before an escape, %2577, however often: unwrapped at once, as a chain of them would be a layer each.
+PERCENT = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")
+#: 16 characters hold the shortest base match, token=abcdef; wrapped lines end in a shorter one.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{16,})*(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)?={0,2}")
+#: Where compressed data may begin behind a path.
+PACKED = re.compile(r"(?<=[/_+-])(?:H4sI|e[AFJN])")
+PRINTABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 #: Bytes that are unpacked at once, and characters that stay from a window to the next: more than a base match needs before its value.
 CHUNK, OVERLAP = 1 << 20, 64
 
@@ -181,29 +190,104 @@ def _windows(chunks):
         yield "".join(parts)
 
 
-def _opened(text: str):
-    """(way, start, end, inner text) of each encoded run."""
-    if "%" in text:
-        for m in PERCENT.finditer(text):
-            if inner := _readable(unquote_to_bytes(m[0])):
-                yield "url", m.start(), m.end(), inner
-    if "\\u" in text:
-        for m in ESCAPED.finditer(text):
-            inner = re.sub(r"\\u([0-9A-Fa-f]{4})", lambda x: chr(int(x[1], 16)), m[0])
-            yield "unicode", m.start(), m.end(), inner.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    for m in BASE64.finditer(text):
-        bare = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(bare) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(bare + "=" * (-len(bare) % 4))
-        except (binascii.Error, ValueError):
-            continue
+def _in_place(text: str, runs: re.Pattern, decode):
+    """The text with decoded runs in place, and each piece of it as (start inside, end inside, start, end, whether it was decoded)."""
+    parts, pieces, at, new = [], [], 0, 0
+    for m in runs.finditer(text):
+        inner = decode(m[0])
+        for piece, start, end, decoded in ((text[at : m.start()], at, m.start(), False), (inner, m.start(), m.end(), True)):
+            if piece:
+                parts.append(piece)
+                pieces.append((new, new + len(piece), start, end, decoded))
+                new += len(piece)
+        at = m.end()
+    if at < len(text):
+        parts.append(text[at:])
+        pieces.append((new, new + len(text) - at, at, len(text), False))
+    return "".join(parts), pieces
+
+
+def _percent(run: str) -> str:
+    return unquote_to_bytes(re.sub("%(?:25)+(?=[0-9A-Fa-f]{2})", "%", run)).decode("utf-8", "replace")
+
+
+def _unicode(run: str) -> str:
+    return re.sub(r"\\u([0-9A-Fa-f]{4})", lambda x: chr(int(x[1], 16)), run).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+class Map:
+    """Spans of a layer in the text: one span for all, or pieces that lie side by side."""
+
+    def __init__(self, pieces=None, place=None, outer=None):
+        self.pieces, self.place, self.outer = pieces, place, outer
+        self.starts = [p[0] for p in pieces] if pieces else []
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        level = self
+        while level:
+            if level.place:
+                return level.place
+            if level.pieces:
+                a, b = (level.pieces[bisect_right(level.starts, x) - 1] for x in (start, max(start, end - 1)))
+                start, end = a[2] if a[4] else a[2] + start - a[0], b[3] if b[4] else b[2] + end - b[0]
+            level = level.outer
+        return start, end
+
+    def touches(self, start: int, end: int) -> bool:
+        """Whether a span has decoded characters, here: what has none was found before."""
+        if not self.pieces:
+            return True
+        k = bisect_right(self.starts, start) - 1
+        return any(p[4] for p in self.pieces[k : bisect_right(self.starts, end - 1)])
+
+
+def _decoded(bare: str) -> bytes | None:
+    try:
+        return base64.b64decode(bare + "=" * (-len(bare) % 4))
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _contents(run: str):
+    """(way, inner text) of a run of base64: as a whole, else what can be read from any alignment and behind a path."""
+    bare = re.sub(r"\s+", "", run).rstrip("=").replace("-", "+").replace("_", "/")
+    if len(bare) % 4 != 1 and (data := _decoded(bare)) is not None:
         if unpacked := _unpacked(data):  # compressed data may hold compressed data
             for inner in unpacked[1]:
-                yield "base64" + "/zip" * unpacked[0], m.start(), m.end(), inner
-        elif inner := _readable(data):
-            yield "base64", m.start(), m.end(), inner
+                yield "base64" + "/zip" * unpacked[0], inner
+            return
+        if inner := _readable(data):
+            yield "base64", inner
+            return
+    for k in range(4):
+        if data := _decoded(bare[k:][: (len(bare) - k) // 4 * 4]):
+            for m in PRINTABLE.finditer(data):
+                yield "base64", m[0].decode()
+    for m in PACKED.finditer(bare):
+        rest = bare[m.start() :]
+        if (data := _decoded(rest[: len(rest) - (len(rest) % 4 == 1)])) and (unpacked := _unpacked(data)):
+            for inner in unpacked[1]:
+                yield "base64" + "/zip" * unpacked[0], inner
+
+
+def _opened(text: str, outer: Map):
+    """(way, map, inner text) of the text with its escapes in place, and of each run of base64."""
+    for step, mark, runs, decode in (("url", "%", PERCENT, _percent), ("unicode", "\\u", ESCAPED, _unicode)):
+        if mark in text:
+            inner, pieces = _in_place(text, runs, decode)
+            if any(p[4] for p in pieces):
+                yield step, Map(pieces=pieces, outer=outer), inner
+    for m in BASE64.finditer(text):
+        if outer.touches(m.start(), m.end()):
+            for way, inner in _contents(m[0]):
+                yield way, Map(place=outer.span(m.start(), m.end())), inner
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            if "\n" in m[0] and outer.touches(m.start(), m.end()):
+                lines = m[0].count("\n")
+                for run in (m[0], m[0][: m[0].rindex("\n")])[: 2 if lines > 1 else 1]:  # the last line may be a word of the text
+                    for way, inner in _contents(run):
+                        yield way, Map(place=outer.span(m.start(), m.start() + len(run.rstrip()))), inner
 
 
 def scan(text: str | None) -> list[Span]:
@@ -212,19 +296,18 @@ def scan(text: str | None) -> list[Span]:
     found = matches(text)
     seen = set()
     inside = set()
-    work = [(_opened(text), "", None)]  # depth first, so that one window of each layer is held
+    work = [(_opened(text, Map()), "")]  # depth first, so that one window of each layer is held
     while work:
-        opened, way, place = work[-1]
+        opened, way = work[-1]
         if (run := next(opened, None)) is None:
             work.pop()
             continue
-        step, start, end, inner = run
-        start, end = place or (start, end)
-        if (mark := hashlib.blake2b(inner.encode("utf-8", "replace"), digest_size=12).digest() + f"{start}:{end}".encode()) in seen:
+        step, place, inner = run
+        if (mark := hashlib.blake2b(inner.encode("utf-8", "replace"), digest_size=12).digest() + f"{place.span(0, len(inner))}".encode()) in seen:
             continue
         seen.add(mark)
-        inside.update(Span(f"{way}{step}/{s.kind}", start, end) for s in matches(inner))
-        work.append((_opened(inner), f"{way}{step}/", (start, end)))
+        inside.update(Span(f"{way}{step}/{s.kind}", *place.span(s.start, s.end)) for s in matches(inner) if place.touches(s.start, s.end))
+        work.append((_opened(inner, place), f"{way}{step}/"))
     return sorted([*found, *inside], key=_order) if inside else found
 
 

@@ -293,6 +293,28 @@ def test_secrets_in_deep_and_large_layers():
     assert kinds(b64(packed)) == {"base64" + "/zip" * 16 + "/assign"}
 
 
+def test_secrets_across_runs():
+    b64 = lambda b: base64.b64encode(b).decode()
+    spans = lambda t: {(s.kind, t[s.start : s.end]) for s in leaks.scan(t) if "/" in s.kind}
+    for short in (b"token=abcdef", b"secret=abc123", b"api_key=abcdef"):
+        assert spans(f"see {b64(short)} there") == {("base64/assign", b64(short))}
+    assert spans("a token%3A abcdef123456 b") == {("url/assign", "token%3A abcdef123456")}
+    assert spans("a pass%77ord = hunter2secret b") == {("url/assign", "pass%77ord = hunter2secret")}
+    assert spans("a pass\\u0077ord = hunter2secret b") == {("unicode/assign", "pass\\u0077ord = hunter2secret")}
+    assert spans("pass%2577ord = hunter2secret") == {("url/assign", "pass%2577ord = hunter2secret")}
+    assert spans("password = hunter2secret but 100%25 sure") == set()
+    assert spans("%FF%77 pass%FF%77ord; %74oken=abcdef") == {("url/assign", "%74oken=abcdef")}
+    assert spans("%" + "25" * 50_000) == set()
+    noise = random.Random(3).randbytes(300)
+    wrapped = base64.encodebytes(b"some words " * 4 + b"so the token = abcdef123456 is in the middle" + b" and more" * 9).decode()
+    assert {k for k, _ in spans("begin\n" + wrapped + "end")} >= {"base64/assign"}
+    packed = base64.encodebytes(zlib.compress(noise.hex().encode() + b" token = abcdef123456")).decode()
+    assert {k for k, _ in spans(packed)} >= {"base64/zip/assign"}
+    for prefix in ("/srv/", "/srv/a/", "/x/", "/ab/cd/"):
+        assert {k for k, _ in spans(prefix + b64(b"token = abcdef123456"))} == {"base64/assign"}
+        assert {k for k, _ in spans(prefix + b64(gzip.compress(b"token = abcdef123456")))} == {"base64/zip/assign"}
+
+
 # -- 6 SimHash ----------------------------------------------------------------------------------------------
 
 
