@@ -28,7 +28,11 @@ IP = re.compile(r"[0-9][0-9]*(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Proposed beyond the base kinds.
-IBAN = re.compile(r"[A-Z][A-Z][0-9][0-9](?<![A-Za-z0-9]....)(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"[A-Z][A-Z][0-9][0-9](?<![A-Za-z0-9]....)")
+#: How long a country's numbers are; others are tried at each end of a word, the longest first.
+LENGTHS = {c[:2]: int(c[2:]) for c in "AL28 AD24 AT20 AZ28 BH22 BY28 BE16 BA20 BR29 BG22 BI27 CR22 HR21 CY28 CZ24 DK18 DJ27 DO28 EG29 SV28 EE20 FK18 FO18 FI18 FR27 GE22 DE22 GI23 GR27 GL18 GT28 VA22 HN28 HU28 IS26 IQ23 IE22 IL23 IT27 JO30 KZ20 XK20 KW30 LV21 LB28 LY25 LI21 LT20 LU20 MT31 MR27 MU30 MC27 MD24 MN20 ME22 NL18 NI28 MK19 NO15 OM23 PK24 PS29 PL28 PT25 QA29 RO24 RU33 LC32 SM27 ST25 SA24 RS22 SC31 SK24 SI19 SO23 ES24 SD18 SE24 CH21 TN24 TR26 TL23 UA29 AE23 GB22 VG24 YE30".split()}
+BODY = {n: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in {*LENGTHS.values()}}
+ANY_BODY = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
 SSN = re.compile(r"[0-9][0-9][0-9]-(?<![0-9-]....)(?<!000-)(?<!666-)(?<!9..-)(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 #: Words that speak for a kind when they stand near.
 CONTEXT = {
@@ -97,7 +101,7 @@ def _digits(s: str) -> str:
 
 
 def _ip(s: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in s.split(".")))
 
 
 def _card(s: str) -> bool:
@@ -112,14 +116,34 @@ def _iban(s: str) -> bool:
     return 15 <= len(s := s.replace(" ", "")) <= 34 and mod97(s)
 
 
+def _ibans(text: str):
+    """(start, end) of confirmed numbers; upper-case words behind a number don't belong to it."""
+    end = 0
+    for m in IBAN.finditer(text):
+        if m.start() < end:
+            continue
+        if n := LENGTHS.get(m[0][:2]):
+            ends = [b.end()] if (b := BODY[n].match(text, m.end())) else []
+        else:
+            b = ANY_BODY.match(text, m.end())
+            ends = [e for e in range(b.end(), m.end(), -1) if text[e - 1] != " " and not re.match("[A-Za-z0-9]", text[e : e + 1])] if b else []
+        for e in ends:
+            if _iban(text[m.start() : e]):
+                yield m.start(), e
+                end = e
+                break
+
+
 def proposals(text: str):
     """Confirmed (kind, start, end), by kind as listed, then by start."""
     if "@" in text:
         yield from (("email", m.start(), m.end()) for m in _emails(text))
-    for kind, pattern, confirm in (("ip", IP, _ip), ("card", CARD, _card), ("phone", PHONE, _phone), ("iban", IBAN, _iban), ("ssn", SSN, None)):
+    for kind, pattern, confirm in (("ip", IP, _ip), ("card", CARD, _card), ("phone", PHONE, _phone)):
         for m in pattern.finditer(text):
-            if confirm is None or confirm(m[0]):
+            if confirm(m[0]):
                 yield kind, m.start(), m.end()
+    yield from (("iban", *span) for span in _ibans(text))
+    yield from (("ssn", m.start(), m.end()) for m in SSN.finditer(text))
 
 
 def scan(text: str | None) -> list[Span]:

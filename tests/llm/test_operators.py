@@ -224,6 +224,19 @@ def test_pii_further_kinds_and_redaction(docs):
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_ibans_before_capitals_and_long_zeros():
+    found = lambda t: [t[s.start : s.end] for s in pii.scan(t) if s.kind == "iban"]
+    assert found("IBAN DE89370400440532013000 BIC COBADEFFXXX") == ["DE89370400440532013000"]
+    assert found("GB82 WEST 1234 5698 7654 32 I paid") == ["GB82 WEST 1234 5698 7654 32"]
+    assert found("REF AB12 CDEF GHIJ KLM DE89 3704 0044 0532 0130 00 NL91ABNA0417164300 X") == ["DE89 3704 0044 0532 0130 00", "NL91ABNA0417164300"]
+    assert found("DE89370400440532013001 DE8937040044053201300 DE893704004405320130000 GB82WEST12345698765432x") == []
+    text = "to DE89370400440532013000 BIC X"
+    assert pii.redacted(text, pii.scan(text)) == "to [IBAN] BIC X"
+    long = "0" * 5_000
+    assert [(s.kind, s.end) for s in pii.scan(f"{long}1.2.3.{long}") if s.kind == "ip"] == [("ip", 10_006)]
+    assert [s for s in pii.scan(f"1.2.3.{'9' * 5_000}") if s.kind == "ip"] == []
+
+
 # -- 5 secrets -------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
