@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scheduling import next_fixed_rate, withdraw
+from .scheduling import next_fixed_rate, searched, withdraw
 
 SECOND = 1_000_000
 
@@ -17,10 +17,16 @@ def advance_fixed_delay(schedules: DataFrame, finished: DataFrame, now: int) ->
 
 
 def first_fire(schedules: DataFrame, after: int) -> DataFrame:
-    """The cursor of a new or changed schedule: the first fire after a time, not before its start; a fixed delay fires at once."""
+    """The cursor of a new or changed schedule: the first fire after a time, not before its start; a fixed delay fires at once. Null for a schedule that cannot be planned."""
     anchor = F.coalesce("start_at", "created_at")
     from_ = F.when(F.col("start_at") > after, F.col("start_at") - 1).otherwise(F.lit(after))
-    return schedules.select("id", F.when(F.col("kind") == "fixed_delay", from_ + 1).otherwise(next_fixed_rate(anchor, F.col("every"), from_)).cast("long").alias("next_fire_at"))
+    rate = F.when(F.col("every") > 0, next_fixed_rate(anchor, F.col("every"), from_))
+    fire = F.when((F.col("kind") == "fixed_delay") & (F.col("every") > 0), from_ + 1).when(F.col("kind") == "fixed_rate", rate)
+    if "expr" in schedules.columns:
+        is_cron = F.col("kind") == "cron"
+        schedules = schedules.withColumn("__found", searched(from_, F.when(is_cron, F.col("expr")), F.col("zone"), F.lit(1)))
+        fire = fire.when(is_cron, F.get(F.col("__found"), 0))
+    return schedules.select("id", fire.cast("long").alias("next_fire_at"))
 
 
 def schedule_actions(schedules: DataFrame, jobs: DataFrame, now: int) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import lists
+
 SECOND = 1_000_000
 #: States.
 ACTIVE = ("SCHEDULED", "READY", "RUNNING", "RETRY_PENDING")
@@ -62,33 +64,37 @@ def first_of_each(df: DataFrame, by: list[str], order: list, most, name: str = "
     return ranked.where(F.col(name) <= most).withColumn(name, F.col(name).cast("long"))
 
 
-def claim(jobs: DataFrame, tenants: DataFrame, job_types: DataFrame, pools: DataFrame, now: int, limit: int) -> DataFrame:
+def fenced(jobs: DataFrame, claims: DataFrame, leases: DataFrame) -> DataFrame:
+    """Jobs of the pools whose lease is held as claimed: claims (name, holder, epoch), a pool's lease is named ``pool:<name>``."""
+    held = lists.holds_lease(claims, leases).where(F.col("name").startswith("pool:")).select(F.expr("substring(name, 6)").alias("pool"))
+    return jobs.join(held, "pool", "left_semi")
+
+
+def open_to_claims(jobs: DataFrame, tenants: DataFrame, job_types: DataFrame, pools: DataFrame, now: int, types: list[int] | None = None) -> DataFrame:
+    """Claimable jobs that nothing holds, with their tenants' allowance (null: no cap). Tenants at their cap are left out, as are types that a worker does not take (none given: it takes any)."""
+    ready = not_held(jobs.where(claimable(now)), job_types, pools)
+    if types:
+        ready = ready.where(F.col("job_type").isin(types))
+    return ready.join(allowances(jobs, tenants), ["pool", "tenant_id"], "left").where("allowance is null or allowance > 0")
+
+
+def reach(limit: int) -> int:
+    """How many candidates a claim of so many jobs looks at, as some may be over their tenant's allowance. Where no tenant has one, the first ``limit`` are taken of them all the same."""
+    return min(4 * limit, max(limit, 1000))
+
+
+def claim(jobs: DataFrame, tenants: DataFrame, job_types: DataFrame, pools: DataFrame, now: int, limit: int, types: list[int] | None = None) -> DataFrame:
     """An independent claim of up to ``limit`` jobs for each pool and priority.
 
-    Two limits: more candidates than asked for are
-    taken in due order, then each tenant's allowance cuts, then the limit. A
-    capped tenant's surplus can therefore hide others' jobs.
+    Tenants at their cap are skipped. Of the others more candidates than asked for are taken
+    in due order, then each tenant's allowance cuts, then the limit.
     """
-    fetch = min(4 * limit, max(limit, 1000))
-    ready = not_held(jobs.where(claimable(now)), job_types, pools)
     order = [F.col("run_at"), F.col("id")]
-    candidates = first_of_each(ready, ["pool", "priority"], order, fetch).drop("rank")
-    candidates = candidates.join(allowances(jobs, tenants), ["pool", "tenant_id"], "left")
+    candidates = first_of_each(open_to_claims(jobs, tenants, job_types, pools, now, types), ["pool", "priority"], order, reach(limit)).drop("rank")
     fair = candidates.withColumn("nth", F.row_number().over(Window.partitionBy("pool", "priority", "tenant_id").orderBy(*order))).where("allowance is null or nth <= allowance")
     picked = first_of_each(fair, ["pool", "priority"], order, limit)
-    types = job_types.select("tenant_id", F.col("name").alias("job_type"), "attempt_timeout_ms")
-    return picked.join(types, ["tenant_id", "job_type"], "left").select("id", "pool", "priority", "tenant_id", "rank", (F.col("attempt_count") + 1).alias("attempt"), (F.lit(now) + F.col("attempt_timeout_ms") * 1000).alias("deadline"))
-
-
-def claim_round(jobs: DataFrame, tenants: DataFrame, job_types: DataFrame, pools: DataFrame, now: int, limit: int) -> DataFrame:
-    """One round over all classes of a pool: a tenant's allowance is used up from the most urgent class on."""
-    fetch = min(4 * limit, max(limit, 1000))
-    ready = not_held(jobs.where(claimable(now)), job_types, pools)
-    candidates = first_of_each(ready, ["pool", "priority"], [F.col("run_at"), F.col("id")], fetch).drop("rank")
-    candidates = candidates.join(allowances(jobs, tenants), ["pool", "tenant_id"], "left")
-    nth = F.row_number().over(Window.partitionBy("pool", "tenant_id").orderBy(F.desc("priority"), "run_at", "id"))
-    fair = candidates.withColumn("nth", nth).where("allowance is null or nth <= allowance")
-    return first_of_each(fair, ["pool", "priority"], [F.col("run_at"), F.col("id")], limit).select("id", "pool", "priority", "tenant_id", "rank")
+    kinds = job_types.select("tenant_id", F.col("name").alias("job_type"), "attempt_timeout_ms")
+    return picked.join(kinds, ["tenant_id", "job_type"], "left").select("id", "pool", "priority", "tenant_id", "rank", (F.col("attempt_count") + 1).alias("attempt"), (F.lit(now) + F.col("attempt_timeout_ms") * 1000).alias("deadline"))
 
 
 def release(jobs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -187,6 +193,31 @@ def expired_sessions(sessions: DataFrame, nodes: DataFrame, now: int, tolerance:
     return s.join(n, "renewed_by", "left").where(F.coalesce(told, F.lit(False))).select("id", "pool", "lease_expires_at")
 
 
+def open_session(sessions: DataFrame, asked: DataFrame, now: int, ttl: int = 30 * SECOND) -> DataFrame:
+    """New sessions (id, pool, worker_id, slots) beside the old ones, active until a lease from now; one whose id there is already changes nothing."""
+    new = asked.join(sessions.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    return sessions.unionByName(new.select("id", "pool", "worker_id", "slots", F.lit("ACTIVE").alias("state"), F.lit(now + ttl).alias("lease_expires_at"), F.lit(False).alias("draining")), allowMissingColumns=True)
+
+
+def drain_sessions(sessions: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (id): active sessions that take no more jobs; what they run goes on. Others are not touched."""
+    return sessions.where((F.col("state") == "ACTIVE") & ~F.col("draining")).join(asked.select("id").distinct(), "id", "left_semi").select("id", F.lit(True).alias("draining"))
+
+
+def close_sessions(sessions: DataFrame, asked: DataFrame, jobs: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """asked (id): (active sessions that end, decisions for the attempts that they held, which are lost)."""
+    ends = sessions.where("state = 'ACTIVE'").join(asked.select("id").distinct(), "id", "left_semi")
+    held = jobs.where("state = 'RUNNING'").join(ends.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    return ends.select("id", F.lit("CLOSED").alias("state"), F.lit(now).alias("closed_at")), end_attempts(held, "LOST", now)
+
+
+def ended_attempts(jobs: DataFrame, reports: DataFrame, now: int) -> DataFrame:
+    """The fact of each attempt that a report ends (job_id, attempt, outcome, retryable): a row of the attempts' table. Reports of other attempts than the current one make none."""
+    held = jobs.where("state = 'RUNNING'").select(F.col("id").alias("job_id"), F.col("attempt_count").alias("attempt"), "tenant_id", "session_id", "attempt_started_at", "attempt_deadline")
+    kept = F.when(F.col("outcome") == "FAILED", F.col("retryable"))
+    return held.join(reports, ["job_id", "attempt"]).select("job_id", "tenant_id", F.col("attempt").cast("long").alias("number"), "session_id", F.col("outcome").alias("state"), kept.alias("retryable"), F.col("attempt_started_at").alias("started_at"), F.col("attempt_deadline").alias("deadline"), F.lit(now).alias("finished_at"))
+
+
 def orphans(jobs: DataFrame, sessions: DataFrame) -> DataFrame:
     """Running jobs whose session is no longer active."""
     gone = sessions.where("state <> 'ACTIVE'").select(F.col("id").alias("session_id"), F.col("state").alias("session_state"))
@@ -201,13 +232,13 @@ def end_attempts(jobs: DataFrame, end: str, now: int) -> DataFrame:
 
 
 def heartbeat(reported: DataFrame, jobs: DataFrame, now: int, quiet: int = 15 * SECOND) -> DataFrame:
-    """reported (session_id, job_id, attempt). Reported attempts that aren't current are stale; running ones that a session does not report, started long enough ago, go back; cancel requests are passed on."""
+    """reported (session_id, job_id, attempt). Reported attempts that aren't current are stale; running ones that a session does not report, started long enough ago, go back; cancel requests for what a session runs are passed on, reported or not."""
     running = jobs.where("state = 'RUNNING'").select(F.col("id").alias("job_id"), F.col("attempt_count").alias("attempt"), "session_id", "cancel_requested_at", "attempt_started_at")
     on = ["session_id", "job_id", "attempt"]
     stale = reported.join(running, on, "left_anti").select(*on, F.lit("stale").alias("verdict"))
     known = reported.select("session_id").distinct()
-    silent = running.where(F.col("attempt_started_at") <= now - quiet).join(known, "session_id", "left_semi").join(reported, on, "left_anti").select(*on, F.lit("release").alias("verdict"))
-    cancel = running.where("cancel_requested_at is not null").join(reported, on, "left_semi").select(*on, F.lit("cancel").alias("verdict"))
+    silent = running.where(F.col("attempt_started_at") < now - quiet).join(known, "session_id", "left_semi").join(reported, on, "left_anti").select(*on, F.lit("release").alias("verdict"))
+    cancel = running.where("cancel_requested_at is not null").join(known, "session_id", "left_semi").select(*on, F.lit("cancel").alias("verdict"))
     return stale.unionByName(silent).unionByName(cancel)
 
 

@@ -4,38 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillon.operators import dispatch, states
+from quillon.operators import dispatch, rounds, states
 from quillon.sources.views import DAY, MINUTE, NOW, SECOND
 
 from .registry import Tables, query
 
 CLAIMABLE = f"state = 'READY' AND (start_deadline IS NULL OR start_deadline > {NOW} OR attempt_count > 0)"
 NOT_HELD = "NOT EXISTS (SELECT 1 FROM job_types t WHERE t.paused AND t.tenant_id = j.tenant_id AND t.name = j.job_type) AND NOT EXISTS (SELECT 1 FROM pools p WHERE p.paused AND p.name = j.pool)"
-CLAIM = f"""
-WITH running AS (SELECT pool, tenant_id, count(*) AS n FROM jobs WHERE state = 'RUNNING' GROUP BY ALL),
-candidates AS (SELECT * FROM (SELECT j.*, row_number() OVER (PARTITION BY pool, priority ORDER BY run_at, id) AS c FROM jobs j WHERE {CLAIMABLE} AND {NOT_HELD}) WHERE c <= 40),
-fair AS (SELECT c.*, greatest(0, t.max_running - coalesce(r.n, 0)) AS allowance, t.max_running, row_number() OVER (PARTITION BY {{part}}) AS nth
-    FROM candidates c LEFT JOIN tenants t ON t.id = c.tenant_id LEFT JOIN running r ON r.pool = c.pool AND r.tenant_id = c.tenant_id),
-picked AS (SELECT *, row_number() OVER (PARTITION BY pool, priority ORDER BY run_at, id) AS rank FROM fair WHERE max_running IS NULL OR nth <= allowance)
-"""
-
-
-@query(
-    CLAIM.format(part="c.pool, c.priority, c.tenant_id ORDER BY c.run_at, c.id")
-    + f"""SELECT p.id, p.pool, p.priority, p.tenant_id, p.rank, p.attempt_count + 1 AS attempt, {NOW} + y.attempt_timeout_ms * 1000 AS deadline
-    FROM picked p LEFT JOIN job_types y ON y.tenant_id = p.tenant_id AND y.name = p.job_type WHERE p.rank <= 10""",
-    "jobs tenants job_types pools",
-)
+#: What may be claimed, with tenants at their cap left out before candidates are taken.
+ELIGIBLE = f"""running AS (SELECT pool, tenant_id, count(*) AS n FROM jobs WHERE state = 'RUNNING' GROUP BY ALL),
+eligible AS (SELECT j.*, t.max_running - coalesce(r.n, 0) AS allowance FROM jobs j LEFT JOIN tenants t ON t.id = j.tenant_id LEFT JOIN running r ON r.pool = j.pool AND r.tenant_id = j.tenant_id
+    WHERE {CLAIMABLE} AND {NOT_HELD} AND (t.max_running IS NULL OR t.max_running > coalesce(r.n, 0)))"""
+CLAIM = f"""WITH {ELIGIBLE},
+candidates AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool, priority ORDER BY run_at, id) AS c FROM eligible {{where}}) WHERE c <= 40),
+fair AS (SELECT *, row_number() OVER (PARTITION BY pool, priority, tenant_id ORDER BY run_at, id) AS nth FROM candidates),
+picked AS (SELECT *, row_number() OVER (PARTITION BY pool, priority ORDER BY run_at, id) AS rank FROM fair WHERE allowance IS NULL OR nth <= allowance)
+SELECT p.id, p.pool, p.priority, p.tenant_id, p.rank, p.attempt_count + 1 AS attempt, {NOW} + y.attempt_timeout_ms * 1000 AS deadline
+FROM picked p LEFT JOIN job_types y ON y.tenant_id = p.tenant_id AND y.name = p.job_type WHERE p.rank <= 10"""
+
+
+@query(CLAIM.format(where=""), "jobs tenants job_types pools")
 def claim_batch(t: Tables) -> DataFrame:
     return dispatch.claim(t.jobs, t.tenants, t.job_types, t.pools, NOW, 10)
 
 
-@query(
-    CLAIM.format(part="c.pool, c.tenant_id ORDER BY c.priority DESC, c.run_at, c.id") + "SELECT id, pool, priority, tenant_id, rank FROM picked WHERE rank <= 10",
-    "jobs tenants job_types pools",
-)
+#: Leases as their holders know them: one has been taken over since, one names no pool.
+KNOWN = "SELECT name, holder, epoch - CASE WHEN holder = 'ASIA' THEN 1 ELSE 0 END AS epoch FROM leases"
+
+
+@query(CLAIM.format(where=f"WHERE job_type IN (0, 2) AND EXISTS (SELECT 1 FROM leases l JOIN ({KNOWN}) k ON k.name = l.name AND k.holder = l.holder AND k.epoch = l.epoch WHERE l.name = 'pool:' || pool)"), "jobs tenants job_types pools leases")
+def claim_fenced(t: Tables) -> DataFrame:
+    """A claim by workers that take two of the job types, for the pools whose lease still is as its holder knows it."""
+    known = t.leases.select("name", "holder", (F.col("epoch") - F.when(F.col("holder") == "ASIA", 1).otherwise(0)).alias("epoch"))
+    return dispatch.claim(dispatch.fenced(t.jobs, known, t.leases), t.tenants, t.job_types, t.pools, NOW, 10, [0, 2])
+
+
+def _round_sql() -> str:
+    """Class by class: what more urgent classes have got counts as running."""
+    parts, got = [], ["SELECT pool, tenant_id FROM jobs WHERE state = 'RUNNING'"]
+    for p in (4, 3, 2, 1):
+        parts.append(f"""h{p} AS (SELECT pool, tenant_id, count(*) AS n FROM ({" UNION ALL ".join(got)}) GROUP BY ALL),
+c{p} AS (SELECT * FROM (SELECT j.id, j.pool, j.priority, j.tenant_id, j.run_at, t.max_running - coalesce(h.n, 0) AS allowance, row_number() OVER (PARTITION BY j.pool ORDER BY j.run_at, j.id) AS c FROM jobs j LEFT JOIN tenants t ON t.id = j.tenant_id
+    LEFT JOIN h{p} h ON h.pool = j.pool AND h.tenant_id = j.tenant_id WHERE j.priority = {p} AND {CLAIMABLE} AND {NOT_HELD} AND (t.max_running IS NULL OR t.max_running > coalesce(h.n, 0))) WHERE c <= 40),
+p{p} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY run_at, id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pool, tenant_id ORDER BY run_at, id) AS nth FROM c{p}) WHERE allowance IS NULL OR nth <= allowance) WHERE rank <= 10)""")
+        got.append(f"SELECT pool, tenant_id FROM p{p}")
+    return "WITH " + ",\n".join(parts) + " " + " UNION ALL ".join(f"SELECT id, pool, priority, tenant_id, rank FROM p{p}" for p in (4, 3, 2, 1))
+
+
+@query(_round_sql(), "jobs tenants job_types pools")
 def claim_round(t: Tables) -> DataFrame:
-    return dispatch.claim_round(t.jobs, t.tenants, t.job_types, t.pools, NOW, 10)
+    return rounds.claim_round(t.jobs, t.tenants, t.job_types, t.pools, NOW, 10)
 
 
 @query("SELECT DISTINCT j.pool, j.priority FROM jobs j WHERE " + CLAIMABLE + " AND " + NOT_HELD, "jobs job_types pools")
@@ -128,9 +146,9 @@ def time_out_overdue(t: Tables) -> DataFrame:
     f"""WITH running AS (SELECT id AS job_id, attempt_count AS attempt, session_id, cancel_requested_at, attempt_started_at, job_type, pool FROM jobs WHERE state = 'RUNNING'),
     reported AS (SELECT session_id, job_id, CAST(CASE WHEN job_id % 10 = 0 THEN attempt + 1 ELSE attempt END AS INT) AS attempt FROM running WHERE job_type <> 3 AND pool <> 'BUILDING')
     SELECT *, 'stale' AS verdict FROM reported r WHERE NOT EXISTS (SELECT 1 FROM running x WHERE x.session_id = r.session_id AND x.job_id = r.job_id AND x.attempt = r.attempt)
-    UNION ALL SELECT session_id, job_id, attempt, 'release' FROM running x WHERE attempt_started_at <= {NOW - 15 * SECOND} AND session_id IN (SELECT session_id FROM reported)
+    UNION ALL SELECT session_id, job_id, attempt, 'release' FROM running x WHERE attempt_started_at < {NOW - 15 * SECOND} AND session_id IN (SELECT session_id FROM reported)
         AND NOT EXISTS (SELECT 1 FROM reported r WHERE x.session_id = r.session_id AND x.job_id = r.job_id AND x.attempt = r.attempt)
-    UNION ALL SELECT session_id, job_id, attempt, 'cancel' FROM running x WHERE cancel_requested_at IS NOT NULL AND EXISTS (SELECT 1 FROM reported r WHERE x.session_id = r.session_id AND x.job_id = r.job_id AND x.attempt = r.attempt)""",
+    UNION ALL SELECT session_id, job_id, attempt, 'cancel' FROM running x WHERE cancel_requested_at IS NOT NULL AND session_id IN (SELECT session_id FROM reported)""",
     "jobs",
 )
 def heartbeat_reconcile(t: Tables) -> DataFrame:

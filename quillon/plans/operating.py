@@ -11,6 +11,7 @@ from quillon.sources.views import DAY, HOUR, MINUTE, NOW, SECOND
 from .listing import ROLLUP
 from .observing import START
 from .registry import Tables, query
+from .scheduling import CRON_FIRES
 
 
 @query(f"SELECT s.id, {NOW} + s.every AS next_fire_at FROM schedules s WHERE s.kind = 'fixed_delay' AND s.state IN ('ACTIVE', 'PAUSED') AND s.next_fire_at IS NULL AND s.id IN (SELECT schedule_id FROM job_history WHERE schedule_id IS NOT NULL)", "schedules job_history")
@@ -19,8 +20,8 @@ def advance_fixed_delay(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT *, CASE WHEN id % 3 = 0 THEN anchor + 60 * CAST({DAY} AS BIGINT) END AS start_at FROM schedules), f AS (SELECT *, CASE WHEN start_at > {NOW} THEN start_at - 1 ELSE {NOW} END AS b, coalesce(start_at, created_at) AS a FROM s)
-    SELECT id, CASE WHEN kind = 'fixed_delay' THEN b + 1 WHEN b < a THEN a ELSE a + ((b - a) // every + 1) * every END AS next_fire_at FROM f""",
+    f"""WITH {CRON_FIRES}, s AS (SELECT *, CASE WHEN id % 3 = 0 THEN anchor + 60 * CAST({DAY} AS BIGINT) END AS start_at FROM schedules), f AS (SELECT *, CASE WHEN start_at > {NOW} THEN start_at - 1 ELSE {NOW} END AS b, coalesce(start_at, created_at) AS a FROM s)
+    SELECT id, CASE kind WHEN 'cron' THEN (SELECT min(c.f) FROM cron_fires c WHERE c.expr = f.expr AND c.f > f.b) WHEN 'fixed_delay' THEN b + 1 ELSE CASE WHEN b < a THEN a ELSE a + ((b - a) // every + 1) * every END END AS next_fire_at FROM f""",
     "schedules",
 )
 def first_fire(t: Tables) -> DataFrame:
@@ -143,7 +144,7 @@ def truncated_text(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH due AS (SELECT id, schedule_id % 40 AS schedule_id, fire_time, run_at FROM jobs WHERE state = 'SCHEDULED' AND schedule_id IS NOT NULL AND run_at <= {NOW + 400 * DAY}),
+    f"""WITH due AS (SELECT id, schedule_id, fire_time, run_at FROM jobs WHERE state = 'SCHEDULED' AND schedule_id IS NOT NULL AND run_at <= {NOW + 400 * DAY}),
     first AS (SELECT id FROM due ORDER BY run_at, id LIMIT 60),
     marked AS (SELECT d.*, d.id IN (SELECT id FROM first) AS batch FROM due d),
     whole AS (SELECT DISTINCT b.schedule_id FROM marked b JOIN marked o ON o.schedule_id = b.schedule_id AND (o.fire_time, o.id) < (b.fire_time, b.id) AND NOT o.batch WHERE b.batch)
@@ -151,8 +152,7 @@ def truncated_text(t: Tables) -> DataFrame:
     "jobs",
 )
 def promotion_batch(t: Tables) -> DataFrame:
-    runs = t.jobs.where("schedule_id is not null").withColumn("schedule_id", F.col("schedule_id") % 40).withColumn("run_at", F.col("run_at"))
-    return changes.batch_due(runs, NOW + 400 * DAY, 60)
+    return changes.batch_due(t.jobs, NOW + 400 * DAY, 60)
 
 
 GAUGES = f"""WITH {ROLLUP}, running AS (SELECT pool, tenant_id, count(*) AS n FROM jobs WHERE state = 'RUNNING' GROUP BY ALL),
@@ -185,7 +185,7 @@ def dispatch_round(t: Tables) -> DataFrame:
     return rounds.dispatch_round(t.jobs, waiters, t.tenants, t.job_types, t.pools, NOW)
 
 
-#: Time between evaluations, as in the reference's deploy/prometheus/prometheus.yml.
+#: Fixed value: time between evaluations.
 EVERY = 10 * SECOND
 
 

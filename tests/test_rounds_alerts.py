@@ -119,21 +119,81 @@ def test_round_keeps_caps_and_types():
     assert rounds.serve(jobs, {1: 0, 2: 0}, [(1, 4, frozenset())]) == []
 
 
-def test_round_never_assigns_twice():
+def plain_round(jobs, caps, waiters):
+    """The round over one list, with nothing kept between claims but what the rules name."""
+    left, waiting, shut, credits, out = dict(caps), sorted(jobs), set(), {4: 0, 3: 0, 2: 0, 1: 0}, []
+    weight = {4: 8, 3: 4, 2: 2, 1: 1}
+
+    def claim(types, p, n):
+        window = [j for j in waiting if j[0] == p and left.get(j[3], 1) > 0 and (not types or j[4] in types)][: min(4 * n, max(n, 1000))]
+        fair = [j for i, j in enumerate(window) if sum(k[3] == j[3] for k in window[:i]) < left.get(j[3], len(jobs))][:n]
+        for j in fair:
+            waiting.remove(j)
+            if j[3] in left:
+                left[j[3]] -= 1
+        if len(fair) < n:
+            shut.add((types, p))
+        return [(j[2], p) for j in fair]
+
+    for session, slots, types in waiters:
+        is_open = lambda p: not {(types, p), (frozenset(), p)} & shut and any(j[0] == p for j in jobs)  # noqa: B023, E731
+        want = []
+        if any(is_open(p) for p in weight):
+            for _ in range(slots):
+                there = [p for p in weight if is_open(p)]
+                for p in there:
+                    credits[p] += weight[p]
+                best = max(there, key=lambda p: (credits[p], p))
+                credits[best] -= sum(weight[p] for p in there)
+                want.append(best)
+        got = [x for p in weight if p in want for x in claim(types, p, want.count(p))]
+        for p in weight:
+            if is_open(p) and len(got) < slots:
+                got += claim(types, p, slots - len(got))
+        out += [(id_, session, p, i) for i, (id_, p) in enumerate(got)]
+    return out
+
+
+def test_round_equals_the_plain_round():
     rng = random.Random(11)
-    for _ in range(40):
-        jobs = [(rng.randint(1, 4), rng.randint(0, 9), i, rng.randint(1, 3), rng.randint(0, 2)) for i in range(rng.randint(0, 60))]
-        caps = {1: rng.randint(0, 5)}
+    for _ in range(150):
+        jobs = [(rng.randint(1, 4), rng.randint(0, 9), i, rng.randint(1, 4), rng.randint(0, 2)) for i in range(rng.randint(0, 90))]
+        caps = {1: rng.randint(0, 5), 2: rng.randint(0, 40)}
         waiters = [(s, rng.randint(1, 8), frozenset(rng.sample([0, 1, 2], rng.randint(0, 2)))) for s in range(6)]
         got = rounds.serve(jobs, caps, waiters)
+        assert got == plain_round(jobs, caps, waiters)
         by = {j[2]: j for j in jobs}
         assert len({x[0] for x in got}) == len(got)
-        assert sum(by[x[0]][3] == 1 for x in got) <= caps[1]
+        assert all(sum(by[x[0]][3] == t for x in got) <= n for t, n in caps.items())
         for s, n, types in waiters:
             own = [x for x in got if x[1] == s]
             assert len(own) <= n and all(not types or by[x[0]][4] in types for x in own)
-        if all(not w[2] for w in waiters) and caps[1] >= 60:
-            assert len(got) == min(len(jobs), sum(w[1] for w in waiters))
+
+
+def test_selector_remembers_earlier_rounds():
+    jobs = [(p, i, 100 * p + i, 1, 0) for p in (4, 3, 2, 1) for i in range(40)]
+    credits = {4: 0, 3: 0, 2: 0, 1: 0}
+    turns = [rounds.serve(jobs, {}, [(1, 1, frozenset())], credits)[0][2] for _ in range(15)]
+    assert [turns.count(p) for p in (4, 3, 2, 1)] == [8, 4, 2, 1] and set(credits.values()) == {0}
+
+
+def test_dispatch_round_equals_the_plain_round(spark, sf):
+    """The registered query, whole, against the plain round over the same tables."""
+    from quillon.operators import dispatch
+    from quillon.plans import registry
+    from quillon.sources.views import NOW
+
+    t = registry.Tables(spark, sf)
+    ready = dispatch.open_to_claims(t.jobs, t.tenants, t.job_types, t.pools, NOW).collect()
+    sessions = t.worker_sessions.where("state = 'ACTIVE' and not draining").collect()
+    want = set()
+    for pool in {r["pool"] for r in ready}:
+        own = [r for r in ready if r["pool"] == pool]
+        queue = [(s["id"], s["slots"], frozenset((0, 2)) if s["id"] % 3 == 0 else frozenset()) for s in sorted(sessions, key=lambda s: (s["id"] % 17, s["id"])) if s["pool"] == pool]
+        caps = {r["tenant_id"]: r["allowance"] for r in own if r["allowance"] is not None}
+        want |= {(pool, *x) for x in plain_round([(r["priority"], r["run_at"], r["id"], r["tenant_id"], r["job_type"]) for r in own], caps, queue)}
+    got = {(r["pool"], r["id"], r["session_id"], r["priority"], r["nth"]) for r in registry.queries()["dispatch_round"](spark, sf).collect()}
+    assert got == want and len(got) > 20
 
 
 # -- history, changes ----------------------------------------------------------------------
