@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, types as T
 from xxhash import xxh64_intdigest
 
 from .common import append, groups_by_size, small_batches, with_columns
-from .pretokens import splitter
+from .pretokens import Memory, splitter
 
 #: Bound of what is broadcast: a vocabulary file above it is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Pre-tokens that a worker remembers in each of two generations.
-REMEMBERED = 400_000
+#: Bytes of pre-tokens and ids that a worker remembers in each of two generations.
+REMEMBERED = 80 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -103,11 +103,10 @@ class Codec:
 
     def ready(self) -> Codec:
         """Once in each worker: what need not be sent."""
-        if not hasattr(self, "young"):
+        if not hasattr(self, "memory"):
             self.rank = {t: i for i, t in enumerate(self.tokens)}
             self.split = splitter(self.pattern)
-            self.young: dict[str, bytes] = {}
-            self.old: dict[str, bytes] = {}
+            self.memory = Memory(REMEMBERED)
         return self
 
     def __getstate__(self):
@@ -136,29 +135,19 @@ class Codec:
                 heappush(heap, (r, p, size + len(part[p])))
         return [rank[x] for x in part if x is not None]
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, asked: list[str]) -> None:
         """Remember the packed ids of pre-tokens: both tiers, in one pass."""
-        asked = list(pieces)
         raw = [p.encode() for p in asked]
         for piece, b, at in zip(asked, raw, self.hash.find(raw).tolist(), strict=True):
             ids = [at] if at >= 0 and self.tokens[at] == b else self.merge(b)
-            self.young[piece] = np.array(ids, "<u4").tobytes()
+            self.memory.keep(piece, np.array(ids, "<u4").tobytes())
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(t) for t in texts]
-        pieces = set().union(*split)
-        if len(self.young) + len(pieces) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        unknown = set()
-        for p in pieces.difference(self.young):
-            if (known := self.old.get(p)) is None:
-                unknown.add(p)
-            else:
-                self.young[p] = known
-        if unknown:
+        if unknown := self.memory.missing(set().union(*split)):
             self.learn(unknown)
-        get = self.young.__getitem__
+        get = self.memory.young.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
     def decode(self, ids: bytes) -> bytes:

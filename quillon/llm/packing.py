@@ -24,6 +24,8 @@ documents of their own, null ids included. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -35,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import groups_by_size, materialize, small_batches
-from .pretokens import splitter
+from .pretokens import Memory, splitter
 
 #: Rows of one length that are ranked in one part.
 RANKED_TOGETHER = 1_000
-#: Pre-tokens whose ids a worker remembers in each of two generations.
-REMEMBERED = 400_000
+#: Bytes of pre-tokens and ids that a worker remembers in each of two generations.
+REMEMBERED = 80 << 20
 #: Gaps below it are padded: cutting a document for them would leave crumbs.
 LEAST_GAP = 16
 MAX_TOKENIZER_BYTES = 64 << 20
@@ -50,7 +52,7 @@ FULL = 1 << 61
 
 @dataclass
 class Tokenizer:
-    """Ids of texts by a byte-level ``tokenizers`` file whose pre-tokens are those of ``pattern``; a special token's name in a text is ordinary text."""
+    """Ids of texts by a byte-level ``tokenizers`` file whose pre-tokens are those of ``pattern``, as the library gives them without special tokens around a text: an added token's name in a text is that token."""
 
     definition: str
     pattern: str
@@ -60,28 +62,44 @@ class Tokenizer:
         data = open(path, encoding="utf-8").read()
         if len(data) > MAX_TOKENIZER_BYTES:
             raise ValueError(f"{path} is larger than {MAX_TOKENIZER_BYTES} bytes")
+        _added(data)  # what is not supported is refused here, not in a task
         return cls(data, pattern)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids. The library's model never merges across pre-tokens, so it is asked once for each distinct one."""
-        split = [splitter(self.pattern)(t) for t in texts]
-        model, letters, memory = _loaded(self.definition)
-        pieces = set().union(*split)
-        young, old = memory
-        if len(young) + len(pieces) > REMEMBERED:
-            young, old = memory[:] = {}, young
-        for p in pieces.difference(young):
-            if (known := old.get(p)) is None:
+        model, letters, added, names, memory = _loaded(self.definition)
+        plain = splitter(self.pattern)
+
+        def pieces(text: str) -> list:
+            if names is None or names.search(text) is None:
+                return plain(text)
+            parts = names.split(text)  # what stands between names, and the names
+            return [x for i, part in enumerate(parts) for x in ([added[part]] if i % 2 else plain(part))]
+
+        split = [pieces(t) for t in texts]
+        for p in memory.missing(set().union(*split)):
+            if isinstance(p, int):
+                ids = [p]
+            else:
                 written = p.replace(" ", letters[32]) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(letters)
-                known = struct.pack(f"<{len(found)}I", *found) if (found := [t.id for t in model.tokenize(written)]) else b""
-            young[p] = known
-        get = young.__getitem__
+                ids = [t.id for t in model.tokenize(written)]
+            memory.keep(p, struct.pack(f"<{len(ids)}I", *ids))
+        get = memory.young.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
+def _added(definition: str) -> dict[str, int]:
+    """Names of added tokens and their ids. ValueError for kinds that would depend on what stands around them."""
+    found = json.loads(definition)
+    tokens = found.get("added_tokens") or []
+    if found.get("normalizer") is not None or any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("tokenizers with a normalizer, or with added tokens that strip or need word ends, are not supported")
+    return {t["content"]: t["id"] for t in tokens if t["content"]}
+
+
 @lru_cache(maxsize=1)
 def _loaded(definition: str):
-    """Once in each worker: the library's model, the letter that its vocabulary has for each byte, and the ids of pre-tokens seen lately.
+    """Once in each worker: the library's model, the letter that its vocabulary has for each byte, added tokens and what finds them (the longest name first), and the ids of pre-tokens seen lately.
 
     A byte-level vocabulary writes printable bytes as themselves and the others as the letters from U+0100 on.
     """
@@ -89,7 +107,9 @@ def _loaded(definition: str):
 
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
-    return tokenizers.Tokenizer.from_str(definition).model, {b: chr(256 + i) for i, b in enumerate(others)}, [{}, {}]
+    added = _added(definition)
+    names = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+    return tokenizers.Tokenizer.from_str(definition).model, {b: chr(256 + i) for i, b in enumerate(others)}, added, names, Memory(REMEMBERED)
 
 
 def stretches(docs: DataFrame, tokenizer: Tokenizer, capacity: int, end: int, key: str, text: str) -> DataFrame:

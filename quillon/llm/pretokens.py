@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import cache
 
@@ -37,3 +38,30 @@ def splitter(pattern: str):
         return narrow(text)
 
     return split
+
+
+class Memory:
+    """What a worker has learned of pre-tokens, in two generations of at most about ``most`` bytes each (and one batch): once the young one is full it becomes the old one, of which only what is met again lives on."""
+
+    ENTRY = 100  # bytes of a place in a dictionary
+
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """Those that must be learned; the others are in ``young`` from now on."""
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        new = []
+        for p in pieces.difference(self.young):
+            if (known := self.old.get(p)) is None:
+                new.append(p)
+            else:
+                self.keep(p, known)
+        return new
+
+    def keep(self, piece: str, value: bytes) -> None:
+        self.young[piece] = value
+        self.size += sys.getsizeof(piece) + sys.getsizeof(value) + self.ENTRY

@@ -431,7 +431,6 @@ def check_packing(df, got, capacity=1024):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     ids = [(r["doc_id"], np.array([*lib.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")) for r in df.collect()]
     rows = got.collect()
     want, have = Counter(), Counter()
@@ -471,6 +470,29 @@ def test_packing(spark, sf, docs, empty, tokenizer):
     assert packing.pack(empty, tokenizer).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "a", " b", "ü", "<", "|>", "12"]), max_size=12))
+def test_tokenizer_equals_the_library(tokenizer, parts):
+    from tokenizers import Tokenizer
+
+    text = "".join(parts)
+    lib = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    assert np.frombuffer(tokenizer.encode([text])[0], "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizer_memory_is_bounded(monkeypatch):
+    from quillon.llm.pretokens import Memory
+
+    memory, learned = Memory(10_000), 0
+    for i in range(300):
+        pieces = {f"piece {i % 7} {j}" for j in range(9)} | {"x" * 500 + str(i)}
+        for p in memory.missing(pieces):
+            memory.keep(p, b"1234")
+            learned += 1
+        assert pieces <= set(memory.young) and memory.size <= 10_000 + 4_000
+    assert 300 < learned < 2_000
+
+
 def test_packing_of_one_hot_length(spark, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "RANKED_TOGETHER", 50)
     hot = " ".join(["the"] * 699)
