@@ -5,8 +5,9 @@ Unicode escapes, base64, and zlib or gzip data inside base64 are unwrapped,
 and each new layer is searched by the same patterns and unwrapped in turn until
 no layer is new. Escapes are unwrapped in place, so that what stands around
 them is part of the layer. Base64 is read from lines and over wrapped lines,
-as a whole or, where other characters are joined to it, from each alignment. A layer that was seen before (by its hash) is not opened again,
-so cycles end. What is found inside a layer is mapped to the span of the outermost
+as a whole or, where other characters are joined to it, from each alignment. A layer
+that was seen before at its place in the text (by its hash) is not opened again, nor is compressed
+data that holds itself, so cycles end; all other layers are shorter than what they come from. What is found inside a layer is mapped to the span of the outermost
 encoded run in the text.
 
 Spans count code points, ends exclusive. Found inside a layer, a span's kind
@@ -127,31 +128,41 @@ def _inflated(chunks):
         inflater = zlib.decompressobj(47)
 
 
-def _level(data: bytes, n: int):
-    """The chunks of data that is unpacked n times."""
-    chunks = iter((data,))
+def _in_parts(bare: str, start: int, end: int):
+    """Decoded base64 in parts that grow, so that what turns out to be no packed data costs little."""
+    size = 256
+    while start < end:
+        if (data := _decoded(bare[start : min(start + size, end)])) is None:
+            return
+        yield data
+        start, size = start + size, min(4 * size, CHUNK)
+
+
+def _level(data, n: int):
+    """The chunks of data, bytes or a function that gives them in parts, that is unpacked n times."""
+    chunks = data() if callable(data) else iter((data,))
     for _ in range(n):
         chunks = _inflated(chunks)
     return chunks
 
 
-def _unpacked(data: bytes):
+def _unpacked(data):
     """(n, text windows) of data that is packed n times; nothing if it is not packed, holds no text, or holds itself."""
-    n, seen, head = 0, set(), data[:3]
+    n, seen, head = 0, set(), next(_level(data, 0), b"")[:3]
     while _is_packed(head):
-        mark = hashlib.blake2b(digest_size=12)
-        for chunk in _level(data, n):
-            mark.update(chunk)
-        if mark.digest() in seen:
-            return None
-        seen.add(mark.digest())
         head = b""
         for chunk in _level(data, n + 1):
             head += chunk[:3]
             if len(head) > 2:
                 break
-        if not head:
+        if not head:  # it only looked packed
             break
+        mark = hashlib.blake2b(digest_size=12)
+        for chunk in _level(data, n):
+            mark.update(chunk)
+        if mark.digest() in seen:
+            return None
+        seen.add(mark.digest())
         n += 1
     if not n or not _is_text(_level(data, n)):
         return None
@@ -264,8 +275,8 @@ def _contents(run: str):
             for m in PRINTABLE.finditer(data):
                 yield "base64", m[0].decode()
     for m in PACKED.finditer(bare):
-        rest = bare[m.start() :]
-        if (data := _decoded(rest[: len(rest) - (len(rest) % 4 == 1)])) and (unpacked := _unpacked(data)):
+        start, end = m.start(), len(bare) - ((len(bare) - m.start()) % 4 == 1)
+        if unpacked := _unpacked(lambda: _in_parts(bare, start, end)):  # noqa: B023  used before the next one
             for inner in unpacked[1]:
                 yield "base64" + "/zip" * unpacked[0], inner
 

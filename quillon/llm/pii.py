@@ -24,7 +24,8 @@ from .common import append, small_batches, with_columns
 #: The base patterns.
 LOCAL = "A-Za-z0-9._%+-"
 EMAIL = re.compile(rf"[{LOCAL}]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9][0-9]*(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: From the beginning of a run of digits only: where that fails, its other digits would too.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Proposed beyond the base kinds.
