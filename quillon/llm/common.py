@@ -3,7 +3,8 @@
 Conventions that hold for every operator here:
 
 * only the named input columns are read, so further columns, whatever their
-  names, neither clash nor get lost where an operator passes rows through;
+  names, neither clash nor get lost where an operator passes rows through:
+  columns that an operator needs on the way get names that no column has;
 * no operator collects rows of the corpus to the driver; what is collected is
   a model or a histogram whose size has a stated bound;
 * lineage is cut by writing Parquet to the folder that all executors share.
@@ -72,10 +73,46 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bounds of a batch for Python.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Batches of a few megabytes for Python, so that a worker's memory follows its longest texts, not its row count."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Batches of a few megabytes for Python, so that a worker's memory follows its longest texts, not its row count.
+
+    Frames are run after the operator has returned, so the session keeps the bounds; they are only ever lowered.
+    """
+    for name, most in BATCH.items():
+        now = spark.conf.get(name).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, each changed until no column of ``taken`` has it in any case."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Keys with more than this part of all rows are hot; there are at most as many as the inverse.
+HOT_KEYS = 4_096
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with facts (a row for each key, ``size``: how many rows the key has) on equal keys.
+
+    Rows of hot keys, those with more than a 4,096th of ``total``, meet their facts by broadcast (fewer than 4,096 rows
+    of facts) where they are; only the others are dealt out by key, so that no task gets a hot key's rows.
+    """
+    hot = facts.where(F.col(size) * HOT_KEYS > total)
+    cold = facts.where(F.col(size) * HOT_KEYS <= total)
+    keys = F.broadcast(hot.select(*on))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(keys, on, "left_anti").join(cold, on))
 
 
 def with_columns(schema: T.StructType, **new: T.DataType) -> T.StructType:

@@ -4,11 +4,13 @@ Multinomial naive Bayes over hashed character n-grams (one to three letters).
 The log-probability matrix, buckets x languages, is broadcast; its size is
 bounded by ``MAX_CELLS``. A batch of texts is scored as sparse rows: the
 positions of its n-grams select matrix rows, which are summed document by
-document.
+document, as many languages at a time as ``LOOKED_UP`` allows.
 
 Training takes at most about ``rows_per_language`` rows of each language,
 drawn by a hash of the key (documented bound; the draw is the same at every
-run). Prediction reads the text only.
+run). Prediction reads the text only. More than ``MAX_LANGUAGES`` values of the
+label are refused, as the matrix would not fit; beyond 512 the n-grams share
+fewer buckets.
 
 Null text, or text without a letter: ``und`` with score 0. Repeated rows get
 equal results. Without any labelled row every document is ``und``. Very long
@@ -26,11 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import CHARS_AT_ONCE, append, groups_by_size, hash_part, small_batches, with_columns
+from .common import CHARS_AT_ONCE, append, fresh, groups_by_size, hash_part, small_batches, with_columns
 
 UNKNOWN = "und"
 #: Bound of the matrix that is broadcast: 64 MB of 4-byte numbers.
 MAX_CELLS = 16 << 20
+#: Matrix entries that are looked up at once: 16 MB, whatever the number of languages.
+LOOKED_UP = 4 << 20
 MAX_LANGUAGES = 4_096
 ORDERS = 3
 SPACE, BREAK = 32, 0
@@ -118,7 +122,9 @@ class Model:
                 at = at[:most]
             here = starts < len(at)  # the last texts may be shorter than the n-gram
             if here.any():
-                total[here] += np.add.reduceat(self.matrix[at], starts[here], axis=0, dtype=np.float64)
+                some = max(1, LOOKED_UP // len(at))  # languages at a time
+                for k in range(0, len(self.languages), some):
+                    total[here, k : k + some] += np.add.reduceat(self.matrix[:, k : k + some][at], starts[here], axis=0, dtype=np.float64)
 
 
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = 2_000, buckets: int = 1 << 15, alpha: float = 0.5) -> Model:
@@ -179,8 +185,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is told with a score of ``least`` or more."""
-    found = predict(docs, model, text, "__lang", "__score")
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    found = predict(docs, model, text, lang, score)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def held_out(key: str = "doc_id") -> Column:

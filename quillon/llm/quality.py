@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import fresh
+
 #: Characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 #: Characters that count as symbols.
@@ -129,13 +131,15 @@ def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and MEASURES. Columns of ``docs`` with these names give way."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES]
-    return docs.select(*kept, measures(F.col(text)).alias("__m")).select(*kept, "__m.*")
+    (all_,) = fresh(docs.columns, "measures")
+    return docs.select(*kept, measures(F.col(text)).alias(all_)).select(*kept, f"{all_}.*")
 
 
 def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds base_failed, failed and kept to what ``measure`` gives."""
-    found = measured.withColumn("__v", verdict(F.struct(*MEASURES), rules))
-    return found.withColumns({c: F.col(f"__v.{c}") for c in ("base_failed", "failed", "kept")}).drop("__v")
+    (all_,) = fresh(measured.columns, "verdict")
+    found = measured.withColumn(all_, verdict(F.struct(*MEASURES), rules))
+    return found.withColumns({c: F.col(f"{all_}.{c}") for c in ("base_failed", "failed", "kept")}).drop(all_)
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
