@@ -7,10 +7,12 @@ points, from 0, end exclusive), and the part of it to train on: content and end
 mark of the assistant's turns, nothing of the others'. System turns are not a
 participant's; they are rendered as such in every perspective and never trained on.
 
-Positions are prefix sums. Turns are summed in chunks of ``CHUNK`` turn numbers
-before the chunks are, so no task holds all turns of a long conversation, and
-no dialogue is ever gathered into one value. Texts are left out of all but the
-first and the last shuffle.
+Positions are prefix sums. All turns are sorted into ranges, in which equal ones are
+told apart by a number of their own, so that neither a long conversation nor any
+number of turns alike is one task's. Turns are then numbered in that order and
+summed in chunks of ``CHUNK`` numbers before the chunks are. No dialogue is ever
+gathered into one value. Texts are left out of all but the first and the last
+shuffle.
 
 Null text counts as empty; a null role is the participant ``unknown``. Turns
 are ordered by turn (nulls first), then role, then text; repeated rows are turns
@@ -39,15 +41,17 @@ def _user(role: Column) -> Column:
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", system: str = "system") -> DataFrame:
     """Returns conv, perspective, position, role_label, name, rendered, start, end, train_start, train_end (null: not trained on)."""
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 40))))
     rows = rows.withColumn("is_system", F.col("role") == system)
     rows = rows.withColumn("size", F.char_length(F.when(F.col("is_system"), F.lit(SYSTEM)).otherwise(_user(F.col("role")))) + F.char_length("text") + len(END))
     rows = rows.withColumn("less", F.when(F.col("is_system"), 0).otherwise(F.char_length(_user(F.col("role"))) - len(ASSISTANT)))
 
-    inside = Window.partitionBy("conv", "chunk").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    order = ["conv", F.col("turn").asc_nulls_first(), "role", "text", "tie"]
+    rows = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    whole = materialize(rows.withColumn("row", F.monotonically_increasing_id()).drop("tie"), "turns")
+    # Ranges are in order, and so are the numbers. Texts stay behind until all positions are known.
+    rows = whole.drop("text", "turn").withColumn("chunk", F.floor(F.col("row") / CHUNK))
+    inside = Window.partitionBy("conv", "chunk").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).withColumn("position", F.count("*").over(inside))
-    whole = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "turns")
-    rows = whole.drop("text", "turn")  # texts stay behind until all positions are known
 
     # A row for each chunk, and for each speaker of a chunk.
     chunks = rows.groupBy("conv", "chunk").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
