@@ -16,10 +16,12 @@
 Null or empty text, or text without a word: fingerprint zero, linked like any
 other. Repeated rows share a fingerprint and a component. A null key never
 names a component; rows linked with null keys only have a null component. Very
-long texts are hashed in slices. An empty table gives an empty result. Memory of a
-shard task is bounded by the distinct fingerprints of the shard, about
-``SHARD_POINTS`` and its visitors; points too close to be parted stay together,
-but there are at most 43,745 fingerprints within the radius of one.
+long texts are hashed in slices. An empty table gives an empty result. A shard task
+holds the distinct fingerprints of its shard and its visitors, about 30 bytes
+each. Shards are planned for ``SHARD_POINTS``; as the sample that plans them ends
+at ``MAX_SAMPLE`` points, shards grow beyond that from about 1.6 billion distinct
+fingerprints on. Points too close to be parted stay together, but there are at
+most 43,745 fingerprints within the radius of one.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from xxhash import xxh64_intdigest
 
-from .common import append, hash_part, materialize, small_batches, with_columns
+from .common import append, fresh, hash_part, join_hot, materialize, small_batches, with_columns
 from .components import components
 
 RADIUS = 3
@@ -40,7 +42,7 @@ SHINGLE = 3
 SEED = 42
 SHINGLES_AT_ONCE = 1 << 16
 #: Points that a shard is planned for; the sample that plans the shards, 32 points for each, and its bounds.
-SHARD_POINTS, SAMPLE, MAX_SAMPLE = 50_000, 4_096, 262_144
+SHARD_POINTS, SAMPLE, MAX_SAMPLE = 50_000, 4_096, 1 << 20
 LEAF = 256
 
 
@@ -216,28 +218,31 @@ def links(points: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, key: str) -> DataFrame:
-    """rows: fp and the key. Returns (fp, best), with the smallest key of the fingerprint's component."""
-    own = materialize(rows.groupBy("fp").agg(F.min(key).alias("least")), "fingerprints")
+    """rows: fp and the key. Returns (fp, n, best): how many rows have the fingerprint, and the smallest key of its component."""
+    own = materialize(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "fingerprints")
     found = components(links(own))
-    rooted = own.join(found, own["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = rooted.join(found.select("root").distinct(), "root", "left_semi")
-    best = linked.groupBy("root").agg(F.min("least").alias("best"))
-    return rooted.join(best, "root", "left").select("fp", F.coalesce("best", "least").alias("best"))
+    # Each linked fingerprint with its root; roots stand for themselves. Minima are taken before anything is dealt out by root.
+    stars = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    linked = materialize(own.join(stars, own["fp"] == stars["node"]).select("fp", "root", "least"), "linked")
+    total = linked.count()
+    best = linked.groupBy("root").agg(F.min("least").alias("best"), F.count("*").alias("members"))
+    known = join_hot(linked, best, ["root"], "members", total).select("fp", "best")
+    return own.join(known, "fp", "left").select("fp", "n", F.coalesce("best", "least").alias("best"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: the key, fingerprint (16 hexadecimal digits), component_id."""
     rows = materialize(fingerprints(docs.select(key, text), text).select(key, "fp"), "simhash")
-    found = classes(rows, key)
-    return rows.join(found, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best").alias("component_id"))
+    found = materialize(classes(rows, key), "components")
+    return join_hot(rows, found, ["fp"], "n", rows.count()).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``docs``; of each component one row stays: the one with the smallest key, of repeated rows any one."""
     schema = docs.schema
-    kept = materialize(fingerprints(docs, text, "__fp").withColumn("__row", F.monotonically_increasing_id()), "simhash")
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__row").alias("row"))
-    rows = kept.select(F.col("__fp").alias("fp"), order.alias("order"))
-    found = classes(rows, "order")
-    stay = found.select(F.col("best.row").alias("__row")).distinct()
-    return kept.join(stay, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in schema.names))
+    fp, row = fresh(docs.columns, "fp", "row")
+    kept = materialize(fingerprints(docs, text, fp).withColumn(row, F.monotonically_increasing_id()), "simhash")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row"))
+    found = classes(kept.select(F.col(fp).alias("fp"), order.alias("order")), "order")
+    stay = found.select(F.col("best.row").alias(row)).distinct()
+    return kept.join(stay, row, "left_semi").select(*(F.col(f"`{c}`") for c in schema.names))
