@@ -2,20 +2,24 @@
 
 A paragraph classifier: multinomial logistic regression over sparse word n-grams
 (one to three words) tells the licence family; an ``unknown`` class and a
-temperature fitted on held-out pieces calibrate its probabilities; a comparison
-with the family's templates confirms what it says.
+temperature fitted on held-out phrases calibrate its probabilities; a comparison
+with the family's templates confirms what it says: enough of the piece must be
+in them, and it must have n-grams that tell this family from all others (a word of
+its own, or two longer ones) with a key word among them. Key words are the templates' words
+that are rare in the corpus (``RARE``), as the training draw has them.
 
 Training is a small job on the driver: pieces of the templates below, and for
-``unknown`` at most ``NEGATIVES`` paragraphs of the corpus (documented bound),
-drawn by a hash of the key. Scoring uses DataFrame functions only: paragraphs
-(lines up to a blank one) with a term of ``GATE`` are cut into pieces: their lines
-and their sentences across line ends that have such a term, and in paragraphs of
-more than ``SHORT`` words all windows of ``WIDTHS`` words around one, so that a
-notice is found wherever it stands. Pieces are cut into n-grams, which meet the
-broadcast weights (their number is bounded by the templates) in a join and are
-summed piece by piece. Of the windows around a term counts the one with the most
-n-grams of its family, less those that the family lacks. A paragraph without a
-term of ``GATE`` is unknown by definition.
+``unknown`` at most about ``NEGATIVES`` sentences of the corpus (documented bound),
+one of each document that a hash of the key draws, from anywhere in its text.
+Scoring uses DataFrame functions only. Paragraphs (lines up to a blank one) with a
+key word are cut into pieces: their sentences across line ends, their lines, and in
+paragraphs of more than ``SHORT`` words all windows of ``WIDTHS`` words, each
+as far as it has a key word, so that a notice is found wherever it stands. As no
+piece without a key word can be confirmed, none that could be is left out. Pieces are cut into
+n-grams, which meet the broadcast weights (their number is bounded by the
+templates) in a join and are summed piece by piece. Of the windows around a key
+word counts the one with the most n-grams of its family, less those that the family
+lacks. Texts are looked through once; a paragraph without a key word is unknown.
 
 Null or empty text: no paragraph, family ``unknown``. Repeated rows get equal
 results. Ties go to the first family by name. Texts are scanned whole.
@@ -24,6 +28,7 @@ results. Ties go to the first family by name. Texts are scanned whole.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +42,10 @@ LEAST_PROBABILITY, LEAST_SHARE = 0.6, 0.4
 #: Windows fit their notice more closely than lines do.
 LEAST_SHARE_OF_WINDOW = 0.6
 SHORT, WIDTHS = 9, (4, 6, 10, 16)
+#: Key words are in at most this part of the drawn sentences, or in two of them.
+RARE = 0.005
+#: Characters of a drawn sentence that train.
+DRAWN = 2_000
 
 #: Phrases and paragraphs of public licences by family.
 TEMPLATES = {
@@ -101,10 +110,6 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal. Released into the public domain under CC0.",
     ],
 }
-#: A paragraph is scored if it has one of these.
-GATE = r"(?i)licen[cs]|copyright|all\s+rights\s+reserved|public\s+domain|redistribut|permission|warrant|creative\s+commons|\bcc0\b|\bcc\s+by\b|\bgpl\b|confidential"
-#: The words of GATE, around which windows lie.
-ANCHOR = "licen[cs]|copyright|^reserved$|^domain$|redistribut|permission|warrant|^commons$|^cc0$|^cc$|^gpl$|confidential"
 #: Talk of licences that grants nothing; trains the unknown class.
 DECOYS = [
     "He lost his driving license and had to ask for permission to leave the country.",
@@ -115,6 +120,32 @@ DECOYS = [
     "The confidential report was given to the press without permission of the minister.",
     "The product comes with a warranty of two years that covers repairs and parts.",
     "Redistribution of wealth was the subject of the lecture in the public library.",
+    "Licensed under the Eclipse Public License, Version 2.0.",
+    "This file is made available under the terms of the Common Development and Distribution License, version 1.1.",
+    "This software is provided as is under the zlib License; see the file for the license text.",
+    "The software license of the product expires after one year and must be renewed.",
+    "Released under a license of our own. Licensed under another public license, version 1.0.",
+    "The work was released in three volumes and is available in the public library under that title.",
+]
+#: Other wordings, on which the probabilities are calibrated; they train nothing before that.
+WORDINGS = [
+    ("agpl", "Distributed under the GNU Affero General Public License v3."),
+    ("apache", "Distributed under the terms of the Apache License 2.0."),
+    ("bsd", "Distributed under the terms of the BSD 3-Clause."),
+    ("cc-by", "Available under the Creative Commons Attribution 4.0 License."),
+    ("cc-by-nc", "Available under Creative Commons Attribution-NonCommercial 4.0."),
+    ("cc-by-sa", "Available under Creative Commons Attribution-ShareAlike 4.0."),
+    ("gpl", "Distributed under the GNU General Public License v3 or later."),
+    ("isc", "Distributed under the ISC License."),
+    ("lgpl", "Distributed under the GNU Lesser General Public License v2.1."),
+    ("mit", "Released under MIT."),
+    ("mpl", "Distributed under the Mozilla Public License 2.0."),
+    ("proprietary", "Copyright by the publisher, all rights reserved."),
+    ("public-domain", "Dedicated to the public domain under CC0."),
+    ("unknown", "Licensed under the Open Software License version 3.0."),
+    ("unknown", "Distributed under the terms of a commercial license."),
+    ("unknown", "This license is not valid without the signature of the owner."),
+    ("unknown", "The public was admitted to the rights committee under the general rules."),
 ]
 WORD = "[a-z0-9]+"
 #: Ends a paragraph.
@@ -136,6 +167,8 @@ class Model:
     weights: np.ndarray  # grams x families, divided by the temperature
     bias: np.ndarray
     member: np.ndarray  # grams x families: whether the family's templates have it
+    proof: np.ndarray  # grams x families: what it adds to a proof that a piece is of the family
+    keys: list[str]  # words of which each gram with a proof has one
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -143,8 +176,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _descend(x: np.ndarray, y: np.ndarray, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases; every family counts the same."""
+    sample = (y / np.maximum(1, y.sum(axis=0))).sum(axis=1, keepdims=True)
+    sample /= sample.sum()
+    w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    speed_w, speed_b = np.zeros_like(w), np.zeros_like(b)
+    for _ in range(rounds):
+        off = (_softmax(x @ w + b) - y) * sample
+        speed_w = 0.9 * speed_w - rate * 20 * (x.T @ off + decay * w)
+        speed_b = 0.9 * speed_b - rate * off.sum(axis=0)
+        w, b = w + speed_w, b + speed_b
+    return w, b
+
+
 def train(negatives: list[str], rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """From pieces of the templates and paragraphs that are not licences."""
+    """From pieces of the templates and sentences that are not licences; their order does not matter."""
     families = [*sorted(TEMPLATES), UNKNOWN]
     pieces: list[tuple[set[str], int]] = []
     own: list[set[str]] = []
@@ -156,48 +203,60 @@ def train(negatives: list[str], rounds: int = 300, rate: float = 0.5, decay: flo
             pieces += [(_grams(words[a:b]), k) for a, b in sorted(cuts)]
     grams = sorted(set().union(*own))
     at = {g: i for i, g in enumerate(grams)}
-    seen = set(grams)
-    for text in [*DECOYS, *negatives]:
+    unlike = []  # a draw may hold licences: what looks like a template is none of the unknown
+    for text in sorted(set(negatives)):
         found = _grams(_words(text))
-        if max(len(found & o) for o in own) < 0.3 * max(1, len(found)):
-            pieces.append((found, len(families) - 1))
+        if found and max(len(found & o) for o in own) < 0.3 * len(found):
+            unlike.append(found)
+    decoys = [_grams(_words(t)) for t in DECOYS]
+    pieces += [(found, len(families) - 1) for found in decoys + unlike]
     shared = set.intersection(*own) if own else set()
     # Pieces that several families share tell none of them apart.
-    common = [k for k in range(len(pieces)) if pieces[k][1] < len(own) and sum(len(pieces[k][0] & o) >= 0.95 * len(pieces[k][0]) for o in own) > 1]
-    keep = sorted(set(range(len(pieces))) - set(common))
-    x = np.zeros((len(keep), len(grams)), np.float32)
-    y = np.zeros((len(keep), len(families)), np.float32)
-    for r, k in enumerate(keep):
-        found = [at[g] for g in pieces[k][0] if g in seen and g not in shared]
-        x[r, found] = 1 / np.sqrt(max(1, len(found)))
-        y[r, pieces[k][1]] = 1
-    held = np.arange(len(keep)) % 5 == 4
-    balance = 1 / np.maximum(1, y[~held].sum(axis=0))
-    sample = (y[~held] * balance).sum(axis=1, keepdims=True)
-    sample /= sample.sum()
-    w, b = np.zeros((len(grams), len(families)), np.float32), np.zeros(len(families), np.float32)
-    speed_w, speed_b = np.zeros_like(w), np.zeros_like(b)
-    for _ in range(rounds):
-        off = (_softmax(x[~held] @ w + b) - y[~held]) * sample
-        speed_w = 0.9 * speed_w - rate * 20 * (x[~held].T @ off + decay * w)
-        speed_b = 0.9 * speed_b - rate * off.sum(axis=0)
-        w, b = w + speed_w, b + speed_b
-    z = x[held] @ w + b
-    losses = {t: -np.log(np.maximum(1e-9, (_softmax(z / t) * y[held]).sum(axis=1))).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
+    keep = [p for p in pieces if p[1] == len(own) or sum(len(p[0] & o) >= 0.95 * len(p[0]) for o in own) < 2]
+
+    def matrix(some: list[tuple[set[str], int]]) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.zeros((len(some), len(grams)), np.float32), np.zeros((len(some), len(families)), np.float32)
+        for r, (found, k) in enumerate(some):
+            hit = [at[g] for g in found if g in at and g not in shared]
+            x[r, hit] = 1 / np.sqrt(max(1, len(hit)))
+            y[r, k] = 1
+        return x, y
+
+    # Calibrated on wordings, and on every fifth sentence that is not a licence, none of which the weights have seen.
+    wordings = [(_grams(_words(t)), families.index(f)) for f, t in WORDINGS]
+    held = unlike[::5]
+    seen = [p for p in keep if not any(p[0] is h for h in held)]
+    w, b = _descend(*matrix(seen), rounds, rate, decay)
+    x, y = matrix(wordings + [(h, len(families) - 1) for h in held[: len(wordings)]])
+    z = x @ w + b
+    losses = {t: -np.log(np.maximum(1e-9, (_softmax(z / t) * y).sum(axis=1))).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
     warmth = min(losses, key=losses.get)
+    w, b = _descend(*matrix(keep + wordings), rounds, rate, decay)
+
+    often = Counter(word for found in unlike for word in found if " " not in word)
+    most = max(2, RARE * len(unlike))
+    rare = {g for g in grams if " " not in g and not g.isdigit() and often[g] <= most}
+    # An n-gram proves a family if no other has it, nor an unknown piece, and a key word is in it.
+    elsewhere = set().union(*unlike, *decoys)
+    proves = lambda g: sum(g in o for o in own) == 1 and g not in elsewhere and any(x in rare for x in g.split())
+    proof = np.array([[(1 if " " in g else 2) if proves(g) and g in o else 0 for o in own] + [0] for g in grams])
+    keys = sorted({x for i, g in enumerate(grams) if proof[i].any() for x in g.split() if x in rare})
     member = np.array([[g in o for o in own] + [False] for g in grams])
-    return Model(families, grams, w / warmth, b / warmth, member)
+    return Model(families, grams, w / warmth, b / warmth, member, proof, keys)
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """Trains with a bounded draw of the corpus' paragraphs as unknown ones."""
+    """Trains with a bounded draw of the corpus' sentences as unknown ones."""
     rows = docs.where(F.col(text).isNotNull())
     n = rows.count()
     parts = 1 << 40
     drawn = rows.where(hash_part(F.col(key), F.lit("licences"), parts=parts) < max(1, parts * NEGATIVES // max(1, n)))
-    # The first line with a word, cut for the driver's sake: negatives are examples, not results.
-    lines = drawn.select(F.substring(F.regexp_extract(text, r"[^\n]*\w[^\n]*", 0), 1, 400).alias("line")).limit(2 * NEGATIVES).collect()
-    return train([r["line"] for r in lines if not re.search(GATE, r["line"])])
+    sentences = F.filter(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda x: x.rlike("(?i)" + WORD))
+    place = lambda what, n: F.pmod(F.xxhash64(F.col(key), F.lit(what)), n)
+    one = drawn.select(F.col(key), sentences.alias("s")).where(F.size("s") > 0).select(F.col(key), F.get("s", place("sentence", F.size("s")).cast("int")).alias("s"))
+    # Of a very long sentence a drawn part, for the driver's sake: negatives are examples, not results.
+    part = F.substring(F.col("s"), (place("part", F.greatest(F.lit(1), F.char_length("s") - DRAWN)) + 1).cast("int"), F.lit(DRAWN))
+    return train([r["s"] for r in one.select(part.alias("s")).limit(2 * NEGATIVES).collect()])
 
 
 def _ngrams(words: Column) -> Column:
@@ -207,86 +266,105 @@ def _ngrams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs, threes))
 
 
-def _windows(words: Column) -> Column:
-    """All windows of WIDTHS words around the words of ANCHOR, as (anchor, words)."""
+def _has(words: Column, keys: list[str]) -> Column:
+    return F.arrays_overlap(words, F.array(*(F.lit(k) for k in keys))) if keys else F.lit(False)
+
+
+def _tokens(text: Column) -> Column:
+    return F.split(F.lower(text), f"[^{WORD[1:-2]}]+")
+
+
+def _windows(words: Column, keys: list[str]) -> Column:
+    """All windows of WIDTHS words that have a key word, as (words, where its key words stand)."""
     n = F.size(words)
-    anchors = F.filter(F.transform(words, lambda w, i: F.when(w.rlike(ANCHOR), i)), lambda i: i.isNotNull())
-    # Windows that hold an anchor, by their first word: within W - 1 before it, and within the text.
-    around = lambda p, w: F.transform(F.sequence(F.greatest(F.lit(0), p - (w - 1)), F.least(p, n - w)), lambda a: F.struct(p.alias("anchor"), F.slice(words, a + 1, F.lit(w)).alias("words")))
-    found = F.flatten(F.transform(anchors, lambda p: F.concat(*(F.when(n >= w, around(p, w)).otherwise(F.array()) for w in WIDTHS))))
-    return F.when(n > SHORT, found).otherwise(F.array())
+    at = F.filter(F.transform(words, lambda w, i: F.when(w.isin(keys) if keys else F.lit(False), i)), lambda i: i.isNotNull())
+
+    def of(width: int, places: Column) -> Column:
+        starts = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(F.greatest(F.lit(0), p - (width - 1)), F.least(p, n - width)))))
+        inside = lambda a: F.filter(places, lambda p: (p >= a) & (p < a + width))
+        return F.transform(starts, lambda a: F.struct(F.slice(words, a + 1, F.lit(width)).alias("words"), inside(a).alias("anchors")))
+
+    none = F.array().cast("array<struct<words: array<string>, anchors: array<int>>>")
+    found = F.transform(F.array(at), lambda places: F.concat(*(F.when(n >= w, of(w, places)).otherwise(none) for w in WIDTHS)))[0]
+    return F.when(n > SHORT, found).otherwise(none)
+
+
+def looked_through(docs: DataFrame, model: Model, key: str, text: str) -> DataFrame:
+    """row (a number), key, and the paragraphs that have a key word with their places (null: none): the only pass over the texts."""
+    found = F.filter(F.transform(F.split(text, BLANK), lambda p, i: F.struct(i.alias("at"), p.alias("paragraph"))), lambda p: _has(_tokens(p["paragraph"]), model.keys))
+    gate = F.coalesce(_has(_tokens(F.col(text)), model.keys), F.lit(False))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.when(gate, found).alias("paragraphs"))
 
 
-def _pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """What is scored of each gated paragraph: row, key, at (the paragraph), piece (its number), anchor (of a window), sentence (else), line (whether it is but a line of it), words."""
-    gated = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(GATE))
-    found = gated.select("row", "key", F.posexplode(F.split("text", BLANK)).alias("at", "paragraph")).where(F.col("paragraph").rlike(GATE))
+def _pieces(seen: DataFrame, model: Model) -> DataFrame:
+    """What is scored of each paragraph: row, key, at (the paragraph), piece (its number), anchors (of a window), sentence (else), line (whether it is but a line of it), words."""
+    found = seen.select("row", "key", F.explode("paragraphs").alias("p")).select("row", "key", "p.at", "p.paragraph")
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), 1)
     # A sentence as a whole, then its lines: those of a list without full stops are notices of their own.
-    joined = lambda x: F.regexp_replace(x, r"\s*\n\s*", " ")
-    sentences = F.filter(F.split("paragraph", r"(?<=[.!?])\s+"), lambda x: joined(x).rlike(GATE))
-    lines = lambda x: F.when(x.contains("\n"), F.filter(F.split(x, "\n"), lambda y: y.rlike(GATE))).otherwise(F.array().cast("array<string>"))
-    whole = F.transform(sentences, lambda x: F.struct(words(joined(x)).alias("words"), F.transform(lines(x), words).alias("lines")))
-    found = materialize(found.select("row", "key", "at", whole.alias("whole"), words(F.col("paragraph")).alias("words")), "paragraphs")
-    none = F.lit(None).cast("int")
-    piece = lambda w, anchor, sentence, line: F.struct(anchor.cast("int").alias("anchor"), sentence.cast("int").alias("sentence"), F.lit(line).alias("line"), w.alias("words"))
+    sentences = F.transform(F.split("paragraph", r"(?<=[.!?])\s+"), lambda x: F.struct(words(F.regexp_replace(x, r"\s*\n\s*", " ")).alias("words"), F.when(x.contains("\n"), F.transform(F.split(x, "\n"), words)).otherwise(F.array().cast("array<array<string>>")).alias("lines")))
+    found = found.select("row", "key", "at", sentences.alias("whole"), words(F.col("paragraph")).alias("words"))
+    piece = lambda w, anchors, sentence, line: F.struct(anchors.cast("array<int>").alias("anchors"), sentence.cast("int").alias("sentence"), F.lit(line).alias("line"), w.alias("words"))
+    none = F.lit(None)
     of_sentences = F.flatten(F.transform("whole", lambda s, i: F.concat(F.array(piece(s["words"], none, i, False)), F.transform(s["lines"], lambda w: piece(w, none, i, True)))))
-    of_windows = F.transform(_windows(F.col("words")), lambda x: piece(x["words"], x["anchor"], none, False))
+    of_sentences = F.filter(of_sentences, lambda p: _has(p["words"], model.keys))
+    of_windows = F.transform(_windows(F.col("words"), model.keys), lambda x: piece(x["words"], x["anchors"], none, False))
     pieces = found.select("row", "key", "at", F.posexplode(F.concat(of_sentences, of_windows)).alias("piece", "p"))
-    return pieces.select("row", "key", "at", "piece", "p.anchor", "p.sentence", "p.line", "p.words")
+    return pieces.select("row", "key", "at", "piece", "p.anchors", "p.sentence", "p.line", "p.words")
 
 
-def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each line and sentence, and for the best window around each term, of gated paragraphs: as ``paragraphs``, and anchor."""
-    spark = docs.sparkSession
+def _scored(seen: DataFrame, model: Model) -> DataFrame:
+    """A row for each line and sentence, and for the best window around each key word: row, key, at, anchor, predicted, probability, share, confirmed, family."""
+    spark = seen.sparkSession
     k = len(model.families)
-    table = spark.createDataFrame([(g, [float(v) for v in model.weights[i]], [int(v) for v in model.member[i]]) for i, g in enumerate(model.grams)], "gram string, w array<double>, m array<int>")
-    at = ["row", "key", "at", "piece", "anchor", "sentence", "line"]
-    grams = _pieces(docs, key, text).select(*at, F.posexplode(_ngrams(F.col("words"))).alias("nth", "gram"))
+    table = spark.createDataFrame([(g, [float(v) for v in model.weights[i]], [int(v) for v in model.member[i]], [int(v) for v in model.proof[i]]) for i, g in enumerate(model.grams)], "gram string, w array<double>, m array<int>, p array<int>")
+    at = ["row", "key", "at", "piece", "anchors", "sentence", "line"]
+    grams = _pieces(seen, model).select(*at, F.explode(_ngrams(F.col("words"))).alias("gram"))
     hits = grams.join(F.broadcast(table), "gram", "left")
-    sums = hits.groupBy(*at).agg(
+    total = lambda c, i: F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0))
+    sums = hits.groupBy("row", "at", "piece").agg(
+        *(F.first(c).alias(c) for c in ("key", "anchors", "sentence", "line")),
         F.count("*").alias("grams"),
         F.count("w").alias("hits"),
-        *(F.coalesce(F.sum(F.col("w")[i]), F.lit(0.0)).alias(f"w{i}") for i in range(k)),
-        *(F.coalesce(F.sum(F.col("m")[i]), F.lit(0)).alias(f"m{i}") for i in range(k)),
+        *(total(c, i).alias(f"{c}{i}") for c in "wmp" for i in range(k)),
     )
     scale = F.sqrt(F.greatest(F.lit(1), F.col("hits")))
     logits = F.array(*(F.col(f"w{i}") / scale + float(model.bias[i]) for i in range(k)))
-    out = sums.select(*at, "grams", logits.alias("z"), F.array(*(F.col(f"m{i}") for i in range(k))).alias("own"))
+    all_ = lambda c: F.array(*(F.col(f"{c}{i}") for i in range(k)))
+    out = sums.select(*at, "grams", logits.alias("z"), all_("m").alias("own"), all_("p").alias("proof"))
     out = out.withColumn("top", F.array_max("z")).withColumn("which", (F.array_position("z", F.col("top")) - 1).cast("int"))
     out = out.withColumn("mass", F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v)))
     names = F.array(*(F.lit(f) for f in model.families))
     own = F.col("own")[F.col("which")]
-    out = out.select(*at, names[F.col("which")].alias("predicted"), (F.exp("top") / F.col("mass")).alias("probability"), "grams", (own / F.col("grams")).alias("share"), (2 * own - F.col("grams")).alias("excess"))
-    least = F.when(F.col("anchor").isNull(), LEAST_SHARE).otherwise(LEAST_SHARE_OF_WINDOW)
+    out = out.select(*at, names[F.col("which")].alias("predicted"), (F.exp("top") / F.col("mass")).alias("probability"), "grams", (own / F.col("grams")).alias("share"), (2 * own - F.col("grams")).alias("excess"), F.col("proof")[F.col("which")].alias("proof"))
+    least = F.when(F.col("anchors").isNull(), LEAST_SHARE).otherwise(LEAST_SHARE_OF_WINDOW)
     # A word alone, such as the end of a wrapped line, names no licence.
-    sure = (F.col("predicted") != UNKNOWN) & (F.col("grams") > 1) & (F.col("probability") >= LEAST_PROBABILITY) & (F.col("share") >= least)
+    sure = (F.col("predicted") != UNKNOWN) & (F.col("grams") > 1) & (F.col("probability") >= LEAST_PROBABILITY) & (F.col("share") >= least) & (F.col("proof") >= 2)
     out = out.withColumn("confirmed", sure).withColumn("family", F.when(sure, F.col("predicted")).otherwise(UNKNOWN))
-    # All sentences count, and their lines unless the sentence is a notice that fits better; of an anchor's windows the best.
+    # All sentences count, and their lines unless the sentence is a notice that fits better; of a key word's windows the best.
+    out = out.withColumn("anchor", F.explode_outer("anchors"))
     fits = F.max(F.when(~F.col("line") & F.col("confirmed"), F.col("excess"))).over(Window.partitionBy("row", "at", "anchor", "sentence"))
     out = out.withColumn("fits", fits).where(~F.col("line") | F.col("fits").isNull() | (F.col("excess") > F.col("fits")))
     what = F.struct("predicted", "probability", "share", "confirmed", "family")
     alone = F.when(F.col("anchor").isNull(), F.col("piece"))
     best = out.groupBy("row", "key", "at", "anchor", alone.alias("alone")).agg(F.max_by(what, F.struct("excess", "probability", -F.col("piece"))).alias("best"))
-    return best.select("row", F.col("key").alias(key), "at", "anchor", "best.*")
+    return best.select("row", "key", "at", "anchor", "best.*")
 
 
 def paragraphs(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each gated paragraph: row (a number for the document's row), key, at (the paragraph), and of its surest piece predicted, probability, share, confirmed, family."""
+    """A row for each paragraph with a key word: row (a number for the document's row), key, at (the paragraph), and of its surest piece predicted, probability, share, confirmed, family."""
+    seen = materialize(looked_through(docs, model, key, text), "paragraphs")
     what = ("predicted", "probability", "share", "confirmed", "family")
     best = F.max_by(F.struct(*what), F.struct("confirmed", "probability", "predicted")).alias("best")
-    return scored(docs, model, key, text).groupBy("row", key, "at").agg(best).select("row", key, "at", "best.*")
+    return _scored(seen, model).groupBy("row", "key", "at").agg(best).select("row", F.col("key").alias(key), "at", "best.*")
 
 
 def scan(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: key, license (families that its paragraphs confirm, by name, comma-joined, else unknown), probability of the surest one, n_paragraphs that were scored."""
-    gate = F.coalesce(F.col(text).rlike(GATE) & F.exists(F.split(text, BLANK), lambda p: p.rlike(GATE)), F.lit(False))
-    found = scored(docs, model, key, text)
-    some = found.groupBy("row", key).agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("license"),  # at most as many as there are families
-        F.max(F.when(F.col("confirmed"), F.col("probability"))).alias("probability"),
-        F.countDistinct("at").alias("n_paragraphs"),
+    """A row for each document: key, license (families that its paragraphs confirm, by name, comma-joined, else unknown), probability of the surest one, n_paragraphs that have a key word."""
+    seen = materialize(looked_through(docs, model, key, text), "paragraphs")
+    some = _scored(seen, model).where("confirmed").groupBy("row").agg(
+        F.array_join(F.array_sort(F.collect_set("family")), ",").alias("license"),  # at most as many as there are families
+        F.max("probability").alias("probability"),
     )
-    some = some.select(key, F.when(F.col("license") == "", UNKNOWN).otherwise(F.col("license")).alias("license"), F.round(F.coalesce("probability", F.lit(0.0)), 6).alias("probability"), "n_paragraphs")
-    none = docs.where(~gate).select(key, F.lit(UNKNOWN).alias("license"), F.lit(0.0).alias("probability"), F.lit(0).cast("long").alias("n_paragraphs"))
-    return some.unionByName(none)
+    all_ = seen.select("row", "key", F.coalesce(F.size("paragraphs"), F.lit(0)).cast("long").alias("n_paragraphs"))
+    out = all_.join(some, "row", "left")
+    return out.select(F.col("key").alias(key), F.coalesce("license", F.lit(UNKNOWN)).alias("license"), F.round(F.coalesce("probability", F.lit(0.0)), 6).alias("probability"), F.greatest(F.lit(0).cast("long"), "n_paragraphs").alias("n_paragraphs"))

@@ -577,6 +577,83 @@ def test_licenses_in_long_and_wrapped_paragraphs(spark):
     assert [got[i] for i in range(len(cases))] == [f for _, f in cases]
 
 
+def plain_licenses(model, text):
+    """Families that any piece of a text confirms, every sentence, line and window tried, none left out beforehand."""
+    at = {g: i for i, g in enumerate(model.grams)}
+
+    def judged(words, least):
+        grams = licenses._grams(words)
+        hits = [at[g] for g in grams if g in at]
+        z = model.weights[hits].sum(axis=0) / np.sqrt(max(1, len(hits))) + model.bias
+        p = np.exp(z - z.max())
+        k = int(z.argmax())
+        own = int(model.member[hits, k].sum())
+        ok = model.families[k] != "unknown" and len(grams) > 1 and p[k] / p.sum() >= licenses.LEAST_PROBABILITY and own >= least * len(grams) and model.proof[hits, k].sum() >= 2
+        return 2 * own - len(grams), p[k] / p.sum(), model.families[k], bool(ok)
+
+    found, surest = set(), 0.0
+    for paragraph in re.split(r"\n[^\S\n]*(?=\n)", text or ""):
+        chosen = []
+        for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
+            whole = judged(licenses._words(re.sub(r"\s*\n\s*", " ", sentence)), licenses.LEAST_SHARE)
+            chosen.append(whole)
+            lines = [judged(w, licenses.LEAST_SHARE) for x in (sentence.split("\n") if "\n" in sentence else []) if (w := licenses._words(x))]
+            chosen += [x for x in lines if not whole[3] or x[0] > whole[0]]
+        words = licenses._words(paragraph)
+        if len(words) > licenses.SHORT:
+            tried = {(a, n): judged(words[a : a + n], licenses.LEAST_SHARE_OF_WINDOW) for n in licenses.WIDTHS for a in range(len(words) - n + 1)}
+            for i, word in enumerate(words):
+                if word in model.keys:
+                    chosen.append(max((x for (a, n), x in tried.items() if a <= i < a + n), key=lambda x: x[:2]))
+            assert not any(x[3] for (a, n), x in tried.items() if not set(words[a : a + n]) & set(model.keys))
+        for _, p, family, ok in chosen:
+            if ok:
+                found.add(family)
+                surest = max(surest, p)
+    return ",".join(sorted(found)) or "unknown", surest
+
+
+def test_licenses_equal_brute_force(spark, sf, docs):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    model = licenses.fit(d)
+    some = ["Licensed under the Apache License, Version 2.0.", "a license to the public domain of all rights", "Released under the MIT License and the GPL", "x " * 40 + "all rights reserved. See the GNU Lesser General Public License\nfor more details " + "y " * 30]
+    some += [t for texts in licenses.TEMPLATES.values() for t in texts] + [" ".join(texts) for texts in licenses.TEMPLATES.values()] + licenses.DECOYS
+    for frame in (d, docs.select("doc_id", "text"), spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")):
+        got = Counter((r["doc_id"], r["license"], round(r["probability"], 4)) for r in licenses.scan(frame, model).collect())
+        want = Counter()
+        for r in frame.collect():
+            if r["text"] == LONG:
+                want[(r["doc_id"], "unknown", 0.0)] += 1
+                continue
+            family, p = plain_licenses(model, r["text"])
+            want[(r["doc_id"], family, round(p, 4))] += 1
+        assert {x[:2]: n for x, n in got.items()} == {x[:2]: n for x, n in want.items()}
+        assert sum(x[2] for x in got.elements()) == pytest.approx(sum(x[2] for x in want.elements()), abs=1e-3 * len(some))
+
+
+def test_licenses_recall_on_the_corpus(spark, sf):
+    """Every line that is one of the corpus' notices is found; texts without one are unknown."""
+    notices = {"Licensed under the Apache License, Version 2.0": "apache", "Released under the MIT License": "mit", "GNU General Public License, version 3": "gpl", "All rights reserved.": "proprietary", "CC BY-NC 4.0": "cc-by-nc"}
+    rows = queries.op8_licenses(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").collect()
+    planted = [(f, r["license"]) for r in rows for n, f in notices.items() if n in (r["text"] or "")]
+    assert len(planted) > 3 and sum(f in have.split(",") for f, have in planted) >= 0.9 * len(planted)
+    assert sum(r["license"] != "unknown" for r in rows if not any(n in (r["text"] or "") for n in notices)) <= 0.01 * len(rows)
+
+
+def test_licenses_that_are_none_of_the_families(spark):
+    cases = ["Licensed under the Eclipse Public License, Version 2.0.", "Licensed under the EUPL, Version 1.2", "Licensed under the Artistic License 2.0.", "Distributed under the Boost Software License, Version 1.0.", "Licensed under the SIL Open Font License, Version 1.1.", "The fishing license was extended by the council."]
+    known = {"Released under MIT.": "mit", "Distributed under the terms of the BSD 3-Clause.": "bsd", "Released under the GPL.": "gpl"}
+    d = spark.createDataFrame(list(enumerate([*cases, *known])), "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(d, licenses.train([])).collect()}
+    assert [got[i] for i in range(len(got))] == ["unknown"] * len(cases) + list(known.values())
+
+
+def test_licenses_model_does_not_depend_on_order():
+    lines = [f"line {i} of {'some' if i % 3 else 'other'} words that say {w}" for i, w in enumerate(WORDS)]
+    a, b = licenses.train(lines), licenses.train(lines[::-1])
+    assert a.keys == b.keys and np.allclose(a.weights, b.weights)
+
+
 def test_licenses_native_equals_numpy(spark):
     model = licenses.train([])
     lines = ["Licensed under the Apache License, Version 2.0.", "a license to the public domain of all rights", "Released under the MIT License and the GPL"]
