@@ -93,8 +93,12 @@ def measures(text: Column) -> Column:
     def counts(words: Column) -> Column:
         n = F.size(words)
 
-        def windows(hashes: Column) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, F.lit(WINDOW))))
+        def doubled(hashes: Column, step: int) -> Column:
+            """Hashes of twice as many words: each with the one ``step`` on."""
+            return _let(hashes, lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - step), F.slice(h, F.lit(step + 1), F.size(h) - step), lambda a, b: F.xxhash64(a, b)))
+
+        def windows(hashes: Column) -> Column:  # WINDOW is 8: twice, twice and twice
+            return doubled(doubled(doubled(hashes, 1), 2), 4)
 
         def repeated(found: Column) -> Column:
             return F.when(F.size(F.array_distinct(found)) == F.size(found), F.lit(0).cast("long")).otherwise(_covered(found))
