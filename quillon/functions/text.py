@@ -30,10 +30,14 @@ def set_key(items: Column, separator: str = "\0") -> Column:
     return F.array_join(F.array_sort(F.array_distinct(items)), separator)
 
 
-@F.pandas_udf(T.StringType())
-def truncate_utf8(text: pd.Series, most: pd.Series) -> pd.Series:
-    """At most so many bytes, without a broken character at the end."""
-    return pd.Series([None if t is None else t.encode()[:n].decode("utf-8", "ignore") for t, n in zip(text, most, strict=True)])
+def truncate_utf8(text: Column | str, most: Column | str) -> Column:
+    """At most so many bytes, without a broken character at the end: cut before the character that the limit would part."""
+    text, most = (F.col(c) if isinstance(c, str) else c for c in (text, most))
+    raw = F.encode(text, "utf-8")
+    byte = lambda i: F.hex(F.substring(raw, i + 1, F.lit(1)))  # noqa: E731  the byte after the first i
+    inside = lambda i: byte(i).between("80", "BF")  # noqa: E731  a character has at most three of these
+    cut = F.when(~inside(most), most).when(~inside(most - 1), most - 1).when(~inside(most - 2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).when(most <= 0, "").otherwise(F.decode(F.substring(raw, F.lit(1), cut), "utf-8"))
 
 
 def _short(x: Column) -> Column:
@@ -64,15 +68,32 @@ def error_status(error: Column) -> Column:
     return F.struct(F.coalesce(status[error], F.lit(500)).alias("status"), F.coalesce(code[error], F.lit("internal")).alias("code"))
 
 
+def _unknown(value: Column, kind: T.DataType, at: str) -> list[Column]:
+    """For each object of a schema, wherever it lies, the first field that the schema lacks."""
+    if isinstance(kind, T.StructType):
+        extra = F.array_except(F.json_object_keys(value), F.array(*(F.lit(f) for f in kind.names)))
+        found = [F.when(F.size(extra) > 0, F.concat(F.lit(at), extra[0]))]
+        for f in kind.fields:
+            found += _unknown(F.get_json_object(value, f"$['{f.name}']"), f.dataType, f"{at}{f.name}.")
+        return found
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        items = F.from_json(value, T.ArrayType(T.StringType()))
+        inner = F.transform(items, lambda x: F.coalesce(*_unknown(x, kind.elementType, f"{at}[]."), F.lit(None).cast("string")))
+        return [F.get(F.filter(inner, lambda x: x.isNotNull()), F.lit(0))]
+    return []
+
+
 def strict_json(body: Column, schema: T.StructType, most: int = 1 << 20) -> Column:
-    """struct(value, error): the body as ``schema``; too large, malformed or with a field that is not known is an error; nothing at all is an empty object."""
+    """struct(value, error): the body as ``schema``; too large, malformed, with a field anywhere that is not known, or with a value of another type is an error; nothing at all is an empty object."""
     text = F.when(F.trim(body) == "", F.lit("{}")).otherwise(body)
-    known = F.array(*(F.lit(f) for f in schema.names))
-    unknown = F.array_except(F.json_object_keys(text), known)
+    unknown = F.coalesce(*_unknown(text, schema, ""), F.lit(None).cast("string"))
+    wrong = "__wrong"  # set where a value does not fit its type
+    read = F.from_json(text, T.StructType([*schema.fields, T.StructField(wrong, T.StringType())]), {"columnNameOfCorruptRecord": wrong})
     error = (
         F.when(F.octet_length(body) > most, "body too large")
         .when(F.json_object_keys(text).isNull(), "malformed JSON")
-        .when(F.size(unknown) > 0, F.concat(F.lit("unknown field "), unknown[0]))
+        .when(unknown.isNotNull(), F.concat(F.lit("unknown field "), unknown))
+        .when(read[wrong].isNotNull(), "a value of another type")
     )
     return F.struct(F.when(error.isNull(), F.from_json(text, schema)).alias("value"), error.alias("error"))
 
@@ -95,14 +116,57 @@ def _same(a, b) -> bool:
     return json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
 
 
-def schema_errors(value, schema, at: str = "") -> list[str]:
-    """What of a value breaks a schema: type, enum, const, bounds, lengths, pattern, properties, required, items, all/any/one of, not. References are refused."""
+def _branches(schema):
+    """A schema and all schemas in it."""
+    if isinstance(schema, dict):
+        yield schema
+        for v in schema.values():
+            yield from _branches(v)
+    elif isinstance(schema, list):
+        for v in schema:
+            yield from _branches(v)
+
+
+def _referred(root, ref: str):
+    """What a reference within the schema names. ValueError for others."""
+    if not ref.startswith("#") or (len(ref) > 1 and ref[1] != "/"):
+        raise ValueError(f"reference {ref!r} leaves the schema")
+    for part in ref[2:].split("/") if len(ref) > 1 else []:
+        part = part.replace("~1", "/").replace("~0", "~")
+        try:
+            root = root[int(part) if isinstance(root, list) else part]
+        except (KeyError, IndexError, ValueError, TypeError):
+            raise ValueError(f"reference {ref!r} names nothing") from None
+    return root
+
+
+#: Keywords that would need a memory of what other keywords have looked at.
+REFUSED = ("$dynamicRef", "$recursiveRef", "unevaluatedProperties", "unevaluatedItems")
+
+
+def check_schema(schema) -> None:
+    """ValueError if any branch refers beyond the schema or has a keyword that is not supported, whatever values come."""
+    for branch in _branches(schema):
+        if isinstance(branch.get("$ref"), str):
+            _referred(schema, branch["$ref"])
+        if found := [k for k in REFUSED if k in branch]:
+            raise ValueError(f"{found[0]} is not supported")
+
+
+def schema_errors(value, schema, at: str = "", root=None, depth: int = 0) -> list[str]:
+    """What of a value breaks a schema (2020-12): types, enum, const, bounds, lengths, patterns, properties and their names, dependencies, items, contains, all/any/one of, not, if/then/else, references within the schema."""
+    if root is None:
+        root = schema
+        check_schema(schema)
+    if depth > 100:
+        raise ValueError("references go in circles")
     if schema is True or schema is False:
         return [] if schema else [f"{at or '/'}: nothing is allowed"]
-    if "$ref" in schema or "$dynamicRef" in schema:
-        raise ValueError("references are not supported")
     bad: list[str] = []
+    errors = lambda v, s, where: schema_errors(v, s, where, root, depth + 1)
     say = lambda what: bad.append(f"{at or '/'}: {what}")
+    if isinstance(schema.get("$ref"), str):
+        bad += errors(value, _referred(root, schema["$ref"]), at)
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         say(f"is not {kinds}")
@@ -126,31 +190,45 @@ def schema_errors(value, schema, at: str = "") -> list[str]:
             say("has a size that is not allowed")
         if schema.get("uniqueItems") and len({json.dumps(v, sort_keys=True) for v in value}) < len(value):
             say("has repeated items")
+        if "contains" in schema:
+            fit = sum(not errors(v, schema["contains"], at) for v in value)
+            if not schema.get("minContains", 1) <= fit <= schema.get("maxContains", math.inf):
+                say("has a number of fitting items that is not allowed")
         first = schema.get("prefixItems", [])
         for i, v in enumerate(value):
             own = first[i] if i < len(first) else schema.get("items", True)
-            bad += schema_errors(v, own, f"{at}/{i}")
+            bad += errors(v, own, f"{at}/{i}")
     if isinstance(value, dict):
         for name in schema.get("required", []):
             if name not in value:
                 say(f"lacks {name}")
         if not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", math.inf):
             say("has a number of properties that is not allowed")
+        for name, needed in schema.get("dependentRequired", {}).items():
+            bad += [f"{at or '/'}: lacks {n}, which {name} needs" for n in needed if name in value and n not in value]
+        for name, s in schema.get("dependentSchemas", {}).items():
+            if name in value:
+                bad += errors(value, s, at)
+        if "propertyNames" in schema:
+            bad += [e for name in value for e in errors(name, schema["propertyNames"], f"{at}/{name}")]
         own, patterns = schema.get("properties", {}), schema.get("patternProperties", {})
         for name, v in value.items():
             matched = [s for p, s in patterns.items() if re.search(p, name)]
             if name in own:
                 matched.append(own[name])
             for s in matched or [schema.get("additionalProperties", True)]:
-                bad += schema_errors(v, s, f"{at}/{name}")
+                bad += errors(v, s, f"{at}/{name}")
     for s in schema.get("allOf", []):
-        bad += schema_errors(value, s, at)
-    if "anyOf" in schema and all(schema_errors(value, s, at) for s in schema["anyOf"]):
+        bad += errors(value, s, at)
+    if "anyOf" in schema and all(errors(value, s, at) for s in schema["anyOf"]):
         say("matches none of anyOf")
-    if "oneOf" in schema and sum(not schema_errors(value, s, at) for s in schema["oneOf"]) != 1:
+    if "oneOf" in schema and sum(not errors(value, s, at) for s in schema["oneOf"]) != 1:
         say("does not match one of oneOf")
-    if "not" in schema and not schema_errors(value, schema["not"], at):
+    if "not" in schema and not errors(value, schema["not"], at):
         say("matches what it must not")
+    if "if" in schema:
+        branch = "else" if errors(value, schema["if"], at) else "then"
+        bad += errors(value, schema.get(branch, True), at)
     return bad
 
 

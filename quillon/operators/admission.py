@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillon.functions import text
+
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
 #: Rules for names and labels.
@@ -36,9 +38,9 @@ def usable(now: int) -> Column:
     return F.col("revoked_at").isNull() & (F.col("expires_at").isNull() | (F.lit(now) < F.col("expires_at")))
 
 
-def canonical_uuid(text: Column) -> Column:
+def canonical_uuid(written: Column) -> Column:
     """Lower case, or null if it is no UUID."""
-    low = F.lower(text)
+    low = F.lower(written)
     return F.when(low.rlike(UUID), low)
 
 
@@ -74,9 +76,23 @@ def _in_order(rows: DataFrame, key: list[str], fold, schema: str) -> DataFrame:
     return rows.repartition(*key).sortWithinPartitions(*key, "ts", "id").mapInPandas(run, schema)
 
 
+USES = "tenant_id int, idempotency_key string, id long, owner long, outcome string"
+
+
 def first_use(requests: DataFrame, ttl: int = DAY) -> DataFrame:
-    """Idempotency: within a tenant and key, the request that claims it (the first, or the first after a claim's end) and what the others are to it."""
+    """Idempotency: within a tenant and key, the request that claims it (the first, or the first after a claim's end) and what the others are to it.
+
+    Keys all of whose requests lie within one claim, nearly all where keys are used once, are a window; only those
+    whose requests outlast a claim are folded.
+    """
+    key = ["tenant_id", "idempotency_key"]
     keyed = requests.where("idempotency_key is not null").select("tenant_id", "idempotency_key", "ts", "id", F.sha2(F.col("body"), 256).alias("hash"))
+    w = Window.partitionBy(*key).orderBy("ts", "id")
+    first = F.first(F.struct("id", "hash", "ts")).over(w)
+    seen = keyed.withColumn("first", first).withColumn("last", F.max("ts").over(Window.partitionBy(*key)))
+    once = F.col("last") < F.col("first.ts") + ttl
+    outcome = F.when(F.col("id") == F.col("first.id"), "created").when(F.col("hash").eqNullSafe(F.col("first.hash")), "replayed").otherwise("key_reused")
+    simple = seen.where(once).select(*key, "id", F.col("first.id").alias("owner"), outcome.alias("outcome"))
 
     def fold(key):
         claim = [-1, None, None]  # until, owner, hash
@@ -89,7 +105,7 @@ def first_use(requests: DataFrame, ttl: int = DAY) -> DataFrame:
 
         return step
 
-    return _in_order(keyed, ["tenant_id", "idempotency_key"], fold, "tenant_id int, idempotency_key string, id long, owner long, outcome string")
+    return simple.unionByName(_in_order(seen.where(~once).select(*keyed.columns), key, fold, USES))
 
 
 def deduplicate(created: DataFrame, active: DataFrame) -> DataFrame:
@@ -122,14 +138,20 @@ def shed(priority: Column, age_ms: Column, target_ms: Column, fresh: Column, sat
     return F.coalesce(over | ((priority == 1) & saturated) if saturated is not None else over, F.lit(False))
 
 
-def token_bucket(requests: DataFrame, by: str, rate: str, burst: float = 2.0) -> DataFrame:
-    """Requests (by, ts, id, rate) through a bucket of burst * rate tokens that refills by rate a second: id, allowed, wait (seconds until a token)."""
+def token_bucket(requests: DataFrame, by: str, rate: str, burst: float = 2.0, default: float = 10.0) -> DataFrame:
+    """Requests (by, ts, id, rate) through a bucket of burst * rate tokens that refills by rate a second: id, allowed, wait (seconds until a token).
+
+    No rate is the default one; a rate of 0 or less lets nothing pass, and its wait has no end.
+    """
 
     def fold(key):
         tokens, last = None, None
 
         def step(r):
             nonlocal tokens, last
+            if not r.rate > 0:
+                tokens, last = 0.0, r.ts
+                return int(r.id), False, float("inf")
             full = burst * r.rate
             tokens = full if tokens is None else min(full, tokens + (r.ts - last) / SECOND * r.rate)
             last = r.ts
@@ -140,11 +162,47 @@ def token_bucket(requests: DataFrame, by: str, rate: str, burst: float = 2.0) ->
 
         return step
 
-    rows = requests.select(by, "ts", "id", F.col(rate).cast("double").alias("rate"))
+    rows = requests.select(by, "ts", "id", F.coalesce(F.col(rate).cast("double"), F.lit(default)).alias("rate"))
     kind = rows.schema[by].dataType.simpleString()
     return _in_order(rows, [by], fold, f"{by} {kind}, id long, allowed boolean, wait double")
 
 
+#: Bounds of an attempt's timeout in microseconds; how old a load sample may be.
+TIMEOUTS = (SECOND, DAY)
+SAMPLE_AGE = 60 * SECOND
+
+
+def is_fresh(sampled_at: Column, now: int) -> Column:
+    """Whether a sample of the load is young enough to refuse anything by."""
+    return F.coalesce(sampled_at > now - SAMPLE_AGE, F.lit(False))
+
+
+def resolve(asked: DataFrame, job_types: DataFrame, now: int) -> DataFrame:
+    """Submissions with their type's defaults: id, priority, timeout (microseconds), run_at, rejected (the first reason against it, null: none).
+
+    asked: id, tenant_id, job_type, priority (a name), attempt_timeout and delay (as written), run_at, role. job_types: tenant_id, name,
+    enabled, attempt_timeout_ms, default_priority.
+    """
+    types = job_types.select("tenant_id", F.col("name").alias("job_type"), "enabled", "attempt_timeout_ms", "default_priority")
+    s = asked.join(types, ["tenant_id", "job_type"], "left")
+    delay, timeout, level = text.duration_micros(F.col("delay")), text.duration_micros(F.col("attempt_timeout")), priority_number(F.col("priority"))
+    named = F.coalesce(F.col("priority"), F.lit("")) != ""
+    own = F.coalesce(F.col("attempt_timeout"), F.lit("")) != ""
+    late = F.coalesce(F.col("delay"), F.lit("")) != ""
+    priority = F.when(named, level).otherwise(F.col("default_priority"))
+    broken = lambda c: ~F.coalesce(c, F.lit(False))
+    why = (
+        F.when(late & F.col("run_at").isNotNull(), "delay")
+        .when(late & broken(delay >= 0), "delay")
+        .when(F.col("job_type").isNull() | broken(F.col("enabled")), "type")
+        .when(named & level.isNull(), "priority")
+        .when(own & broken(timeout.between(*TIMEOUTS)), "attempt_timeout")
+        .when((priority == 4) & broken(includes(F.col("role"), F.lit("operator"))), "critical needs operator")
+    )
+    at = F.when(late, F.lit(now) + delay).otherwise(F.col("run_at"))
+    return s.select("id", priority.cast("int").alias("priority"), F.when(own, timeout).otherwise(F.col("attempt_timeout_ms") * 1000).alias("timeout"), F.coalesce(at, F.lit(now)).alias("run_at"), why.alias("rejected"))
+
+
 def new_jobs(accepted: DataFrame, now: int) -> DataFrame:
     """Accepted submissions (id, run_at, ...) as jobs: due ones are ready at once, the others scheduled."""
     due = F.col("run_at") <= now

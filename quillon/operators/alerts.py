@@ -32,13 +32,13 @@ class Samples:
     def __init__(self, samples: DataFrame, since: int, until: int, step: int):
         self.samples, self.since, self.until, self.step = samples, since, until, step
 
-    def _seen(self, s: DataFrame, span: int) -> DataFrame:
-        """A row for each evaluation that sees a sample, ts <= at <= ts + span: the times follow from the sample, so nothing is joined."""
+    def _at(self, s: DataFrame, start: Column, end: Column) -> DataFrame:
+        """A row for each evaluation with start <= at < end: the times follow from the row, so nothing is joined."""
         behind = lambda x: (x - F.pmod(x - self.since, F.lit(self.step))).cast("long")  # noqa: E731  the evaluation at or before x
-        first = F.greatest(F.lit(self.since), behind(F.col("ts") + (self.step - 1)))
-        last = F.least(behind(F.lit(self.until)), behind(F.col("ts") + span))
-        s = s.withColumn("first", first).withColumn("last_at", last).where("first <= last_at")
-        return s.withColumn("at", F.explode(F.sequence("first", "last_at", F.lit(self.step).cast("long")))).drop("first", "last_at")
+        first = F.greatest(F.lit(self.since), behind(start + (self.step - 1)))
+        last = F.least(behind(F.lit(self.until)), behind(end - 1))
+        s = s.withColumn("first_at", first).withColumn("last_at", last).where("first_at <= last_at")
+        return s.withColumn("at", F.explode(F.sequence("first_at", "last_at", F.lit(self.step).cast("long")))).drop("first_at", "last_at")
 
     def _of(self, name: str, by: tuple[str, ...], where: Column | None) -> DataFrame:
         s = self.samples.where(F.col("name") == name)
@@ -48,20 +48,31 @@ class Samples:
         return s.select(series.alias("series"), *(F.coalesce(F.col("labels")[b], F.lit("")).alias(b) for b in by), "ts", "value")
 
     def instant(self, name: str, by: tuple[str, ...], agg: str = "sum", where: Column | None = None, of=None) -> DataFrame:
-        """agg by labels over the latest samples: at, by..., value."""
+        """agg by labels over the latest samples: at, by..., value. A sample is the latest until the next one, or until it is stale."""
         s = self._of(name, by, where)
-        near = self._seen(s, STALE - 1)
-        last = near.groupBy("at", "series", *by).agg(F.max_by("value", "ts").alias("value"))
+        then = F.lead("ts").over(Window.partitionBy("series", *by).orderBy("ts"))
+        stale = F.col("ts") + STALE
+        last = self._at(s.withColumn("then", then), F.col("ts"), F.least(stale, "then"))
         return last.groupBy("at", *by).agg(getattr(F, agg)(of(F.col("value")) if of else F.col("value")).alias("value"))
 
     def grown(self, name: str, by: tuple[str, ...], span: int, where: Column | None = None, rate: bool = False) -> DataFrame:
-        """Sum by labels of what counters gained over the span before each time."""
+        """Sum by labels of what counters gained over the span before each time.
+
+        Each series' gains are summed up once. A time's window is then two of these sums: that of the latest sample,
+        and that of the first one after the window's start; either sample is known for a stretch of times at once.
+        """
         s = self._of(name, by, where)
-        near = self._seen(s, span)
-        last = F.lag("value").over(Window.partitionBy("at", "series", *by).orderBy("ts"))
-        near = near.withColumn("last", last)
-        gain = F.when(F.col("last").isNull(), 0.0).when(F.col("value") >= F.col("last"), F.col("value") - F.col("last")).otherwise(F.col("value"))
-        each = near.withColumn("gain", gain).groupBy("at", "series", *by).agg(F.sum("gain").alias("gain"), F.count("*").alias("n")).where("n > 1")
+        w = Window.partitionBy("series", *by).orderBy("ts")
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        s = s.withColumn("d", metrics.gained(F.col("value"), F.lag("value").over(w)))
+        s = s.withColumns({"total": F.sum("d").over(upto), "nth": F.row_number().over(w), "then": F.lead("ts").over(w), "before": F.lag("ts").over(w)})
+        gone = F.col("ts") + span
+        on = ["series", *by, "at"]
+        latest = self._at(s, F.col("ts"), F.least(gone, "then")).select(*on, F.col("ts").alias("last"), F.col("total").alias("to"), F.col("nth").alias("last_nth"))
+        first = self._at(s, F.greatest(F.col("ts"), F.col("before") + span), gone).select(*on, F.col("ts").alias("first"), F.col("total").alias("from"), F.col("nth").alias("first_nth"), F.col("value").alias("first_value"))
+        both = latest.join(first, on)
+        gain = metrics.extrapolated(F.col("to") - F.col("from"), F.col("first_value"), F.col("first"), F.col("last"), F.col("last_nth") - F.col("first_nth") + 1, F.col("at") - span, F.col("at"))
+        each = both.withColumn("gain", gain).where("gain is not null")
         total = F.sum("gain") / (span / SECOND) if rate else F.sum("gain")
         return each.groupBy("at", *by).agg(total.alias("value"))
 

@@ -62,3 +62,13 @@ def email_send(job: dict) -> object:
     if "to" not in payload:
         raise Permanent("payload needs to")
     return {"sent": payload["to"]}
+
+
+def demo_sleep(job: dict, sleep: Callable[[float], None] = time.sleep) -> object:
+    """A demonstration: takes as long as its payload says."""
+    try:
+        seconds = float(json.loads(job["payload"] or "").get("seconds", 0))
+    except (ValueError, AttributeError, TypeError) as e:
+        raise Permanent(f"payload: {e}") from e
+    sleep(max(0.0, seconds))
+    return {"slept": True}

@@ -16,7 +16,7 @@ def all_jobs(active: DataFrame, history: DataFrame) -> DataFrame:
     return active.withColumn("source", F.lit("active")).unionByName(history.withColumn("source", F.lit("history")), allowMissingColumns=True)
 
 
-def list_filter(state: str | None = None, job_type=None, schedule=None, label: tuple[str, str] | None = None, since: int | None = None, until: int | None = None, after: tuple[int, int] | None = None) -> Column:
+def list_filter(state: str | None = None, job_type=None, schedule=None, label: tuple[str, str] | None = None, labels: dict[str, str] | None = None, since: int | None = None, until: int | None = None, after: tuple[int, int] | None = None) -> Column:
     """The conditions that are given; created time from ``since`` on and before ``until``; ``after`` is the last row of the page before, newest first."""
     cond = F.lit(True)
     if state is not None:
@@ -27,6 +27,8 @@ def list_filter(state: str | None = None, job_type=None, schedule=None, label: t
         cond &= F.col("schedule_id") == schedule
     if label is not None:
         cond &= F.col(label[0]) == label[1]
+    for k, v in (labels or {}).items():  # a map holds all of them
+        cond &= F.coalesce(F.element_at("labels", F.lit(k)) == v, F.lit(False))
     if since is not None:
         cond &= F.col("created_at") >= since
     if until is not None:

@@ -1,8 +1,10 @@
 """Metric series: histograms, rates, quantiles, vector matching, alert durations, and the load gate's evaluation.
 
 A series table is long: ts (microseconds), label columns, value. ``increase``
-follows counter resets; it is the reset-clipped sum of deltas, without the
-extrapolation to the window's edges that Prometheus adds.
+follows counter resets, and what the samples of a window gained is extrapolated
+to its edges: to an edge that is nearer than 1.1 times the samples' mean
+distance, else by half that distance, and at the start not beyond the point where
+the counter would have been 0.
 """
 
 from __future__ import annotations
@@ -11,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SECOND = 1_000_000
 #: Bucket bounds in seconds.
+WAIT = (0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0, 600.0, 1800.0, 3600.0, 10800.0, 43200.0, 86400.0)
+DURATION = (0.01, 0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0, 300.0, 900.0, 3600.0)
+DATABASE = (0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 5.0)
 LATENCY = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 300.0)
 INFINITE = float("inf")
 
@@ -38,18 +43,39 @@ def share_at(buckets: DataFrame, by: list[str], bound: float) -> DataFrame:
     return g.select(*by, F.when(F.col("n").isNull() | (F.col("total") == 0), float("nan")).otherwise(F.col("n") / F.col("total")).alias("share"))
 
 
+def gained(value: Column, last: Column) -> Column:
+    """From the sample before; after a reset a counter has gained what it shows."""
+    return F.when(last.isNull(), 0.0).when(value >= last, value - last).otherwise(value)
+
+
+def extrapolated(gain: Column, first_value: Column, first: Column, last: Column, n: Column, since: Column, until: Column) -> Column:
+    """What n samples between two instants gained, carried on to the window's edges; null for fewer than two."""
+    covered = (last - first).cast("double")
+    mean = covered / (n - 1)
+    near = lambda gap: F.when(gap >= 1.1 * mean, mean / 2).otherwise(gap)
+    before = near((first - since).cast("double"))
+    before = F.when((gain > 0) & (first_value >= 0), F.least(before, covered * first_value / F.when(gain > 0, gain))).otherwise(before)
+    return F.when((n > 1) & (covered > 0), gain * (covered + before + near((until - last).cast("double"))) / F.when(covered > 0, covered))
+
+
 def increase(samples: DataFrame, series: list[str], since: int, until: int) -> DataFrame:
-    """Growth of each counter over (since, until], resets taken as starts from 0."""
+    """Growth of each counter over (since, until], resets taken as starts from 0; series with fewer than two samples there have none."""
     w = Window.partitionBy(*series).orderBy("ts")
-    s = samples.where((F.col("ts") >= since) & (F.col("ts") <= until)).withColumn("last", F.lag("value").over(w))
-    grown = F.when(F.col("last").isNull(), 0.0).when(F.col("value") >= F.col("last"), F.col("value") - F.col("last")).otherwise(F.col("value"))
-    return s.withColumn("d", grown).groupBy(*series).agg(F.sum("d").alias("increase"))
+    s = samples.where((F.col("ts") > since) & (F.col("ts") <= until)).withColumn("d", gained(F.col("value"), F.lag("value").over(w)))
+    g = s.groupBy(*series).agg(F.sum("d").alias("gain"), F.min_by("value", "ts").alias("first_value"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    out = g.select(*series, extrapolated(F.col("gain"), F.col("first_value"), F.col("first"), F.col("last"), F.col("n"), F.lit(since), F.lit(until)).alias("increase"))
+    return out.where("increase is not null")
 
 
 def rate(samples: DataFrame, series: list[str], since: int, until: int) -> DataFrame:
     return increase(samples, series, since, until).select(*series, (F.col("increase") / ((until - since) / SECOND)).alias("rate"))
 
 
+def dispatch_latency(ready_at: Column, started_at: Column, polled_at: Column, cap_freed_at: Column) -> Column:
+    """How long a job waited once a worker was free for it and its tenant's cap had room: from the latest of its ready time, the poll and the cap's freeing (null: was not at its cap); microseconds, never negative."""
+    return F.greatest(F.lit(0), F.least(started_at - ready_at, started_at - polled_at, started_at - cap_freed_at))
+
+
 def held_for(samples: DataFrame, series: list[str], condition: Column, duration: int) -> DataFrame:
     """Adds since (when the condition last became true) and firing (true at every evaluation for ``duration``)."""
     w = Window.partitionBy(*series).orderBy("ts")

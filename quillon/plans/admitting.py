@@ -82,17 +82,49 @@ def token_bucket(t: Tables) -> DataFrame:
     return out.groupBy("tenant_id").agg(F.count("*").alias("asked"), F.count_if("allowed").alias("allowed"))
 
 
+#: What submissions of every kind ask for: their own values, none, and wrong ones.
+ASKED = f"""asked AS (SELECT id, tenant_id, id % 5 AS job_type, CASE id % 7 WHEN 0 THEN 'urgent' WHEN 1 THEN 'critical' WHEN 2 THEN 'Low' WHEN 3 THEN '' END AS priority,
+    CASE id % 11 WHEN 0 THEN '90s' WHEN 1 THEN '25h' WHEN 2 THEN '10ms' WHEN 3 THEN 'soon' WHEN 4 THEN '24h' END AS attempt_timeout, CASE id % 13 WHEN 0 THEN '10m' WHEN 1 THEN '-1s' WHEN 2 THEN '1h' END AS delay,
+    CASE WHEN id % 26 IN (2, 5) THEN {NOW + DAY} END AS run_at, CASE WHEN tenant_id % 2 = 0 THEN 'submitter' ELSE 'admin' END AS role FROM submissions)"""
+
+
 @query(
-    """SELECT s.id, coalesce(s.priority, y.default_priority) AS priority, y.attempt_timeout_ms AS timeout_ms, CASE WHEN y.name IS NULL OR NOT y.enabled THEN 'unknown job type' WHEN s.priority = 4 AND s.tenant_id % 2 = 0 THEN 'critical needs operator' END AS rejected
-    FROM submissions s LEFT JOIN job_types y ON y.tenant_id = s.tenant_id AND y.name = s.id % 5""",
+    f"""WITH {ASKED}, j AS (SELECT a.*, y.enabled, y.attempt_timeout_ms, CASE WHEN coalesce(a.priority, '') = '' THEN y.default_priority ELSE CASE upper(a.priority) WHEN 'LOW' THEN 1 WHEN 'NORMAL' THEN 2 WHEN 'HIGH' THEN 3 WHEN 'CRITICAL' THEN 4 END END AS p FROM asked a LEFT JOIN job_types y ON y.tenant_id = a.tenant_id AND y.name = a.job_type)
+    SELECT id, p AS priority, CASE attempt_timeout WHEN '90s' THEN 90000000 WHEN '25h' THEN 90000000000 WHEN '10ms' THEN 10000 WHEN 'soon' THEN NULL WHEN '24h' THEN 86400000000 ELSE attempt_timeout_ms * 1000 END AS timeout,
+    coalesce(CASE delay WHEN '10m' THEN {NOW} + 600000000 WHEN '-1s' THEN {NOW} - 1000000 WHEN '1h' THEN {NOW} + 3600000000 ELSE run_at END, {NOW}) AS run_at,
+    CASE WHEN delay IS NOT NULL AND run_at IS NOT NULL OR delay = '-1s' THEN 'delay' WHEN enabled IS NULL OR NOT enabled THEN 'type' WHEN priority <> '' AND p IS NULL THEN 'priority' WHEN attempt_timeout IN ('25h', '10ms', 'soon') THEN 'attempt_timeout'
+        WHEN p = 4 AND role = 'submitter' THEN 'critical needs operator' END AS rejected FROM j""",
     "submissions job_types",
 )
 def resolve_submission(t: Tables) -> DataFrame:
     """A type's defaults under a request's own values; the first reason against it."""
-    types = t.job_types.select("tenant_id", F.col("name").alias("kind"), "enabled", "attempt_timeout_ms", "default_priority")
-    s = t.submissions.withColumn("kind", (F.col("id") % 5).cast("int")).join(F.broadcast(types), ["tenant_id", "kind"], "left")
-    why = F.when(F.col("enabled").isNull() | ~F.col("enabled"), "unknown job type").when((F.col("priority") == 4) & (F.col("tenant_id") % 2 == 0), "critical needs operator")
-    return s.select("id", F.coalesce("priority", "default_priority").alias("priority"), F.col("attempt_timeout_ms").alias("timeout_ms"), why.alias("rejected"))
+    c = F.expr
+    asked = t.submissions.select(
+        "id",
+        "tenant_id",
+        c("cast(id % 5 as int)").alias("job_type"),
+        c("case id % 7 when 0 then 'urgent' when 1 then 'critical' when 2 then 'Low' when 3 then '' end").alias("priority"),
+        c("case id % 11 when 0 then '90s' when 1 then '25h' when 2 then '10ms' when 3 then 'soon' when 4 then '24h' end").alias("attempt_timeout"),
+        c("case id % 13 when 0 then '10m' when 1 then '-1s' when 2 then '1h' end").alias("delay"),
+        F.when(c("id % 26 in (2, 5)"), F.lit(NOW + DAY)).alias("run_at"),
+        c("case when tenant_id % 2 = 0 then 'submitter' else 'admin' end").alias("role"),
+    )
+    return admission.resolve(asked, t.job_types, NOW)
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT s.id, s.ts, s.tenant_id, coalesce(y.rate_limit, 3.0) / 86400.0 * CASE WHEN s.tenant_id % 10 = 9 THEN 0 ELSE 1 END AS rate, row_number() OVER (PARTITION BY s.tenant_id ORDER BY s.ts, s.id) AS n FROM submissions s JOIN tenants y ON y.id = s.tenant_id),
+    b AS (SELECT id, ts, tenant_id, rate, n, 86400.0 * rate AS had FROM r WHERE n = 1
+        UNION ALL SELECT r.id, r.ts, r.tenant_id, r.rate, r.n, least(86400.0 * r.rate, CASE WHEN b.had >= 1 THEN b.had - 1 ELSE b.had END + CAST(r.ts - b.ts AS DOUBLE) / 1000000.0 * r.rate) FROM b JOIN r ON r.tenant_id = b.tenant_id AND r.n = b.n + 1)
+    SELECT tenant_id, count(*) AS asked, count(*) FILTER (WHERE had >= 1) AS allowed FROM b GROUP BY ALL""",
+    "submissions tenants",
+)
+def tenant_rates(t: Tables) -> DataFrame:
+    """Each tenant's own limit (a day, as events are sparse), the default where it has none, and 0, which lets nothing pass."""
+    limits = t.tenants.select(F.col("id").alias("tenant_id"), (F.col("rate_limit") / 86400.0).alias("limit"))
+    rows = t.submissions.join(limits, "tenant_id").withColumn("rate", F.when(F.col("tenant_id") % 10 == 9, 0.0).otherwise(F.col("limit")))
+    out = admission.token_bucket(rows.select("tenant_id", "ts", "id", "rate"), "tenant_id", "rate", burst=86400.0, default=3.0 / 86400.0)
+    return out.groupBy("tenant_id").agg(F.count("*").alias("asked"), F.count_if("allowed").alias("allowed"))
 
 
 @query(

@@ -55,18 +55,21 @@ def _counter(t: Tables) -> DataFrame:
     return t.metrics.select("tenant_id", "ts", (F.row_number().over(Window.partitionBy("tenant_id").orderBy("ts", "id")) % 37).cast("double").alias("value"))
 
 
-@query(
-    f"""WITH {COUNTER}, s AS (SELECT *, lag(value) OVER (PARTITION BY tenant_id ORDER BY ts) AS last FROM counter WHERE ts >= {START + 5 * DAY} AND ts <= {START + 15 * DAY})
-    SELECT tenant_id, sum(CASE WHEN last IS NULL THEN 0 WHEN value >= last THEN value - last ELSE value END) AS increase FROM s GROUP BY ALL""",
-    "metrics",
-)
+#: The samples of ten days, what each gained, and a window's growth to its edges.
+GROWN = f"""{COUNTER}, s AS (SELECT *, lag(value) OVER (PARTITION BY tenant_id ORDER BY ts) AS last FROM counter WHERE ts > {START + 5 * DAY} AND ts <= {START + 15 * DAY}),
+e AS (SELECT tenant_id, sum(CASE WHEN last IS NULL THEN 0 WHEN value >= last THEN value - last ELSE value END) AS gain, arg_min(value, ts) AS v, CAST(min(ts) AS DOUBLE) AS a, CAST(max(ts) AS DOUBLE) AS b, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 1),
+m AS (SELECT *, (b - a) / (n - 1) AS mean, a - {START + 5 * DAY} AS head, {START + 15 * DAY} - b AS tail FROM e),
+x AS (SELECT *, CASE WHEN head >= 1.1 * mean THEN mean / 2 ELSE head END AS lead_in, CASE WHEN tail >= 1.1 * mean THEN mean / 2 ELSE tail END AS lead_out FROM m),
+grown AS (SELECT tenant_id, gain * (b - a + CASE WHEN gain > 0 AND (b - a) * v / gain < lead_in THEN (b - a) * v / gain ELSE lead_in END + lead_out) / (b - a) AS increase FROM x)"""
+
+
+@query(f"WITH {GROWN} SELECT tenant_id, round(increase, 6) AS increase FROM grown", "metrics")
 def counter_increase(t: Tables) -> DataFrame:
-    return metrics.increase(_counter(t), ["tenant_id"], START + 5 * DAY, START + 15 * DAY)
+    return metrics.increase(_counter(t), ["tenant_id"], START + 5 * DAY, START + 15 * DAY).withColumn("increase", F.round("increase", 6))
 
 
 @query(
-    f"""WITH {COUNTER}, s AS (SELECT *, lag(value) OVER (PARTITION BY tenant_id ORDER BY ts) AS last FROM counter WHERE ts >= {START + 5 * DAY} AND ts <= {START + 15 * DAY}),
-    r AS (SELECT tenant_id, sum(CASE WHEN last IS NULL THEN 0 WHEN value >= last THEN value - last ELSE value END) / 864000.0 AS rate FROM s GROUP BY ALL)
+    f"""WITH {GROWN}, r AS (SELECT tenant_id, increase / 864000.0 AS rate FROM grown)
     SELECT tenant_id % 5 AS grp, round(sum(rate), 12) AS rate, round(max(rate), 12) AS top, count(*) AS series FROM r GROUP BY ALL""",
     "metrics",
 )
@@ -117,13 +120,13 @@ def error_ratio(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT outcome, tenant_id % 3 AS grp, CAST(sum(CASE WHEN ts >= {START + 15 * DAY} THEN 1 ELSE -1 END) AS DOUBLE) AS change FROM metrics WHERE ts < {START + 28 * DAY} GROUP BY ALL""",
+    f"""SELECT outcome, tenant_id % 3 AS grp, CAST(sum(CASE WHEN ts >= {START + 15 * DAY} THEN 1 ELSE -1 END) AS DOUBLE) AS change FROM metrics GROUP BY ALL""",
     "metrics",
 )
 def snapshot_change(t: Tables) -> DataFrame:
     """What a counter gained between two snapshots, series that one of them lacks counted as 0 there."""
     snap = lambda df: df.groupBy("outcome", (F.col("tenant_id") % 3).alias("grp"), "tenant_id").agg(F.count("*").cast("double").alias("value"))
-    rows = t.metrics.where(F.col("ts") < START + 28 * DAY)
+    rows = t.metrics
     return metrics.change(snap(rows.where(F.col("ts") < START + 15 * DAY)), snap(rows.where(F.col("ts") >= START + 15 * DAY)), ["outcome", "grp"])
 
 
@@ -148,14 +151,29 @@ def load_mix(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT id, greatest(0, least({NOW} - run_at, coalesce({NOW} - attempt_started_at, {NOW} - run_at))) / 1000000 AS latency, CAST(floor({NOW} / 60000000.0) - floor(run_at / 60000000.0) AS BIGINT) AS minutes FROM jobs WHERE state IN ('READY', 'RUNNING')""",
+    f"""SELECT id, greatest(0, least(least({NOW} - run_at, {NOW} - coalesce(attempt_started_at, run_at)), {NOW} - CASE WHEN id % 4 = 1 THEN {NOW} - id % 90 * 1000000 ELSE run_at END)) / 1000000 AS latency, CAST(floor({NOW} / 60000000.0) - floor(run_at / 60000000.0) AS BIGINT) AS minutes FROM jobs WHERE state IN ('READY', 'RUNNING')""",
     "jobs",
 )
 def dispatch_latency(t: Tables) -> DataFrame:
-    wait = F.greatest(F.lit(0), F.least(F.lit(NOW) - F.col("run_at"), F.lit(NOW) - F.col("attempt_started_at")))
+    """Three instants hold a job back; where one is unknown, it does not."""
+    freed = F.when(F.col("id") % 4 == 1, F.lit(NOW) - F.col("id") % 90 * 1_000_000)
+    wait = metrics.dispatch_latency(F.col("run_at"), F.lit(NOW), F.col("attempt_started_at"), freed)
     return t.jobs.where("state in ('READY', 'RUNNING')").select("id", (wait / 1_000_000).alias("latency"), metrics.minute_boundaries(F.col("run_at"), F.lit(NOW)).alias("minutes"))
 
 
+@query(
+    " UNION ALL ".join(f"SELECT '{name}' AS family, outcome, {b} AS le, count(*) FILTER (WHERE seconds * {scale} <= {b}) AS n FROM metrics GROUP BY outcome" for name, scale, bounds in (("wait", 900.0, metrics.WAIT), ("duration", 60.0, metrics.DURATION), ("db", 0.2, metrics.DATABASE), ("latency", 5.0, metrics.LATENCY)) for b in bounds),
+    "metrics",
+)
+def histogram_families(t: Tables) -> DataFrame:
+    """The finite buckets of every family of histograms."""
+    out = None
+    for name, scale, bounds in (("wait", 900.0, metrics.WAIT), ("duration", 60.0, metrics.DURATION), ("db", 0.2, metrics.DATABASE), ("latency", 5.0, metrics.LATENCY)):
+        one = metrics.histogram(t.metrics.withColumn("seconds", F.col("seconds") * scale), ["outcome"], "seconds", bounds).where(F.col("le") < metrics.INFINITE).select(F.lit(name).alias("family"), "outcome", "le", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     """SELECT state, tenant_id, job_type, count(*) AS jobs, count(*) FILTER (WHERE state = 'RETRY_PENDING') AS retried, count(*) FILTER (WHERE state = 'DEAD_LETTERED') AS dead FROM all_jobs GROUP BY ALL""",
     "all_jobs",

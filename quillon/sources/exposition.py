@@ -40,3 +40,18 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder, one a node; ``node`` is the file's name."""
     lines = spark.read.text(path).withColumn("node", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[a-z]+)?$", 1))
     return parse(lines)
+
+
+def lines(series: DataFrame) -> DataFrame:
+    """Series (name, labels, value) as lines of the text format: what ``parse`` reads gives the series again."""
+    quoted = lambda t: F.replace(F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), quoted(e["value"]), F.lit('"')))
+    braces = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
+    inf = float("inf")
+    number = F.when(F.col("value") == inf, "+Inf").when(F.col("value") == -inf, "-Inf").when(F.isnan("value"), "NaN").otherwise(F.col("value").cast("string"))
+    return series.select(F.concat("name", braces, F.lit(" "), number).alias("value"))
+
+
+def write(series: DataFrame, path: str) -> None:
+    """One snapshot of all series as text files in a folder, which replaces the last one."""
+    lines(series).write.mode("overwrite").text(path)

@@ -20,8 +20,12 @@ def _forget() -> None:
 
 
 def folder(spark: SparkSession, what: str) -> str:
-    """A new folder's path in ``spark.checkpoint.dir``; a local one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/quillon-shared"
+    """A new folder's path in ``spark.checkpoint.dir``; a local one only where that is unset and Spark is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.gettempdir()}/quillon-shared"
     path = f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     if not _folders:
         atexit.register(_forget)

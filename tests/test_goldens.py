@@ -425,6 +425,24 @@ def test_token_bucket(spark):
     assert got == {0: (True, 0.0), 1: (True, 0.0), 2: (False, 1.0), 3: (True, 0.0), 4: (True, 0.0)}
 
 
+def test_token_bucket_without_a_rate(spark):
+    rows = spark.createDataFrame([(1, T0, 0, 0.0), (1, T0 + S, 1, 0.0), (2, T0, 2, None), (3, T0, 3, -1.0)], "tenant_id int, ts long, id long, rate double")
+    got = {r["id"]: (r["allowed"], r["wait"]) for r in admission.token_bucket(rows, "tenant_id", "rate").collect()}
+    assert got == {0: (False, math.inf), 1: (False, math.inf), 2: (True, 0.0), 3: (False, math.inf)}
+    fresh = spark.createDataFrame([(T0 - 59 * S,), (T0 - 60 * S,), (None,)], "t long").select(admission.is_fresh(F.col("t"), T0)).collect()
+    assert [r[0] for r in fresh] == [True, False, False]
+
+
+def test_labels_and_small_facts(spark):
+    df = spark.createDataFrame([(1, {"a": "x", "b": "y"}), (2, {"a": "x"}), (3, {}), (4, None)], "id long, labels map<string,string>")
+    ids = lambda **labels: [r["id"] for r in df.where(lists.list_filter(labels=labels)).orderBy("id").collect()]
+    assert ids(a="x") == [1, 2] and ids(a="x", b="y") == [1] and ids(b="z") == [] and ids() == [1, 2, 3, 4]
+    due = spark.createDataFrame([(1, T0 - 3 * S)], "id long, run_at long")
+    assert [(r["state"], r["ready_at"], r["lag"]) for r in scheduling.promoted(due, T0).collect()] == [("READY", T0, 3 * S)]
+    wait = due.select(metrics.dispatch_latency(F.lit(T0), F.lit(T0 + 9), F.lit(T0 + 4), F.lit(None).cast("long")), metrics.dispatch_latency(F.lit(T0), F.lit(T0 + 9), F.lit(T0 + 4), F.lit(T0 + 11))).first()
+    assert (wait[0], wait[1]) == (5, 0)
+
+
 def test_shed(spark):
     rows = [(1, 600_000, 300_000, True), (2, 600_000, 300_000, True), (2, 1_200_000, 300_000, True), (3, 9_000_000, 300_000, True), (1, 600_000, 300_000, False), (1, None, 300_000, True)]
     df = spark.createDataFrame(rows, "p int, age long, target long, fresh boolean")
@@ -452,6 +470,9 @@ def test_durations(spark):
 def test_truncate_and_sets(spark):
     df = spark.createDataFrame([("aüb", 2), ("aüb", 3), (None, 1)], "t string, n int")
     assert [r[0] for r in df.select(text.truncate_utf8("t", "n")).collect()] == ["a", "aü", None]
+    whole = "aüß€𝄞z"
+    cuts = spark.createDataFrame([(whole, n) for n in range(16)], "t string, n int").select("n", text.truncate_utf8("t", "n").alias("c")).collect()
+    assert {r["n"]: r["c"] for r in cuts} == {n: whole.encode()[:n].decode("utf-8", "ignore") for n in range(16)}
     assert spark.range(1).select(text.set_key(F.array(F.lit("b"), F.lit("a"), F.lit("b")), ",")).first()[0] == "a,b"
 
 
@@ -465,6 +486,16 @@ def test_strict_json(spark):
     assert [g[1] for g in got[1:3]] == ["unknown field c", "malformed JSON"] and got[3][1] is None
 
 
+def test_strict_json_inside(spark):
+    from pyspark.sql import types as T
+
+    schema = T._parse_datatype_string("a long, o struct<x: long, l: array<struct<k: string>>>")
+    rows = ['{"a": 1, "o": {"x": 2, "l": [{"k": "v"}, {}]}}', '{"o": {"y": 2}}', '{"o": {"l": [{"k": "v"}, {"q": 1}]}}', '{"a": "x"}', '{"o": {"x": "2 apples"}}', '{"o": null}', '{"o": {"l": [3]}}']
+    df = spark.createDataFrame([(x,) for x in rows], "t string").select(text.strict_json(F.col("t"), schema).alias("r"))
+    got = [r["r"]["error"] for r in df.collect()]
+    assert got == [None, "unknown field o.y", "unknown field o.l.[].q", "a value of another type", "a value of another type", None, "a value of another type"]
+
+
 SCHEMA = {"type": "object", "required": ["to"], "properties": {"to": {"type": "string", "pattern": "@"}, "n": {"type": "integer", "minimum": 1}}, "additionalProperties": False}
 
 
@@ -481,6 +512,22 @@ def test_json_schema(spark):
     assert got[0] is None and "is not object" in got[1] and got[2] and got[3] is None
 
 
+def test_json_schema_conditions_and_references():
+    ok = lambda v, s: text.schema_errors(v, s) == []
+    when = {"if": {"properties": {"kind": {"const": "mail"}}, "required": ["kind"]}, "then": {"required": ["to"]}, "else": {"required": ["url"]}}
+    assert ok({"kind": "mail", "to": 1}, when) and ok({"url": 1}, when) and not ok({"kind": "mail"}, when) and not ok({"kind": "hook"}, when)
+    has = {"contains": {"type": "integer"}, "minContains": 2, "maxContains": 3}
+    assert [ok(v, has) for v in ([1, "a", 2], [1], [1, 2, 3, 4], ["a"])] == [True, False, False, False] and ok(["x"], {"contains": {"type": "integer"}, "minContains": 0})
+    assert not ok({"card": 1}, {"dependentRequired": {"card": ["address"]}}) and ok({"name": 1}, {"dependentRequired": {"card": ["address"]}})
+    assert not ok({"card": 1}, {"dependentSchemas": {"card": {"minProperties": 2}}}) and not ok({"Bad": 1}, {"propertyNames": {"pattern": "^[a-z]+$"}})
+    tree = {"$defs": {"node": {"type": "object", "properties": {"next": {"$ref": "#/$defs/node"}, "v": {"type": "integer"}}, "required": ["v"]}}, "$ref": "#/$defs/node"}
+    assert ok({"v": 1, "next": {"v": 2, "next": {"v": 3}}}, tree) and not ok({"v": 1, "next": {"v": 2, "next": {}}}, tree)
+    assert ok([[], [[]]], {"type": "array", "items": {"$ref": "#"}}) and not ok([[], [1]], {"type": "array", "items": {"$ref": "#"}})
+    for bad in ({"properties": {"never": {"$ref": "http://x/y"}}}, {"anyOf": [{"$ref": "other.json"}]}, {"$ref": "#/$defs/none"}, {"unevaluatedProperties": False}, {"$ref": "#"}):
+        with pytest.raises(ValueError):
+            text.schema_errors({}, bad)
+
+
 def test_error_status(spark):
     got = spark.createDataFrame([("conflict",), ("?",)], "e string").select(text.error_status(F.col("e")).alias("s")).collect()
     assert [(r["s"]["status"], r["s"]["code"]) for r in got] == [(409, "conflict"), (500, "internal")]
@@ -525,6 +572,27 @@ def test_minute_boundaries(spark):
     assert (r[0], r[1]) == (2, 0)
 
 
+def test_increase_to_the_edges(spark):
+    """Edges nearer than 1.1 times the samples' mean distance are reached, others by half of it, and no counter is carried below 0."""
+    t = lambda *v: [(T0 + a * S, float(b)) for a, b in v]
+    cases = {
+        "reaches both": (t((10, 5), (20, 7), (30, 9), (40, 11), (50, 13)), 8 * 60 / 40),
+        "reset": (t((10, 50), (20, 70), (30, 4), (40, 6), (50, 8)), 28 * 60 / 40),
+        "far edges": (t((25, 10), (30, 11), (35, 12)), 2 * 15 / 10),
+        "from zero": (t((9, 1), (19, 21), (29, 41), (39, 61), (49, 81), (59, 101)), 100 * (50 + 0.5 + 1) / 50),
+        "flat": (t((10, 3), (40, 3)), 0.0),
+    }
+    rows = [(k, *x) for k, (v, _) in cases.items() for x in v] + [("one", T0 + 5 * S, 1.0), ("late", T0, 5.0), ("late", T0 + 61 * S, 9.0)]
+    got = {r["s"]: r["increase"] for r in metrics.increase(spark.createDataFrame(rows, "s string, ts long, value double"), ["s"], T0, T0 + 60 * S).collect()}
+    assert got == {k: pytest.approx(x) for k, (_, x) in cases.items()}
+
+
+def test_exposition_round_trip(spark):
+    rows = [("a", {"p": 'q"r\\s\nt', "z": ""}, 3.5), ("b", {}, math.inf), ("c", {"x": "\\n"}, -0.25)]
+    df = spark.createDataFrame(rows, "name string, labels map<string,string>, value double")
+    assert sorted((r["name"], r["labels"], r["value"]) for r in exposition.parse(exposition.lines(df)).collect()) == rows
+
+
 def test_exposition(spark):
     lines = ["# HELP x y", "", 'a{p="q\\"r\\\\s\\nt",z=""} 3.5 1700000000', "b 2", "c{} +Inf"]
     got = exposition.parse(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
@@ -552,6 +620,9 @@ def test_handlers():
     assert (run("email.send")["outcome"], run("email.send")["retryable"]) == ("FAILED", False)
     assert (run("slow")["retryable"], run("slow")["retry_after_ms"]) == (True, 500)
     assert run("broken")["error"] == "RuntimeError: no" and run("none")["retryable"] is False
+    slept = []
+    assert handlers.demo_sleep({"payload": '{"seconds": 2.5}'}, slept.append) == {"slept": True} and slept == [2.5]
+    assert run("demo", "[]")["retryable"] is False and handlers.run_one({"demo": handlers.demo_sleep}, {"id": 1, "job_type": "demo", "payload": "no"})["retryable"] is False
     clock = iter([0.0, 1.0])
     assert handlers.run_one({"x": lambda j: 1}, {"id": 1, "job_type": "x", "payload": "", "timeout_ms": 300}, lambda: next(clock))["outcome"] == "TIMED_OUT"
 

@@ -78,6 +78,49 @@ def test_alert_over_many_hours(spark):
     assert firing(spark, rows, 10 * MIN, 380 * MIN, "NoPoolOwner") == {(): 1.0}
 
 
+def plain_growth(samples, at, span):
+    """A window's growth by walking through its samples."""
+    own = [(t, v) for t, v in sorted(samples) if at - span < t <= at]
+    if len(own) < 2 or own[0][0] == own[-1][0]:
+        return None
+    gain = sum(b - a if b >= a else b for (_, a), (_, b) in zip(own, own[1:]))
+    covered, mean = own[-1][0] - own[0][0], (own[-1][0] - own[0][0]) / (len(own) - 1)
+    head, tail = own[0][0] - (at - span), at - own[-1][0]
+    head, tail = (mean / 2 if x >= 1.1 * mean else x for x in (head, tail))
+    if gain > 0:
+        head = min(head, covered * own[0][1] / gain)
+    return gain * (covered + head + tail) / covered
+
+
+def test_vectors_equal_the_walk(spark):
+    rng = random.Random(5)
+    rows, series_ = [], {}
+    for k in range(6):
+        t, v = rng.randint(0, 90), 0.0
+        while t < 3_000:
+            rows.append(("c", {"s": str(k), "pool": str(k % 2)}, T0 + t * S, v))
+            series_.setdefault(k, []).append((T0 + t * S, v))
+            t += rng.choice([5, 15, 40, 400])
+            v = v + rng.randint(0, 9) if rng.random() > 0.1 else float(rng.randint(0, 3))
+    step, until = 10 * S, T0 + 4_000 * S
+    s = alerts.Samples(spark.createDataFrame(rows, SAMPLE), T0, until, step)
+    for span in (2 * MIN, 20 * MIN):
+        want = {}
+        for at in range(T0, until + 1, step):
+            for k, own in series_.items():
+                if (g := plain_growth(own, at, span)) is not None:
+                    want[(at, str(k % 2))] = want.get((at, str(k % 2)), 0.0) + g
+        got = {(r["at"], r["pool"]): r["value"] for r in s.grown("c", ("pool",), span).collect()}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], abs=1e-6) for x in want)
+    want = {}
+    for at in range(T0, until + 1, step):
+        for k, own in series_.items():
+            if seen := [v for t, v in own if at - alerts.STALE < t <= at]:
+                want.setdefault((at, str(k % 2)), []).append(seen[-1])
+    got = {(r["at"], r["pool"]): r["value"] for r in s.instant("c", ("pool",), "max").collect()}
+    assert got == {x: max(v) for x, v in want.items()}
+
+
 def test_alert_rules_see_every_sample(spark, tmp_path):
     """One series over target at three scrapes on the 20th day, off the minute, and a last sample that is off the evaluations' grid."""
     from quillon.plans import registry
