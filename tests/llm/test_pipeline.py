@@ -6,7 +6,7 @@ import corpus_pipeline
 from quillon.llm import pii, quality
 from quillon.llm.common import table
 
-from test_operators import check_packing, measured
+from test_operators import brute, check_packing, measured, slow_fingerprint
 
 
 def test_stages(spark, sf):
@@ -30,6 +30,10 @@ def test_stages(spark, sf):
     apart = stages["near_duplicates"](spark, ruled, sf)
     assert apart.columns == columns
     kept = apart.collect()
+    rows = sorted(texts)
+    prints = [slow_fingerprint(texts[k]) for k in rows]
+    root = brute(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    assert {r["doc_id"] for r in kept} == {rows[r] for r in root}
     assert len({r["text"] for r in kept}) == len(kept) and {r["doc_id"] for r in kept} <= set(texts)
 
     clean = stages["personal_data"](spark, apart, sf)
