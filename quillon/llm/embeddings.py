@@ -12,9 +12,9 @@ double precision. A pair that is near in several blocks counts in the first.
 A tree is cut for each label only as deep as its vectors need: a label with at most
 ``LEAF_POINTS`` distinct vectors is one leaf, for which the whole vector is the only
 block, so its vectors move once. Deeper labels' vectors move once for each
-block and visit; with a radius of about 1.5 standard deviations of a coordinate
-about half of them cross a cut, so visits grow with about the 0.6th power of a
-label's size.
+block and visit; as the radius is about 1.5 standard deviations of a coordinate,
+most vectors visit both sides of a cut: of random ones each moves 9 times at 4
+leaves and 157 times at 128.
 
 Equal vectors of a label collapse into one class before the join and count by
 the class's size; a class is known by a 128-bit hash of label and vector from then on. What
