@@ -76,7 +76,7 @@ def running_standing(t: Tables) -> DataFrame:
 
 @query(
     """WITH RECURSIVE q AS (SELECT pool, CAST(sum(CASE WHEN priority = 4 THEN 1 ELSE 0 END) AS BIGINT) AS c4, CAST(sum(CASE WHEN priority = 3 THEN 1 ELSE 0 END) AS BIGINT) AS c3, CAST(sum(CASE WHEN priority = 2 THEN 1 ELSE 0 END) AS BIGINT) AS c2, CAST(sum(CASE WHEN priority = 1 THEN 1 ELSE 0 END) AS BIGINT) AS c1 FROM jobs WHERE state = 'READY' GROUP BY pool),
-    g AS (SELECT pool, 0 AS n, least(c4, 6) AS l4, least(c3, 9) AS l3, least(c2, 30) AS l2, least(c1, 30) AS l1, 0 AS r4, 0 AS r3, 0 AS r2, 0 AS r1, 0 AS pick FROM q
+    g AS (SELECT pool, 0 AS n, c4 AS l4, c3 AS l3, c2 AS l2, c1 AS l1, 0 AS r4, 0 AS r3, 0 AS r2, 0 AS r1, 0 AS pick FROM q
       UNION ALL SELECT pool, n + 1, l4 - CAST(p = 4 AS INT), l3 - CAST(p = 3 AS INT), l2 - CAST(p = 2 AS INT), l1 - CAST(p = 1 AS INT), a4 - CASE WHEN p = 4 THEN w ELSE 0 END, a3 - CASE WHEN p = 3 THEN w ELSE 0 END, a2 - CASE WHEN p = 2 THEN w ELSE 0 END, a1 - CASE WHEN p = 1 THEN w ELSE 0 END, p
       FROM (SELECT *, CASE WHEN l4 > 0 AND a4 >= CASE WHEN l3 > 0 THEN a3 ELSE -99 END AND a4 >= CASE WHEN l2 > 0 THEN a2 ELSE -99 END AND a4 >= CASE WHEN l1 > 0 THEN a1 ELSE -99 END THEN 4
             WHEN l3 > 0 AND a3 >= CASE WHEN l2 > 0 THEN a2 ELSE -99 END AND a3 >= CASE WHEN l1 > 0 THEN a1 ELSE -99 END THEN 3 WHEN l2 > 0 AND a2 >= CASE WHEN l1 > 0 THEN a1 ELSE -99 END THEN 2 ELSE 1 END AS p
@@ -86,10 +86,9 @@ def running_standing(t: Tables) -> DataFrame:
     "jobs",
 )
 def allocate_slots(t: Tables) -> DataFrame:
-    """Forty slots of each pool shared out by the selector with memory, classes running dry; a fold over one row a pool."""
+    """Forty slots of each pool shared out over its backlog by the selector with memory; a fold over one row a pool."""
     names = {4: "critical", 3: "high", 2: "normal", 1: "low"}
-    caps = {4: 6, 3: 9, 2: 30, 1: 30}
-    counts = t.jobs.where("state = 'READY'").groupBy("pool").agg(*(F.least(F.sum((F.col("priority") == p).cast("long")), F.lit(c)).alias(names[p]) for p, c in caps.items()))
+    counts = t.jobs.where("state = 'READY'").groupBy("pool").agg(*(F.sum((F.col("priority") == p).cast("long")).alias(names[p]) for p in names))
 
     def share(batches):
         for pdf in batches:
