@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quillon.functions import text
-from quillon.operators import admission, alerts, changes, dispatch, lists, rounds
+from quillon.operators import admission, alerts, bulk, changes, dispatch, lists, rounds
 from quillon.sources.views import DAY, HOUR, MINUTE, NOW, SECOND
 
 from .listing import ROLLUP
@@ -101,6 +101,52 @@ def bulk_redrive(t: Tables) -> DataFrame:
     return done.groupBy("team").agg(F.count("*").alias("matched"), F.count_if(F.col("result") == "READY").alias("succeeded"), F.count_if(F.col("result") == "CONFLICT").alias("skipped"))
 
 
+#: Operations that get a batch, and jobs of a batch.
+NODES, BATCH = 12, 20
+JOBS_OF_BATCH = f"""open AS (SELECT * FROM operations WHERE state IN ('PENDING', 'RUNNING') ORDER BY created_at, id LIMIT {NODES}),
+    j AS (SELECT *, CASE WHEN id % 2 = 0 THEN CAST(id % 50 AS VARCHAR) END AS dedupe_key, CASE WHEN id % 23 = 0 THEN 'lost ' || id END AS error FROM all_jobs),
+    page AS (SELECT * FROM (SELECT o.id AS operation_id, o.kind, j.*, row_number() OVER (PARTITION BY o.id ORDER BY j.created_at DESC, j.id DESC) AS n FROM open o JOIN j ON j.tenant_id = o.tenant_id
+        WHERE (j.created_at, j.id) < (o.cursor_created_at, o.cursor_id) AND (o.kind = 'redrive' OR j.state NOT IN ('SUCCEEDED', 'FAILED', 'DEAD_LETTERED', 'CANCELLED'))
+        AND coalesce(j.state = o.only_state, true) AND coalesce(j.job_type = o.job_type, true) AND (o.team IS NULL OR coalesce(j.team = o.team, false))) WHERE n <= {BATCH + 1}),
+    held AS (SELECT DISTINCT tenant_id, dedupe_key FROM j WHERE dedupe_key IS NOT NULL AND state IN ('SCHEDULED', 'READY', 'RUNNING', 'RETRY_PENDING', 'PAUSED')),
+    decided AS (SELECT p.*, CASE WHEN kind = 'cancel' THEN CASE WHEN cancel_requested_at IS NULL THEN 'succeeded' ELSE 'skipped' END
+        WHEN state NOT IN ('FAILED', 'DEAD_LETTERED') THEN 'skipped'
+        WHEN EXISTS (SELECT 1 FROM held h WHERE h.tenant_id = p.tenant_id AND h.dedupe_key = p.dedupe_key) THEN 'failed'
+        WHEN EXISTS (SELECT 1 FROM page q WHERE q.kind = 'redrive' AND q.state IN ('FAILED', 'DEAD_LETTERED') AND q.tenant_id = p.tenant_id AND q.dedupe_key = p.dedupe_key AND (q.operation_id, q.n) < (p.operation_id, p.n)) THEN 'failed'
+        ELSE 'succeeded' END AS outcome FROM page p)"""
+
+
+def _batch(t: Tables) -> tuple[DataFrame, DataFrame]:
+    key = F.when(F.col("id") % 2 == 0, (F.col("id") % 50).cast("string"))
+    jobs = t.all_jobs.withColumn("dedupe_key", key).withColumn("error", F.when(F.col("id") % 23 == 0, F.concat(F.lit("lost "), F.col("id").cast("string"))))
+    return bulk.run_batch(t.operations, jobs, NOW, NODES, BATCH)
+
+
+@query(f"WITH {JOBS_OF_BATCH} SELECT operation_id, n, id, outcome FROM decided", "operations all_jobs")
+def bulk_batch(t: Tables) -> DataFrame:
+    """The next jobs of each open operation and what becomes of them."""
+    return _batch(t)[0].select("operation_id", "n", "id", "outcome")
+
+
+@query(
+    f"""WITH {JOBS_OF_BATCH}, stopped AS (SELECT operation_id, min(n) AS stop FROM decided WHERE error IS NOT NULL AND n <= {BATCH} GROUP BY operation_id),
+    handled AS (SELECT d.* FROM decided d LEFT JOIN stopped s ON s.operation_id = d.operation_id WHERE d.n <= {BATCH} AND (s.stop IS NULL OR d.n < s.stop)),
+    x AS (SELECT o.*, (SELECT d.error FROM decided d JOIN stopped s ON s.operation_id = d.operation_id AND d.n = s.stop WHERE d.operation_id = o.id) AS error,
+        (SELECT count(*) > {BATCH} FROM page p WHERE p.operation_id = o.id) AS more, (SELECT max(n) FROM handled h WHERE h.operation_id = o.id) AS upto,
+        (SELECT count(*) FROM handled h WHERE h.operation_id = o.id AND outcome = 'succeeded') AS s, (SELECT count(*) FROM handled h WHERE h.operation_id = o.id AND outcome = 'skipped') AS k,
+        (SELECT count(*) FROM handled h WHERE h.operation_id = o.id AND outcome = 'failed') AS f FROM open o),
+    y AS (SELECT x.*, CASE WHEN error IS NULL THEN 0 ELSE consecutive_errors + 1 END AS errors FROM x),
+    z AS (SELECT *, CASE WHEN errors >= 10 THEN 'FAILED' WHEN error IS NOT NULL OR more THEN 'RUNNING' ELSE 'SUCCEEDED' END AS new_state FROM y)
+    SELECT z.id, new_state AS state, coalesce(h.created_at, z.cursor_created_at) AS cursor_created_at, coalesce(h.id, z.cursor_id) AS cursor_id, CAST(succeeded + s AS BIGINT) AS succeeded, CAST(skipped + k AS BIGINT) AS skipped, CAST(failed + f AS BIGINT) AS failed,
+    CAST(errors AS BIGINT) AS consecutive_errors, coalesce(z.error, last_error) AS last_error, CASE WHEN new_state <> 'RUNNING' THEN {NOW} END AS finished_at
+    FROM z LEFT JOIN handled h ON h.operation_id = z.id AND h.n = z.upto""",
+    "operations all_jobs",
+)
+def bulk_progress(t: Tables) -> DataFrame:
+    """Cursor, counts and state of each open operation after a batch, some of which break off at an error."""
+    return _batch(t)[1]
+
+
 @query(
     f"""SELECT tenant_id, 'engine' AS actor, 'job.expire' AS action, CAST(id AS VARCHAR) AS target, '{{"pool":"' || pool || '","attempts":' || attempt_count || '}}' AS details, {NOW} AS created_at FROM jobs
     WHERE state IN ('SCHEDULED', 'READY') AND attempt_count = 0 AND start_deadline <= {NOW}""",
