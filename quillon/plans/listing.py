@@ -133,17 +133,30 @@ def fenced_writes(t: Tables) -> DataFrame:
 CUT = NOW - 1500 * DAY
 
 
+#: When the keys of the submissions are looked at: they are younger than the jobs.
+KEYS_AT = 1_704_067_200_000_000 + 10 * DAY
+
+
 @query(
     f"""SELECT 'job_history' AS "table", count(*) AS rows FROM job_history WHERE finished_at < {CUT} UNION ALL SELECT 'attempts', count(*) FROM attempts WHERE finished_at < {CUT}
-    UNION ALL SELECT 'worker_sessions', count(*) FROM worker_sessions WHERE state <> 'ACTIVE' AND lease_expires_at < {NOW - HOUR}""",
-    "job_history attempts worker_sessions",
+    UNION ALL SELECT 'idempotency_keys', count(*) FROM (SELECT max(ts) + {DAY} AS expires_at FROM submissions WHERE idempotency_key IS NOT NULL GROUP BY tenant_id, idempotency_key) WHERE expires_at < {KEYS_AT}
+    UNION ALL SELECT 'schedule_fires', count(*) FROM (SELECT DISTINCT schedule_id, fire_time FROM all_jobs WHERE schedule_id IS NOT NULL) WHERE fire_time < {CUT}
+    UNION ALL SELECT 'worker_sessions', count(*) FROM worker_sessions WHERE state <> 'ACTIVE' AND lease_expires_at < {NOW - HOUR}
+    UNION ALL SELECT 'engine_nodes', count(*) FROM engine_nodes WHERE beat_at < {NOW - HOUR}""",
+    "job_history attempts submissions all_jobs worker_sessions engine_nodes",
 )
 def retention_report(t: Tables) -> DataFrame:
+    """How many rows of each table a maintenance pass removes."""
+    keys = t.submissions.where("idempotency_key is not null").groupBy("tenant_id", "idempotency_key").agg((F.max("ts") + DAY).alias("expires_at"))
+    fires = t.all_jobs.where("schedule_id is not null").select("schedule_id", "fire_time")
     return lists.retention(
         {
             "job_history": (t.job_history, F.col("finished_at") < CUT),
             "attempts": (t.attempts, F.col("finished_at") < CUT),
+            "idempotency_keys": (keys, F.col("expires_at") < KEYS_AT),
+            "schedule_fires": (fires.where(F.col("fire_time") < CUT).distinct(), F.col("fire_time") < CUT),
             "worker_sessions": (t.worker_sessions, (F.col("state") != "ACTIVE") & (F.col("lease_expires_at") < NOW - HOUR)),
+            "engine_nodes": (t.engine_nodes, F.col("beat_at") < NOW - HOUR),
         }
     )
 

@@ -1,11 +1,15 @@
-"""History tables in daily partitions: written, listed, dropped."""
+"""History tables in daily partitions: written, listed, made ahead, dropped; a maintenance pass."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 DAY = 86_400_000_000
 PARTITION = "finished_day"
+#: Days around today that a maintenance pass makes.
+BACK, AHEAD = 1, 7
 
 
 def _day(at: str):
@@ -41,13 +45,64 @@ def partitions(spark: SparkSession, path: str) -> list[str]:
     return sorted(d for d in days if len(d) == 8 and d.isdigit())
 
 
+def _name(at: int) -> str:
+    return datetime.fromtimestamp(at // 1_000_000, timezone.utc).strftime("%Y%m%d")
+
+
+def make_days(spark: SparkSession, path: str, now: int, back: int = BACK, ahead: int = AHEAD) -> list[str]:
+    """Makes the folders of the days around an instant; returns those that were not there. Readers pass over empty ones."""
+    p, fs = _fs(spark, path)
+    known = set(partitions(spark, path)) if fs.exists(p) else set()
+    new = [d for d in (_name(now + n * DAY) for n in range(-back, ahead + 1)) if d not in known]
+    for day in new:
+        fs.mkdirs(_fs(spark, f"{path}/{PARTITION}={day}")[0])
+    return new
+
+
 def drop_before(spark: SparkSession, path: str, cutoff: int) -> list[str]:
     """Drops the days that ended before an instant; no row is read."""
-    from datetime import datetime, timezone
-
-    limit = datetime.fromtimestamp(cutoff // 1_000_000, timezone.utc).strftime("%Y%m%d")
-    gone = [d for d in partitions(spark, path) if d < limit]
+    gone = [d for d in partitions(spark, path) if d < _name(cutoff)]
     for day in gone:
         p, fs = _fs(spark, f"{path}/{PARTITION}={day}")
         fs.delete(p, True)
     return gone
+
+
+def maintain(spark: SparkSession, paths: list[str], tables: dict[str, tuple[DataFrame, Column]], purge, now: int, keep: int) -> dict:
+    """One maintenance pass: makes days ahead in the history folders, drops those that are older than ``keep``, purges tables.
+
+    tables: what goes of each (rows, condition). purge(name, kept rows) rewrites a table and is called only where some
+    rows go; a condition that is null keeps its row. A task that fails leaves the others to run: the report holds the
+    days made and dropped, the rows deleted of each table, and what failed.
+    """
+    from quillon.operators import lists
+
+    report: dict = {"created": 0, "dropped": 0, "deleted": {}, "failed": {}}
+
+    def task(name: str, run) -> None:
+        try:
+            run()
+        except Exception as e:  # noqa: BLE001  whatever fails is tried again by the next pass
+            report["failed"][name] = f"{type(e).__name__}: {e}"
+
+    def make(path: str) -> None:
+        report["created"] += len(make_days(spark, path, now))
+
+    def drop(path: str) -> None:
+        report["dropped"] += len(drop_before(spark, path, now - keep))
+
+    def clean(name: str) -> None:
+        rows, gone = tables[name]
+        stay, go = lists.move(rows, gone)
+        n = go.count()
+        if n:
+            purge(name, stay)
+        report["deleted"][name] = n
+
+    for path in paths:
+        task(f"make {path}", lambda: make(path))
+    for path in paths:
+        task(f"drop {path}", lambda: drop(path))
+    for name in tables:
+        task(f"purge {name}", lambda: clean(name))
+    return report
