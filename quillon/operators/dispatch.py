@@ -58,6 +58,15 @@ def allowances(jobs: DataFrame, tenants: DataFrame) -> DataFrame:
     return each.join(running, ["pool", "tenant_id"], "left").select("pool", "tenant_id", F.greatest(F.lit(0), F.col("max_running") - F.coalesce("running", F.lit(0))).cast("long").alias("allowance"))
 
 
+def cap_memory(memory: DataFrame, allowed: DataFrame, now: int) -> DataFrame:
+    """(pool, tenant_id, at_cap, freed_at) carried on by a round's allowances: a tenant that was at its cap and has room again was freed now; tenants without a cap any more stay as they are."""
+    both = memory.join(allowed, ["pool", "tenant_id"], "full_outer")
+    room, known = F.col("allowance") > 0, F.col("allowance").isNotNull()
+    at_cap = F.when(known, ~room).otherwise(F.col("at_cap"))
+    freed = F.when(known & room & F.coalesce("at_cap", F.lit(False)), F.lit(now)).otherwise(F.col("freed_at"))
+    return both.select("pool", "tenant_id", at_cap.alias("at_cap"), freed.cast("long").alias("freed_at"))
+
+
 def first_of_each(df: DataFrame, by: list[str], order: list, most, name: str = "rank") -> DataFrame:
     """Rows ranked within a group, up to a rank. Spark keeps only ``most`` rows of a group in each task before it shuffles, so a hot group stays small."""
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

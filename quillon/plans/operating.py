@@ -223,12 +223,36 @@ def pool_gauges(t: Tables) -> DataFrame:
     return changes.gauges(ready, found, t.jobs, lists.sessions_overview(t.worker_sessions, t.jobs), NOW)
 
 
+def _waiters(t: Tables) -> DataFrame:
+    """All active sessions, some of which take certain types only."""
+    kinds = F.when(F.col("id") % 3 == 0, F.array(F.lit(0), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return t.worker_sessions.where("state = 'ACTIVE' and not draining").select("pool", F.col("id").alias("session_id"), (F.col("id") % 17).alias("arrived"), "slots", kinds.alias("types"))
+
+
 @query()
 def dispatch_round(t: Tables) -> DataFrame:
-    """A round for all active sessions, some of which take certain types only; the fold is held against a plain model in the tests."""
-    kinds = F.when(F.col("id") % 3 == 0, F.array(F.lit(0), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    waiters = t.worker_sessions.where("state = 'ACTIVE' and not draining").select("pool", F.col("id").alias("session_id"), (F.col("id") % 17).alias("arrived"), "slots", kinds.alias("types"))
-    return rounds.dispatch_round(t.jobs, waiters, t.tenants, t.job_types, t.pools, NOW)
+    """A round for all active sessions; the fold is held against a plain model in the tests."""
+    return rounds.dispatch_round(t.jobs, _waiters(t), t.tenants, t.job_types, t.pools, NOW)
+
+
+@query()
+def selector_memory(t: Tables) -> DataFrame:
+    """The selectors' credits after a round that went on from others; held against a plain model in the tests."""
+    before = t.pools.select(F.col("name").alias("pool"), F.explode(F.array(*map(F.lit, rounds.URGENCY))).alias("priority"))
+    before = before.withColumn("credit", (F.length("pool") * F.col("priority") % 7 - 3).cast("long"))
+    return rounds.remembered(rounds.round_with_memory(t.jobs, _waiters(t), t.tenants, t.job_types, t.pools, NOW, before), before)
+
+
+@query(
+    f"""WITH memory AS (SELECT DISTINCT pool, tenant_id, tenant_id % 2 = 0 AS at_cap, CASE WHEN tenant_id % 3 = 0 THEN {NOW - HOUR} END AS freed_at FROM job_history),
+    caps AS (SELECT DISTINCT j.pool, j.tenant_id, t.max_running - (SELECT count(*) FROM jobs r WHERE r.pool = j.pool AND r.tenant_id = j.tenant_id AND r.state = 'RUNNING') AS room FROM jobs j JOIN tenants t ON t.id = j.tenant_id AND t.max_running IS NOT NULL)
+    SELECT pool, tenant_id, coalesce(c.room <= 0, m.at_cap) AS at_cap, CASE WHEN c.room > 0 AND m.at_cap THEN {NOW} ELSE m.freed_at END AS freed_at FROM memory m FULL JOIN caps c USING (pool, tenant_id)""",
+    "job_history tenants jobs",
+)
+def caps_freed(t: Tables) -> DataFrame:
+    """Which tenants are at their cap in which pool, and when a cap had room again."""
+    memory = t.job_history.select("pool", "tenant_id").distinct().withColumn("at_cap", F.col("tenant_id") % 2 == 0).withColumn("freed_at", F.when(F.col("tenant_id") % 3 == 0, F.lit(NOW - HOUR)))
+    return dispatch.cap_memory(memory, dispatch.allowances(t.jobs, t.tenants), NOW)
 
 
 #: Fixed value: time between evaluations.

@@ -239,6 +239,53 @@ def test_dispatch_round_equals_the_plain_round(spark, sf):
     assert got == want and len(got) > 20
 
 
+def test_selectors_go_on_from_their_memory(spark):
+    tenants = spark.createDataFrame([(1, None)], "id int, max_running int")
+    types = spark.createDataFrame([(1, 0, False, True)], "tenant_id int, name int, paused boolean, enabled boolean")
+    pools = spark.createDataFrame([("a", False), ("b", False), ("idle", False)], "name string, paused boolean")
+    rows = [(n, 1, 0, pool, "READY", 1 + n % 4, T0 - n) for n, pool in enumerate(["a"] * 40 + ["b"] * 40)]
+    jobs = spark.createDataFrame(rows, "id long, tenant_id int, job_type int, pool string, state string, priority int, run_at long")
+    jobs = jobs.selectExpr("*", "cast(null as long) as start_deadline", "cast(null as long) as deadline", "cast(null as long) as cancel_requested_at", "0 as attempt_count")
+    waiters = spark.createDataFrame([("a", 1, 0, 3, []), ("a", 2, 1, 4, []), ("b", 3, 0, 5, [])], "pool string, session_id long, arrived int, slots int, types array<int>")
+    memory = spark.createDataFrame([("idle", 4, 9)], "pool string, priority int, credit long")
+    credits, started = {p: dict.fromkeys((4, 3, 2, 1), 0) for p in "ab"}, set()
+    for _ in range(3):
+        plan = rounds.round_with_memory(jobs.where(~F.col("id").isin(*started)) if started else jobs, waiters, tenants, types, pools, T0, memory).collect()
+        plan = spark.createDataFrame(plan, rounds.ROUND)
+        want = set()
+        for pool, queue in (("a", [(1, 3, frozenset()), (2, 4, frozenset())]), ("b", [(3, 5, frozenset())])):
+            left = [(p, run_at, id_, 1, 0) for id_, _, _, where, _, p, run_at in rows if where == pool and id_ not in started]
+            want |= {(pool, *r) for r in rounds.serve(left, {}, queue, credits[pool])}
+        assert {tuple(r) for r in rounds.assigned(plan).collect()} == want and len(want) == 12
+        memory = spark.createDataFrame(rounds.remembered(plan, memory).collect(), "pool string, priority int, credit long")
+        assert {tuple(r) for r in memory.collect()} == {("idle", 4, 9)} | {(pool, p, c) for pool, own in credits.items() for p, c in own.items()}
+        started |= {r[1] for r in want}
+    assert any(c for own in credits.values() for c in own.values())
+
+
+def test_selector_memory_query(spark, sf):
+    """Each pool's credits sum to what they were, as every step pays what it gives, and move in pools that start jobs."""
+    from quillon.plans import registry
+
+    q = registry.queries()
+    after, pools = {}, [r["name"] for r in registry.Tables(spark, sf).pools.collect()]
+    for r in q["selector_memory"](spark, sf).collect():
+        after.setdefault(r["pool"], {})[r["priority"]] = r["credit"]
+    busy = {r["pool"] for r in q["dispatch_round"](spark, sf).collect()}
+    start = {pool: {p: len(pool) * p % 7 - 3 for p in (4, 3, 2, 1)} for pool in pools}
+    assert all(sum(after[p].values()) == sum(start[p].values()) for p in pools)
+    assert busy and all((after[p] != start[p]) <= (p in busy) for p in pools) and any(after[p] != start[p] for p in busy)
+
+
+def test_cap_memory(spark):
+    from quillon.operators import dispatch
+
+    memory = spark.createDataFrame([("a", 1, True, None), ("a", 2, True, 5), ("a", 3, False, 6), ("a", 4, True, 7)], "pool string, tenant_id int, at_cap boolean, freed_at long")
+    now = spark.createDataFrame([("a", 1, 3), ("a", 2, 0), ("a", 3, 0), ("b", 1, 0), ("b", 2, 1)], "pool string, tenant_id int, allowance long")
+    got = {(r[0], r[1]): (r[2], r[3]) for r in dispatch.cap_memory(memory, now, 99).collect()}
+    assert got == {("a", 1): (False, 99), ("a", 2): (True, 5), ("a", 3): (True, 6), ("a", 4): (True, 7), ("b", 1): (True, None), ("b", 2): (False, None)}
+
+
 # -- history, changes ----------------------------------------------------------------------
 
 
