@@ -140,8 +140,8 @@ def _referred(root, ref: str):
     return root
 
 
-#: Keywords that would need a memory of what other keywords have looked at.
-REFUSED = ("$dynamicRef", "$recursiveRef", "unevaluatedProperties", "unevaluatedItems")
+#: Keywords whose target depends on the path by which a schema was reached.
+REFUSED = ("$dynamicRef", "$recursiveRef")
 
 
 def check_schema(schema) -> None:
@@ -153,8 +153,35 @@ def check_schema(schema) -> None:
             raise ValueError(f"{found[0]} is not supported")
 
 
+def _looked_at(value, schema, root, depth: int) -> set:
+    """Names or places of a value's parts that a schema, and those in it that the value keeps, say something about."""
+    if not isinstance(schema, dict) or not isinstance(value, (dict, list)):
+        return set()
+    if depth > 100:
+        raise ValueError("references go in circles")
+    keeps = lambda s: not schema_errors(value, s, "", root, depth + 1)
+    apply = list(schema.get("allOf", []))
+    if isinstance(schema.get("$ref"), str):
+        apply.append(_referred(root, schema["$ref"]))
+    apply += [s for key in ("anyOf", "oneOf") for s in schema.get(key, []) if keeps(s)]
+    if "if" in schema:
+        apply += [schema["if"], schema.get("then", True)] if keeps(schema["if"]) else [schema.get("else", True)]
+    if isinstance(value, dict):
+        seen = {n for n in value if n in schema.get("properties", {}) or any(re.search(p, n) for p in schema.get("patternProperties", {}))}
+        if "additionalProperties" in schema or "unevaluatedProperties" in schema:
+            seen = set(value)
+        apply += [s for n, s in schema.get("dependentSchemas", {}).items() if n in value]
+    else:
+        seen = set(range(len(value) if "items" in schema or "unevaluatedItems" in schema else min(len(value), len(schema.get("prefixItems", [])))))
+        if "contains" in schema:
+            seen |= {i for i, v in enumerate(value) if not schema_errors(v, schema["contains"], "", root, depth + 1)}
+    for s in apply:
+        seen |= _looked_at(value, s, root, depth + 1)
+    return seen
+
+
 def schema_errors(value, schema, at: str = "", root=None, depth: int = 0) -> list[str]:
-    """What of a value breaks a schema (2020-12): types, enum, const, bounds, lengths, patterns, properties and their names, dependencies, items, contains, all/any/one of, not, if/then/else, references within the schema."""
+    """What of a value breaks a schema (2020-12): types, enum, const, bounds, lengths, patterns, properties and their names, dependencies, items, contains, all/any/one of, not, if/then/else, unevaluated parts, references within the schema."""
     if root is None:
         root = schema
         check_schema(schema)
@@ -229,6 +256,11 @@ def schema_errors(value, schema, at: str = "", root=None, depth: int = 0) -> lis
     if "if" in schema:
         branch = "else" if errors(value, schema["if"], at) else "then"
         bad += errors(value, schema.get(branch, True), at)
+    rest = "unevaluatedProperties" if isinstance(value, dict) else "unevaluatedItems" if isinstance(value, list) else None
+    if rest in schema:
+        seen = _looked_at(value, {k: s for k, s in schema.items() if k != rest}, root, depth)
+        parts = value.items() if isinstance(value, dict) else enumerate(value)
+        bad += [e for n, v in parts if n not in seen for e in errors(v, schema[rest], f"{at}/{n}")]
     return bad
 
 

@@ -81,6 +81,26 @@ def acquire(leases: DataFrame, asks: DataFrame, now: int, ttl: int) -> DataFrame
     return a.select("name", F.col("holder"), granted.alias("granted"), F.when(granted, F.coalesce("epoch", F.lit(0)) + 1).cast("long").alias("epoch"), F.when(granted, F.lit(now + ttl)).cast("long").alias("expires_at"))
 
 
+#: How long leases of pools and of single duties last, and how long before the end their holder stops.
+POOL_TTL, DUTY_TTL, MARGIN = 10 * SECOND, 30 * SECOND, 2 * SECOND
+
+
+def held_until(log: DataFrame, now: int, ttl: int = POOL_TTL, margin: int = MARGIN) -> DataFrame:
+    """What each holder may still act on: log is id, name, holder, started, finished, outcome (acquired, renewed, failed, lost, released).
+
+    A lease counts from the start of the request that gave it until a margin before its end, so a holder that cannot
+    reach the store stops before another one starts. A failed renewal leaves it; one that is answered when the lease
+    has already run out here gives it back.
+    """
+    w = Window.partitionBy("name", "holder").orderBy("started", "id")
+    until = F.col("started") + (ttl - margin)
+    given = F.col("outcome").isin("acquired", "renewed")
+    steps = log.where("outcome <> 'failed'").withColumn("before", F.lag(F.when(given, until)).over(w))
+    late = (F.col("outcome") == "renewed") & (F.col("before").isNull() | (F.col("finished") >= F.col("before")))
+    last = steps.groupBy("name", "holder").agg(F.max_by(F.when(given & ~late, until), F.struct("started", "id")).alias("held_until"))
+    return last.withColumn("held", F.coalesce(F.col("held_until") > now, F.lit(False)))
+
+
 def valid_operation(kind: Column, state: Column) -> Column:
     """A bulk cancel takes active jobs, a redrive failed ones."""
     active = state.isNull() | state.isin("SCHEDULED", "READY", "RUNNING", "RETRY_PENDING", "PAUSED")

@@ -83,6 +83,24 @@ def acquire_leases(t: Tables) -> DataFrame:
     return changes.acquire(t.leases, asks, NOW, 15 * SECOND)
 
 
+@query(
+    f"""WITH log AS (SELECT id, pool AS name, tenant_id AS holder, {NOW} - id % 31 * 1000000 AS started, {NOW} - id % 31 * 1000000 + id % 9 * 900000 AS finished,
+        CASE WHEN id % 6 < 3 THEN 'renewed' WHEN id % 6 = 3 THEN 'failed' WHEN id % 12 = 4 THEN 'lost' WHEN id % 12 = 5 THEN 'released' ELSE 'acquired' END AS outcome FROM jobs),
+    told AS (SELECT *, CASE WHEN outcome IN ('acquired', 'renewed') THEN started + 8000000 END AS until FROM log WHERE outcome <> 'failed'),
+    steps AS (SELECT *, lag(until) OVER w AS before, row_number() OVER (PARTITION BY name, holder ORDER BY started DESC, id DESC) AS back FROM told WINDOW w AS (PARTITION BY name, holder ORDER BY started, id)),
+    last AS (SELECT name, holder, CASE WHEN outcome = 'renewed' AND (before IS NULL OR finished >= before) THEN NULL ELSE until END AS held_until FROM steps WHERE back = 1)
+    SELECT name, holder, held_until, coalesce(held_until > {NOW}, false) AS held FROM last""",
+    "jobs",
+)
+def held_leases(t: Tables) -> DataFrame:
+    """Leases that their holders may act on by a log of requests."""
+    n = F.col("id")
+    outcome = F.when(n % 6 < 3, "renewed").when(n % 6 == 3, "failed").when(n % 12 == 4, "lost").when(n % 12 == 5, "released").otherwise("acquired")
+    started = F.lit(NOW) - n % 31 * SECOND
+    log = t.jobs.select("id", F.col("pool").alias("name"), F.col("tenant_id").alias("holder"), started.alias("started"), (started + n % 9 * 900_000).alias("finished"), outcome.alias("outcome"))
+    return changes.held_until(log, NOW)
+
+
 @query(
     """SELECT state, kind, count(*) AS n, CASE kind WHEN 'cancel' THEN state IN ('SCHEDULED', 'READY', 'RUNNING', 'RETRY_PENDING', 'PAUSED') WHEN 'redrive' THEN state IN ('FAILED', 'DEAD_LETTERED') ELSE false END AS valid
     FROM (SELECT state, CASE id % 3 WHEN 0 THEN 'cancel' WHEN 1 THEN 'redrive' ELSE 'other' END AS kind FROM all_jobs) GROUP BY ALL""",

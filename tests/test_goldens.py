@@ -523,11 +523,45 @@ def test_json_schema_conditions_and_references():
     tree = {"$defs": {"node": {"type": "object", "properties": {"next": {"$ref": "#/$defs/node"}, "v": {"type": "integer"}}, "required": ["v"]}}, "$ref": "#/$defs/node"}
     assert ok({"v": 1, "next": {"v": 2, "next": {"v": 3}}}, tree) and not ok({"v": 1, "next": {"v": 2, "next": {}}}, tree)
     assert ok([[], [[]]], {"type": "array", "items": {"$ref": "#"}}) and not ok([[], [1]], {"type": "array", "items": {"$ref": "#"}})
-    for bad in ({"properties": {"never": {"$ref": "http://x/y"}}}, {"anyOf": [{"$ref": "other.json"}]}, {"$ref": "#/$defs/none"}, {"unevaluatedProperties": False}, {"$ref": "#"}):
+    for bad in ({"properties": {"never": {"$ref": "http://x/y"}}}, {"anyOf": [{"$ref": "other.json"}]}, {"$ref": "#/$defs/none"}, {"$dynamicRef": "#x"}, {"$ref": "#"}):
         with pytest.raises(ValueError):
             text.schema_errors({}, bad)
 
 
+@pytest.mark.parametrize(
+    ("schema", "fits", "breaks"),
+    [
+        ({"properties": {"a": {}}, "unevaluatedProperties": False}, [{"a": 1}, {}, 7, []], [{"b": 1}]),
+        ({"allOf": [{"properties": {"a": {}}}], "patternProperties": {"^x": {}}, "unevaluatedProperties": {"type": "string"}}, [{"a": 1, "xy": 2, "b": "s"}], [{"b": 2}]),
+        ({"anyOf": [{"properties": {"a": {"type": "string"}}, "required": ["a"]}, {"properties": {"b": {}}}], "unevaluatedProperties": False}, [{"a": "s"}, {"a": "s", "b": 0}, {"b": 1}], [{"a": 3}, {"c": 1}]),
+        ({"if": {"properties": {"k": {"const": 1}}}, "then": {"properties": {"t": {}}}, "else": {"properties": {"e": {}, "k": {}}}, "unevaluatedProperties": False}, [{"k": 1, "t": 0}, {"k": 2, "e": 0}], [{"k": 1, "e": 0}, {"k": 2, "t": 0}]),
+        ({"$ref": "#/$defs/d", "$defs": {"d": {"properties": {"a": {}}, "dependentSchemas": {"a": {"properties": {"b": {}}}}}}, "unevaluatedProperties": False}, [{"a": 1, "b": 2}], [{"b": 2}]),
+        ({"not": {"properties": {"a": {"const": 1}}, "required": ["a"]}, "unevaluatedProperties": False}, [{}], [{"a": 2}]),
+        ({"allOf": [{"additionalProperties": True}], "unevaluatedProperties": False}, [{"z": 1}], []),
+        ({"properties": {"in": {"unevaluatedProperties": False}}, "unevaluatedProperties": False}, [{"in": {}}], [{"in": {"a": 1}}, {"out": 1}]),
+        ({"prefixItems": [{}], "contains": {"type": "string"}, "unevaluatedItems": False}, [[1, "a"], ["a"]], [[1, "a", 2], [1, 2]]),
+        ({"allOf": [{"items": {"type": "integer"}}], "unevaluatedItems": False}, [[1, 2], []], [["a"]]),
+        ({"oneOf": [{"prefixItems": [{"const": 1}]}, {"prefixItems": [{"const": 2}, {}]}], "unevaluatedItems": {"type": "null"}}, [[1, None], [2, 3, None]], [[1, 3], [2, 3, 4]]),
+    ],
+)
+def test_unevaluated_parts(schema, fits, breaks):
+    assert [text.schema_errors(v, schema) for v in fits] == [[]] * len(fits)
+    assert all(text.schema_errors(v, schema) for v in breaks)
+
+
+def test_leases_end_here_before_they_end_there(spark):
+    log = [
+        (1, "a", "x", 0, 1, "acquired"), (2, "a", "x", 3 * S, 4 * S, "renewed"), (3, "a", "x", 6 * S, 7 * S, "failed"),  # until 11 s
+        (4, "b", "x", 0, 1, "acquired"), (5, "b", "x", 3 * S, 9 * S, "renewed"),  # answered after 8 s: given back
+        (6, "c", "x", 0, 1, "acquired"), (7, "c", "x", 3 * S, 4 * S, "lost"), (8, "c", "y", 5 * S, 6 * S, "acquired"),
+        (9, "d", "x", 0, 1, "acquired"), (10, "d", "x", 2 * S, 2 * S, "released"), (11, "d", "x", 4 * S, 5 * S, "acquired"),
+        (12, "e", "x", 0, 1, "failed"),
+    ]
+    rows = spark.createDataFrame(log, "id long, name string, holder string, started long, finished long, outcome string")
+    got = {(r["name"], r["holder"]): (r["held_until"], r["held"]) for r in changes.held_until(rows, 11 * S).collect()}
+    assert got == {("a", "x"): (11 * S, False), ("b", "x"): (None, False), ("c", "x"): (None, False), ("c", "y"): (13 * S, True), ("d", "x"): (12 * S, True)}
+
+
 def test_error_status(spark):
     got = spark.createDataFrame([("conflict",), ("?",)], "e string").select(text.error_status(F.col("e")).alias("s")).collect()
     assert [(r["s"]["status"], r["s"]["code"]) for r in got] == [(409, "conflict"), (500, "internal")]
