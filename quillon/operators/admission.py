@@ -108,6 +108,39 @@ def first_use(requests: DataFrame, ttl: int = DAY) -> DataFrame:
     return simple.unionByName(_in_order(seen.where(~once).select(*keyed.columns), key, fold, USES))
 
 
+#: How long a server remembers what it has read.
+QUOTA_TTL, PENDING_TTL, BACKLOG_TTL, CAPS_TTL, AUTH_TTL = 30 * SECOND, 5 * SECOND, 2 * SECOND, 10 * SECOND, 30 * SECOND
+FETCHES = "key string, id long, fetched_at long"
+
+
+def through_cache(reads: DataFrame, values: DataFrame, ttl: int, until: str | None = None) -> DataFrame:
+    """What reads (key, ts, id) see of values (key, at, value) through a cache: key, id, fetched_at, value.
+
+    A read asks the store if no other has asked, or if the last one's answer has reached its time to live, and then
+    sees the value of that moment (null before the first); the others see what it saw. ``until`` names a column of
+    the reads with an instant that ends an answer earlier, such as the end of a credential.
+    """
+
+    def fold(key):
+        held = [None, None]  # fetched, until
+
+        def step(r):
+            if held[0] is None or r.ts >= held[1]:
+                held[:] = r.ts, r.ts + ttl if r.ends is None or r.ends != r.ends else min(r.ts + ttl, r.ends)
+            return r.id, held[0]
+
+        return step
+
+    ends = F.col(until) if until else F.lit(None)
+    asked = _in_order(reads.select("key", "ts", "id", ends.cast("long").alias("ends")), ["key"], fold, FETCHES)
+    # the store's value at each fetch: the last change up to it
+    seen = values.select("key", F.col("at").alias("t"), F.lit(0).alias("asks"), F.struct("value").alias("v"))
+    seen = seen.unionByName(asked.select("key", F.col("fetched_at").alias("t"), F.lit(1).alias("asks")).distinct(), allowMissingColumns=True)
+    w = Window.partitionBy("key").orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = seen.withColumn("v", F.last("v", ignorenulls=True).over(w)).where("asks = 1")
+    return asked.join(seen.select("key", F.col("t").alias("fetched_at"), F.col("v.value").alias("value")), ["key", "fetched_at"]).select("key", "id", "fetched_at", "value")
+
+
 def deduplicate(created: DataFrame, active: DataFrame) -> DataFrame:
     """created: tenant_id, dedupe_key, ts, id. A job whose key an active job or an earlier one of the batch has is not created again."""
     held = active.where("dedupe_key is not null").select("tenant_id", "dedupe_key", F.col("id").alias("held_by")).groupBy("tenant_id", "dedupe_key").agg(F.min("held_by").alias("held_by"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quillon.functions import text
+from quillon.functions import ids, text
 from quillon.operators import admission
-from quillon.sources.views import DAY, NOW
+from quillon.sources.views import DAY, MINUTE, NOW
 
 from .registry import Tables, query
 
@@ -154,3 +154,24 @@ def durations(t: Tables) -> DataFrame:
 def type_sets(t: Tables) -> DataFrame:
     """The set of job types of a pool as one key; at most as many as there are types."""
     return t.jobs.groupBy("pool").agg(text.set_key(F.collect_set(F.col("job_type").cast("string")), ",").alias("types"), F.count("*").alias("n"))
+
+
+NOISE = "concat(length(CAST(created_at AS VARCHAR)), ':', created_at, length(CAST(id AS VARCHAR)), ':', id, length(pool), ':', pool)"
+
+
+@query(
+    f"""WITH h AS (SELECT id, sha256({NOISE}) AS n, lpad(lower(to_hex(created_at // 1000)), 12, '0') AS ms FROM all_jobs)
+    SELECT id, concat(left(ms, 8), '-', ms[9:12], '-7', left(n, 3), '-', ('89ab')[1 + (strpos('0123456789abcdef', n[4]) - 1) % 4], n[5:7], '-', n[8:19]) AS uuid FROM h""",
+    "all_jobs",
+)
+def job_uuids(t: Tables) -> DataFrame:
+    """Ids for all jobs that sort by creation and are the same at every run."""
+    return t.all_jobs.select("id", ids.uuid7(F.col("created_at"), F.col("id"), F.col("pool")).alias("uuid"))
+
+
+@query()
+def cached_quotas(t: Tables) -> DataFrame:
+    """What submissions see of a quota that changes daily through a cache of half an hour; held against a walk in the tests."""
+    reads = t.submissions.select(F.col("tenant_id").cast("string").alias("key"), "ts", "id")
+    days = t.submissions.select(F.col("tenant_id").cast("string").alias("key"), F.expr(f"ts div {DAY} * {DAY}").alias("at")).distinct()
+    return admission.through_cache(reads, days.withColumn("value", F.expr(f"at div {DAY}")), 30 * MINUTE)
